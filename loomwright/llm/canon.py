@@ -167,7 +167,7 @@ def map_values(values: DataFrame, column: str, entries: DataFrame, entry_id: str
     scored = hits.groupBy("value", "entry").agg(F.sum(F.when(~initials, F.col("w") * F.col("w")).otherwise(0.0)).alias("dot"), F.first("e_norm").alias("e_norm"), F.max(initials).alias("by_short"))
     scored = scored.join(norm, "value", "left").withColumn("cosine", F.coalesce(F.col("dot") / (F.col("e_norm") * F.col("v_norm")), F.lit(0.0)))
     near = scored.where((F.col("cosine") >= threshold) | F.col("by_short")).select("value", "entry", "cosine")
-    cost = align_column("words", "meant", "short")
+    cost = align_column.asNondeterministic()("words", "meant", "short")  # else Catalyst works it out in the filter too
     fit = spread(near, "value").join(v.select("value", "words"), "value").join(e.select("entry", "meant", "short"), "entry").withColumn("cost", cost).where("cost is not null and cost <= 6")
     w = Window.partitionBy("value").orderBy("cost", F.desc("cosine"), "entry")
     best = fit.withColumns({"r": F.row_number().over(w), "next": F.lead("cost").over(w)}).where("r = 1").where(F.col("next").isNull() | (F.col("next") - F.col("cost") >= margin))
