@@ -15,10 +15,10 @@ def clean_stream(stream: DataFrame, column: str) -> DataFrame:
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(window_start, key, n, total) of tumbling windows; rows later than `late` are dropped by the watermark."""
-    w = stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), key)
+    w = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), key)
     return w.agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total")).select(F.col("w.start").alias("window_start"), key, "n", "total")
 
 
 def first_seen(stream: DataFrame, ts: str, keys: list[str], late: str = "2 hours") -> DataFrame:
     """Each key once: the state of keys older than the watermark is given up."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
