@@ -101,7 +101,7 @@ def _run(batches: Iterator[pa.RecordBatch], more: int) -> Iterator[pa.RecordBatc
     for batch in batches:
         if batch.num_rows:
             con.register("batch_rows", pa.Table.from_batches([batch]))
-            yield from con.execute(sql).fetch_arrow_table().to_batches()
+            yield from con.sql(sql).to_arrow_table().to_batches()
             con.unregister("batch_rows")
 
 

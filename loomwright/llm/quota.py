@@ -43,12 +43,11 @@ def share_out(total: int, weights: list[float], caps: list[int]) -> list[int]:
         part = [left * weights[i] / w if w > 0 else left / len(open_) for i in open_]
         take = [min(caps[i] - got[i], int(p)) for i, p in zip(open_, part)]
         rest = left - sum(take)
-        if not any(take):  # less than one row each: by largest remainder
-            order = sorted(range(len(open_)), key=lambda j: (-(part[j] % 1), open_[j]))
-            take = [0] * len(open_)
-            for j in order[:rest]:
-                take[j] = 1
-            rest = left - sum(take)
+        if all(t == int(p) for t, p in zip(take, part)):  # no cap in the way: what is left by largest remainder
+            for j in sorted(range(len(open_)), key=lambda j: (-(part[j] % 1), j)):
+                if rest and take[j] < caps[open_[j]] - got[open_[j]]:
+                    take[j] += 1
+                    rest -= 1
         for i, t in zip(open_, take):
             got[i] += t
         left = rest
