@@ -217,7 +217,7 @@ def broken_off(output: str) -> tuple[bool | None, str, str]:
         return True, "", ""
     if s.count("```") % 2:
         return True, "", ""
-    if s.endswith("】"):
+    if s.endswith("】") or re.search(r"[；;。]\s*\d{1,2}\s*[.、．]?$", s):  # a label or list mark without its text
         return True, "", ""
     if s[-1] in _ENDS or re.fullmatch(r"[\d\s.,%+-]+", s) or len(one_form(s)) <= 3:
         return False, "", ""

@@ -4,15 +4,18 @@ Content-defined chunks. A record (its fields joined, in one form) is cut where a
 a few characters hits a pattern, so an edit changes only the chunks it touches. Chunk digests are
 joined across splits; the summed lengths of shared chunks give overlap fractions.
 
-The join is a prefix filter. All chunks have one global order, rare ones first. Two records that
-share at least a part t of each one's length share a chunk among the first chunks that make up
-1 - t of either, so only these are joined: a chunk of a common prompt, in a third of all rows,
-stands last and is hardly ever joined, and no overlap of t or more is lost. Equal records are
-one record in the join. What remains is checked exactly, field by field.
+The join is a prefix filter. All chunks have one global order, rare ones first; the head of a
+record is its first chunks up to 1 - TAIL of its length. Shared chunks outside both heads make up
+at most TAIL of the longer record, so two records with an overlap of OVERLAP or more share at least
+OVERLAP - TAIL of it by their heads alone: only heads are joined, as narrow rows, and pairs below
+that are dropped before any text moves. A chunk of a common prompt, in a third of all rows, stands
+last and is hardly ever joined, and no overlap of OVERLAP or more is lost. Equal records are one
+record in the join. What remains is checked exactly, field by field.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 import unicodedata
 from collections import Counter
@@ -26,9 +29,9 @@ from pyspark.sql import functions as F
 
 from loomwright.session import cut, spread
 
-WINDOW, MEAN, LONGEST = 4, 8, 64
-#: Overlap by shared chunk length that makes a pair a candidate.
-OVERLAP = 0.3
+WINDOW, MEAN, LONGEST = 4, 6, 64
+#: Overlap by shared chunk length that makes a pair a candidate, and the part of a record outside its head.
+OVERLAP, TAIL = 0.5, 0.4
 #: Least similarity (Dice of character trigrams) of the prompts and of the outputs of a copy.
 PROMPT_LEAST, OUTPUT_LEAST = 0.75, 0.7
 
@@ -78,7 +81,7 @@ def is_copy(prompt_a: str, output_a: str, prompt_b: str, output_b: str) -> bool:
     return dice(output_a, output_b) >= OUTPUT_LEAST and dice(prompt_a, prompt_b) >= PROMPT_LEAST
 
 
-def cross_split_copies(rows: DataFrame, key: str, prompt: list[str], output: str, split: str, train: str = "train", overlap: float = OVERLAP) -> DataFrame:
+def cross_split_copies(rows: DataFrame, key: str, prompt: list[str], output: str, split: str, train: str = "train", overlap: float = OVERLAP, tail: float = TAIL) -> DataFrame:
     """(key_a, key_b, key_train, key_other, split, overlap): copies between train and any other split.
 
     overlap is the shared chunk length over the longer record's length. Null fields are empty;
@@ -91,7 +94,7 @@ def cross_split_copies(rows: DataFrame, key: str, prompt: list[str], output: str
     def tidy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             p, o = f["prompt"].map(one_form), f["output"].map(one_form)
-            rec = [xxhash.xxh128_hexdigest(f"{a}\n{b}") for a, b in zip(p, o)]
+            rec = [base64.b64encode(xxhash.xxh128_digest(f"{a}\n{b}")).decode()[:22] for a, b in zip(p, o)]
             yield pd.DataFrame({"key": f["key"], "is_train": f["is_train"], "split": f["split"], "rec": rec, "p": p, "o": o})
 
     tidied = cut(src.mapInPandas(tidy, f"key {kind}, is_train boolean, split string, rec string, p string, o string").where("p <> '' or o <> ''"))
@@ -111,13 +114,16 @@ def cross_split_copies(rows: DataFrame, key: str, prompt: list[str], output: str
     df = parts.groupBy("chunk").agg(F.count("*").alias("df"), F.max("in_train").alias("t"), F.max("in_other").alias("e"))
     # a chunk found on one side only can't be shared, but stands for length not shared
     ranked = parts.join(df, "chunk").withColumn("common", F.col("t") & F.col("e"))
-    lists = ranked.groupBy("rec", "in_train", "in_other", "size").agg(F.sort_array(F.collect_list(F.struct("df", "chunk", "n", "common"))).alias("c"))
-    lists = cut(lists)
-    before = F.expr("transform(sequence(1, size(c)), i -> aggregate(slice(c, 1, i - 1), 0L, (a, x) -> a + x.n))")
-    heads = lists.select("rec", "in_train", "in_other", F.explode(F.arrays_zip("c", before.alias("before"))).alias("x"), "size")
-    heads = heads.where((F.col("x.before") <= (1 - overlap) * F.col("size")) & F.col("x.c.common")).select("rec", "in_train", "in_other", F.col("x.c.chunk").alias("chunk"))
-    a, b = heads.where("in_other").select("chunk", F.col("rec").alias("other")), heads.where("in_train").select("chunk", F.col("rec").alias("train"))
-    met = a.join(b, "chunk").where("other <> train").select("other", "train").distinct()
+    lists = cut(ranked.groupBy("rec", "in_train", "in_other", "size").agg(F.sort_array(F.collect_list(F.struct("df", "chunk", "n", "common"))).alias("c")))
+    # the running length before each chunk, in one pass over the array
+    run = F.expr("aggregate(c, named_struct('at', 0L, 'out', cast(array() as array<bigint>)), (a, x) -> named_struct('at', a.at + x.n, 'out', array_append(a.out, a.at)), a -> a.out)")
+    heads = lists.select("rec", "in_train", "in_other", "size", F.explode(F.arrays_zip("c", run.alias("before"))).alias("x"))
+    heads = heads.where((F.col("x.before") <= (1 - tail) * F.col("size")) & F.col("x.c.common"))
+    side = lambda flag, s: heads.where(flag).select(F.col("x.c.chunk").alias("chunk"), F.col("rec").alias(s), F.col("size").alias(f"size_{s}"), F.col("x.c.n").alias(f"n_{s}"))
+    longer = F.greatest("size_other", "size_train")
+    met = side("in_other", "other").join(side("in_train", "train"), "chunk").where((F.col("other") != F.col("train")) & (F.least("size_other", "size_train") >= overlap * longer))
+    met = met.groupBy("other", "train").agg(F.sum(F.least("n_other", "n_train")).alias("shared"), F.first(longer).alias("longer"))
+    met = cut(met.where(F.col("shared") >= (overlap - tail) * F.col("longer")).select("other", "train"))
     arrays = lists.select("rec", "size", F.expr("transform(c, x -> named_struct('chunk', x.chunk, 'n', x.n))").alias("c")).join(records.select("rec", "p", "o"), "rec")
     both = met.join(arrays.selectExpr("rec as other", "size as size_a", "c as ca", "p as pa", "o as oa"), "other").join(arrays.selectExpr("rec as train", "size as size_b", "c as cb", "p as pb", "o as ob"), "train")
 
