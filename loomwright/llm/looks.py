@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.session import cut
+
 # Letters of Greek and Cyrillic that have the shape of a Latin letter.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "З": "3", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ї": "Ï", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ғ": "F", "Ӏ": "I", "Һ": "h",
@@ -126,20 +128,16 @@ def same_look(df: DataFrame, text: str, form: str = "form") -> DataFrame:
 def look_alike_pairs(rows: DataFrame, group: list[str], key: str, text: str = "text", least: int = 2) -> DataFrame:
     """(*group, key_a, key_b): rows of one group whose texts differ in characters but not in look.
 
-    Texts under `least` characters are left out. Rows are first gathered by (group, form) digest
-    only as counts of distinct texts; rows of a form with a single spelling take no part in the
-    join. Spellings are then paired, and rows come in by their spelling, so a form typed alike
-    by a third of all rows costs no comparison of equal texts.
+    Texts under `least` characters are left out. Distinct spellings are gathered first and paired
+    within their form; rows come in by their spelling only then. So a form typed alike by a third
+    of all rows costs no comparison of equal texts: work and shuffle follow the pairs put out,
+    and adaptive execution splits the rows of a hot spelling. Repeated rows are paired each.
     """
     formed = same_look(rows.select(*group, F.col(key).alias("k"), F.col(text).alias("text")).where(F.length("text") >= least), "text")
-    marked = formed.select(*group, "k", F.md5("form").alias("f"), F.md5("text").alias("s"))
-    spellings = marked.groupBy(*group, "f", "s").agg(F.count("*").alias("n"))
-    twice = spellings.groupBy(*group, "f").agg(F.count("*").alias("n")).where("n > 1").select(*group, "f")
-    left = marked.join(twice, [*group, "f"], "left_semi")
-    a, b = left.alias("a"), left.alias("b")
-    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) if g not in group else F.col(f"a.{g}") == F.col(f"b.{g}") for g in [*group, "f"]]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    pairs = a.join(b, on & (F.col("a.s") < F.col("b.s")))
-    return pairs.select(*[F.col(f"a.{g}").alias(g) for g in group], F.least("a.k", "b.k").alias(f"{key}_a"), F.greatest("a.k", "b.k").alias(f"{key}_b"))
+    marked = cut(formed.select(*group, "k", F.md5("form").alias("f"), F.md5("text").alias("s")))
+    spellings = marked.select(*group, "f", "s").distinct()
+    other = spellings.withColumnRenamed("s", "s2")
+    pairs = spellings.join(other, [*group, "f"]).where("s < s2").select(*group, "s", "s2")
+    first = pairs.join(marked.select(*group, "s", F.col("k").alias("k1")), [*group, "s"])
+    both = first.join(marked.select(*group, F.col("s").alias("s2"), F.col("k").alias("k2")), [*group, "s2"])
+    return both.select(*group, F.least("k1", "k2").alias(f"{key}_a"), F.greatest("k1", "k2").alias(f"{key}_b"))
