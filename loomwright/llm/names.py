@@ -243,19 +243,19 @@ def link_names(rows: DataFrame, key: str, name: str, founded: str, address: str,
     def entries(segs: str) -> DataFrame:
         own = full.select("id", "han", F.explode(marks).alias("mark"), segs, "brand")
         part = own.select("id", "han", "mark", F.explode(segs).alias("seg"))
-        alone = full.where("brand <> ''").select("id", "han", F.lit("b").alias("mark"), F.col("brand").alias("seg"))
         none = own.where("brand = ''").select("id", "han", "mark", F.lit("").alias("seg")).where(F.col("mark").startswith("e"))
-        return part.unionByName(alone).unionByName(none)
+        return part.unionByName(none)
 
-    # a mark shared with a segment by few profiles gives few pairs; equal brands without a mark are chained, not paired
-    left, right = entries("index").alias("l"), entries("probe").alias("r")
-    met = left.where("mark <> 'b'").alias("l").join(right.where("mark <> 'b'").alias("r"), ["han", "mark", "seg"]).where(F.col("l.id") != F.col("r.id"))
+    met = entries("index").alias("l").join(entries("probe").alias("r"), ["han", "mark", "seg"]).where(F.col("l.id") != F.col("r.id"))
     pairs = met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    # equal brands meet by brand and the third mark, or by their whole name
+    # equal brands without a common mark meet by the capital, or by the rest of the name
     thin = full.where("brand <> '' and (est = '' or addr = '')")
     other = full.where("brand <> ''")
-    by_brand = thin.alias("l").join(other.alias("r"), ["han", "brand"]).where("l.id <> r.id and (l.cap = r.cap or l.cap = '' or r.cap = '') and (l.est = r.est or l.est = '' or r.est = '') and (l.addr = r.addr or l.addr = '' or r.addr = '')")
-    pairs = pairs.unionByName(by_brand.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))).distinct()
+    free = "l.id <> r.id and (l.est = r.est or l.est = '' or r.est = '') and (l.addr = r.addr or l.addr = '' or r.addr = '') and (l.cap = r.cap or l.cap = '' or r.cap = '')"
+    for same in ("l.cap = r.cap and l.cap <> ''", "l.rest = r.rest"):
+        by_brand = thin.alias("l").join(other.alias("r"), F.expr(f"l.han = r.han and l.brand = r.brand and {same} and {free}"))
+        pairs = pairs.unionByName(by_brand.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")))
+    pairs = pairs.distinct()
     facts = ["brand", "han", "rest", "est", "addr", "cap", "type"]
     sides = [full.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in facts]) for s in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
