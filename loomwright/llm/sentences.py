@@ -40,6 +40,7 @@ _THAI = re.compile(r"[฀-๿]")
 # How a line of its own begins if it is a list entry or a heading.
 _ENTRY = re.compile(r"\s*(?:[-–—*•·▪●○◦■□◆►▶※+](?=\s|[^\W\d_])|#{1,6}\s|[(（]\s*(?:\d{1,3}|[一二三四五六七八九十]{1,3}|[a-zA-Z]|[ivx]{1,4})\s*[)）]|\d{1,3}(?:\.\d{1,3})+\.?(?=\s)|\d{1,3}\s*[.)）．、](?!\d)|[①-⑳❶-❿]|[一二三四五六七八九十]{1,3}、|第[\d一二三四五六七八九十百]+[章节条部分篇]|[QA]\d*[.:：]\s|【[^】\n]{1,20}】\s*$)")
 _HEADING = re.compile(r"\s*(?:#{1,6}\s|第[\d一二三四五六七八九十百]+[章节部篇]|\d{1,3}(?:\.\d{1,3})+\.?\s|[(（][一二三四五六七八九十]{1,3}[)）]|[一二三四五六七八九十]{1,3}、|[QA]\d+[.:：]\s)")
+_MARK_ONLY = re.compile(r"[A-Z]?\d{1,3}(?:\.\d{1,3})*|[A-Za-z]|[一二三四五六七八九十]{1,3}")
 MAX_QUOTE = 400
 
 
@@ -98,8 +99,8 @@ def word_after(text: str, at: int) -> str:
     return text[at : at + 2]
 
 
-def _line_units(text: str) -> list[tuple[int, int]]:
-    """Stretches between line breaks that end a unit; wrapped lines stay together."""
+def _line_units(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches between line breaks that end a unit; wrapped lines and quoted passages stay together."""
     lines = [(m.start(), m.end()) for m in re.finditer(r"[^\n\r  \x0b\x0c\x85]+", text)]
     runs: list[list[tuple[int, int]]] = []
     for s, e in lines:
@@ -114,7 +115,7 @@ def _line_units(text: str) -> list[tuple[int, int]]:
         width = max(len(text[s:e].rstrip()) for s, e in run)
         start = run[0][0]
         for (s, e), nxt in zip(run, [*run[1:], None]):
-            if nxt is None or not _wrapped(text, s, e, nxt, width, s == start):
+            if nxt is None or not (any(a < e < z for a, z in spans) or _wrapped(text, s, e, nxt, width, s == start)):
                 out.append((start, e))
                 start = nxt[0] if nxt else e
     return out
@@ -123,21 +124,18 @@ def _line_units(text: str) -> list[tuple[int, int]]:
 def _wrapped(text: str, s: int, e: int, nxt: tuple[int, int], width: int, first: bool) -> bool:
     """Whether the line break behind text[s:e] only wraps a sentence (or leaves it to its end mark)."""
     line, after = text[s:e].rstrip(), text[nxt[0] : nxt[1]].lstrip()
+    latin = not _IS_CJK.search(line[-2:]) and not _THAI.search(line[-2:]) and not _IS_CJK.match(after) and not _THAI.match(after)
+    # greedy wrapping: the next word had no room on this line
+    word = after.split(maxsplit=1)[0] if after else ""
+    full = latin and width >= 30 and len(line) + 1 + len(word) > width - 3
+    tail = re.sub(r"[”’」』）)】》\"']+$", "", line)
     if _ENTRY.match(text, nxt[0], nxt[1]):
-        return False
+        return full and word[:1].isdigit() and tail[-1:].isalpha()  # a number within a wrapped sentence
     if first and _HEADING.match(line) and len(line) <= 60 and not re.search(r"[。！？!?.][”’」』）)\"]*$", line):
         return False
-    tail = re.sub(r"[”’」』）)】》\"']+$", "", line)
     if tail[-1:] in "，,、；;：:-–—" and not _ENTRY.match(line):
         return True
-    latin = not _IS_CJK.search(line[-2:]) and not _THAI.search(line[-2:]) and not _IS_CJK.match(after) and not _THAI.match(after)
-    if not latin:
-        return False
-    if after[:1].islower():
-        return True
-    # greedy wrapping: the next word had no room on this line
-    word = after.split(maxsplit=1)[0] if after else ""
-    return width >= 30 and len(line) + 1 + len(word) > width
+    return latin and (after[:1].islower() or full)
 
 
 FEATURES = 18
@@ -152,13 +150,14 @@ def features(text: str, a: int, b: int, e: int, floor: int, quoted: bool, stats:
     word = word_after(text, nxt) if nxt < len(text) else ""
     cjk_before = bool(_IS_CJK.match(text[a - 1 : a] or " "))
     low = prev.casefold().rstrip(".")
-    bare = stats.get("w:" + low, (None, 0))[0]
+    # a short capitalised word is judged by how often it stands without a period, any other by what follows its period
+    bare = stats.get(("w:" if len(low) <= 4 and prev[:1].isupper() else "c:") + low, (None, 0))[0]
     # an unknown word in Latin script is most likely a name: those seldom begin a sentence
     begins = stats.get("b:" + word, (-1.5 if word[:1].isalpha() and word.isascii() else 0.0, None))[0]
     x[0] = 1
-    x[1] = begins
+    x[1] = 0 if word.isdigit() else begins
     x[2] = 2.0 if cjk_before else (bare if bare is not None else (1.0 if len(low) > 3 and "." not in low else -0.5))
-    x[3] = after.islower()
+    x[3] = word.islower()
     x[4] = after.isupper()
     x[5] = after.isdigit()
     x[6] = bool(_IS_CJK.match(after or " "))
@@ -218,9 +217,8 @@ def certain(text: str, a: int, b: int, e: int, z: int, floor: int, quoted: bool)
         if before.isalnum() and c.isalnum() and not cjk and not _IS_CJK.match(c):
             # no space: only a small letter before a capital can be a boundary
             return None if before.islower() and c.isupper() and len(word_before(text, a, floor)) > 2 else False
-    if n.islower() and not quoted and mark[0] not in "。｡":
-        return False
-    if quoted and n.islower():
+    small = n.islower() and word_after(text, e + len(rest) - len(rest.lstrip())).islower()  # pH begins a sentence as well as any
+    if small and (quoted or mark[0] not in "。｡"):
         return False
     if not quoted and any(x in "。！？｡" for x in mark):
         return True
@@ -232,7 +230,7 @@ def split_text(text: str, model: np.ndarray, stats: dict[str, tuple[float, float
     spans = protected(text)
     cuts: list[tuple[int, int]] = []
     unmarked = not re.search(r"[。！？!?｡]|\.(?!\d)", text)
-    for s, z in _line_units(text):
+    for s, z in _line_units(text, spans):
         at = s
         for a, b, e, quoted in candidates(text, s, z, spans):
             if e <= at or e > z:
@@ -240,6 +238,8 @@ def split_text(text: str, model: np.ndarray, stats: dict[str, tuple[float, float
             sure = certain(text, a, b, e, z, s, quoted)
             if quoted and sure is not True and text[at:z].lstrip()[:1] in ("(", "（") and text[at:a].rfind(text[at:z].lstrip()[0]) == len(text[at:z]) - len(text[at:z].lstrip()) and text[e : e + 1].isspace():
                 sure = True  # a bracketed passage that is a sentence of its own
+            if sure is not False and text[a:b] in (".", "．") and _MARK_ONLY.fullmatch(text[at:a].strip()):
+                sure = False  # the mark of an entry or heading within the line
             if sure is None:
                 sure = float(features(text, a, b, e, s, quoted, stats) @ model) > 0
             if sure:
@@ -268,7 +268,7 @@ def _spaced(text: str, s: int, z: int, spans: list[tuple[int, int]], unmarked: b
             pass
         elif (_IS_CJK.match(x) or x in "%％）)”」") and (_IS_CJK.match(y) or y in "“「《【"):
             begins = stats.get("b:" + word_after(text, q), (0.0, None))[0]
-            if not (unmarked or (begins > 1 and p - at >= 10)) or _ENTRY.fullmatch(text, at, p):
+            if not (unmarked and p - at >= 6 or begins > 1 and p - at >= 10) or _ENTRY.fullmatch(text, at, p):
                 continue
         elif (_THAI.match(x) and (y.isalpha() and y.isupper() or _IS_CJK.match(y))) or (_THAI.match(y) and x in ".。!！?？"):
             pass
@@ -282,9 +282,13 @@ def _spaced(text: str, s: int, z: int, spans: list[tuple[int, int]], unmarked: b
 
 
 def _count(text: str, words: Counter) -> None:
-    """w:word| with and without a period; b:token| beginning a sentence or not."""
+    """w:word with a period or without; c:word with a period, going on or not; b:token beginning a sentence or not."""
     for m in re.finditer(r"[A-Za-zÀ-ɏ][\w'’-]*(?:\.[A-Za-zÀ-ɏ]+)*(\.?)", text):
-        words[("w:" + m[0].rstrip(".").casefold()[:24], 1 if m[1] else 0)] += 1
+        word = m[0].rstrip(".").casefold()[:24]
+        words[("w:" + word, 1 if m[1] else 0)] += 1
+        if m[1]:
+            rest = text[m.end() : m.end() + 3].lstrip()
+            words[("c:" + word, 1 if rest[:1].islower() or rest[:1].isdigit() or rest[:1] in (",", ";", ")") and rest else 0)] += 1
     for s, e in ((m.start(), m.end()) for m in re.finditer(r"[^\n]+", text)):
         t = re.compile(r"\s*").match(text, s).end()
         if t < e:
@@ -296,7 +300,7 @@ def _count(text: str, words: Counter) -> None:
 
 
 def word_statistics(docs: DataFrame, text: str = "text") -> dict[str, tuple[float, float]]:
-    """Log odds of each frequent token: standing without a period (w:), beginning a sentence (b:)."""
+    """Log odds of each frequent token: standing without a period (w:), its period followed by a capital (c:), beginning a sentence (b:)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -312,7 +316,7 @@ def word_statistics(docs: DataFrame, text: str = "text") -> dict[str, tuple[floa
     out = {}
     for r in per.where(F.col("n") >= max(5, total * WORD_SHARE)).collect():
         odds = float(np.clip(np.log((r.yes + 0.5) / (r.n - r.yes + 0.5)), -4, 4))
-        out[r.word] = (-odds if r.word.startswith("w:") else odds, float(r.n))
+        out[r.word] = (odds if r.word.startswith("b:") else -odds, float(r.n))
     return out
 
 
@@ -320,13 +324,13 @@ def _labelled(text: str, stats: dict) -> list[tuple[int, np.ndarray]]:
     """Reliable candidates: (1 or 0, features)."""
     spans = protected(text)
     out = []
-    for s, z in _line_units(text):
+    for s, z in _line_units(text, spans):
         for a, b, e, quoted in candidates(text, s, z, spans):
             sure = certain(text, a, b, e, z, s, quoted)
             x = features(text, a, b, e, s, quoted, stats)
             if sure is None and text[a:b] == "." and not quoted and not x[13]:
-                if x[2] > 1.5 and x[4] and not x[7] and not x[8]:
-                    sure = True  # an ordinary word before a capital
+                if x[2] > 1.5 and (x[4] or x[5]) and not x[7] and not x[8]:
+                    sure = True  # an ordinary word before a capital or a number
                 elif x[1] < -1 and x[2] < 0:
                     sure = False
             elif sure is None and quoted:
@@ -339,15 +343,16 @@ def _labelled(text: str, stats: dict) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def fit(rows: list[tuple[int, np.ndarray]], rounds: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of the maximum-entropy model, by gradient descent on the mean log-likelihood."""
+def fit(rows: list[tuple[int, np.ndarray, int]], rounds: int = 3000, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
+    """Weights of the maximum-entropy model, by gradient descent on the mean log-likelihood of (class, features, count)."""
     w = np.zeros(FEATURES)
     w[1], w[2] = 1.0, 0.5  # without any rows: by what follows and what precedes
     if not rows:
         return w
     y = np.array([r[0] for r in rows], float)
     x = np.stack([r[1] for r in rows])
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    n = np.array([r[2] for r in rows], float)
+    weight = np.where(y > 0, 0.5 * n / max(1, (y * n).sum()), 0.5 * n / max(1, ((1 - y) * n).sum()))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= rate * (x.T @ ((p - y) * weight) + ridge * w)
@@ -368,7 +373,7 @@ def train(docs: DataFrame, stats: dict, key: str = "doc_id", text: str = "text",
                 yield g.astype({"y": "int32", "n": "int64"})
 
     got = spread(chosen).mapInPandas(run, "y int, x array<double>, n long").groupBy("y", "x").agg(F.sum("n").alias("n")).orderBy("y", "x").collect()
-    return fit([(r.y, np.array(r.x)) for r in got for _ in range(min(int(r.n), 50))])
+    return fit([(r.y, np.array(r.x), min(int(r.n), 50)) for r in got])
 
 
 def sentence_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
