@@ -11,7 +11,9 @@ Distinct cells are parsed once; counts of values and code lengths are sums over
 
 from __future__ import annotations
 
+import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -42,7 +44,7 @@ _ANY = re.compile("|".join(DELIMITERS.values()))
 _MARKS = (
     lambda k: rf"[(（]\s*{k}\s*[)）]",
     lambda k: rf"{k}\s*[)）]",
-    lambda k: rf"{k}\s*[.．](?!\d+(?![A-Za-z一-鿿\d]))",
+    lambda k: rf"{k}\s*[.．](?!\d+(?![A-Za-z一-鿿\d,，-]))",
     lambda k: rf"{k}\s*、",
     lambda k: re.escape(chr(0x245F + int(k))) if int(k) <= 20 else r"(?!)",
 )
@@ -127,6 +129,11 @@ def readings(cell: str) -> list[tuple[str, float, list[str]]]:
     return out
 
 
+def _key(value: str) -> str:
+    """A value for counting: compatibility forms as one, invisible characters out."""
+    return "".join(c for c in unicodedata.normalize("NFKC", value) if unicodedata.category(c) not in ("Cf", "Mn")).replace("‐", "-")
+
+
 def _raw_bits(value: str) -> float:
     return CHAR_BITS * (len(value) + 1) + MARK_BITS * len(_INSIDE.findall(value))
 
@@ -142,29 +149,31 @@ def packed_values(cells: DataFrame) -> DataFrame:
     """
     keyed = cells.where(r"cell rlike '(?U)\\S'").withColumn("id", F.md5("cell"))
     distinct = keyed.groupBy("id").agg(F.first("cell").alias("cell"), F.count("*").alias("n"))
-    schema = T.StructType.fromDDL("id string, n long, dialect string, bits double, pos int, item string, raw double, marks int, siblings int")
+    schema = T.StructType.fromDDL("id string, look string, n long, dialect string, bits double, pos int, item string, key string, raw double, marks int, siblings int")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for i, cell, n in zip(f["id"], f["cell"], f["n"]):
                 ways = readings(cell)
+                look = hashlib.md5(_key(cell).encode()).hexdigest()
                 if len(ways) == 1:  # one value, whatever it costs; it still counts as a value
-                    rows.append((i, n, "whole", 0.0, 1, ways[0][2][0], 0.0, len(_INSIDE.findall(cell)), 1))
+                    rows.append((i, look, n, "whole", 0.0, 1, ways[0][2][0], _key(ways[0][2][0]), 0.0, len(_INSIDE.findall(cell)), 1))
                     continue
                 for dialect, bits, values in ways:
-                    rows += [(i, n, dialect, bits, p, v, _raw_bits(v), len(_INSIDE.findall(v)), len(values)) for p, v in enumerate(values, 1)]
+                    rows += [(i, look, n, dialect, bits, p, v, _key(v), _raw_bits(v), len(_INSIDE.findall(v)), len(values)) for p, v in enumerate(values, 1)]
             yield pd.DataFrame(rows, columns=schema.names)
 
     read_all = cut(spread(distinct, "id").mapInPandas(read, schema))
     # evidence for a value: cells where it is alone, or, if it has a mark inside, one of several
-    # (a repeated cell is no further evidence that its marks belong to the value)
-    proof = read_all.where("marks = 0 or siblings > 1").groupBy("id", "item").agg(F.first("n").alias("n"), F.first("marks").alias("marks"))
-    per = proof.groupBy("item").agg(F.when(F.first("marks") > 0, F.count("*")).otherwise(F.sum("n")).alias("c"), F.first("marks").alias("marks"))
-    counts = cut(per.where(f"c >= if(marks > 0, {MIN_MARKED}, {MIN_COUNT})").select("item", "c"))
+    # (a repeated cell, even typed with other characters, is no further evidence that its marks belong to the value)
+    proof = read_all.where("marks = 0 or siblings > 1").groupBy("id", "look", "key").agg(F.first("n").alias("n"), F.min("marks").alias("marks"))
+    proof = proof.groupBy("look", "key").agg(F.sum("n").alias("n"), F.min("marks").alias("marks"))
+    per = proof.groupBy("key").agg(F.when(F.min("marks") > 0, F.count("*")).otherwise(F.sum("n")).alias("c"), F.min("marks").alias("marks"))
+    counts = cut(per.where(f"c >= if(marks > 0, {MIN_MARKED}, {MIN_COUNT})").select("key", "c"))
     total = proof.agg(F.coalesce(F.sum("n"), F.lit(1)).cast("double").alias("total"))
     several = read_all.where("raw > 0")
-    known = several.join(small(counts), "item", "left").join(F.broadcast(total))
+    known = several.join(small(counts), "key", "left").join(F.broadcast(total))
     code = F.when(F.col("c").isNotNull(), F.least(F.col("raw"), 1 + KNOWN_MARK_BITS * F.col("marks") - F.log2(F.col("c") / F.col("total")))).otherwise(F.col("raw"))
     cost = known.groupBy("id", "dialect").agg((F.sum(code) + F.count("*") * VALUE_BITS + F.first("bits")).alias("cost"), F.count("*").alias("values"), F.first("bits").alias("bits"))
     best = cost.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.round("cost", 6), "bits", "dialect"))).where("r = 1 and values > 1").select("id", "dialect")
