@@ -113,6 +113,10 @@ def _line_units(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]
     out: list[tuple[int, int]] = []
     for run in runs:
         width = max(len(text[s:e].rstrip()) for s, e in run)
+        # most lines of a wrapped paragraph had no room for the next line's first word
+        no_room = [len(text[s:e].rstrip()) + 1 + len((text[a:z].split(maxsplit=1) or [""])[0]) > width - 3 for (s, e), (a, z) in zip(run, run[1:])]
+        if len(no_room) < 2 or sum(no_room) < 0.6 * len(no_room):
+            width = 10**9
         start = run[0][0]
         for (s, e), nxt in zip(run, [*run[1:], None]):
             if nxt is None or not (any(a < e < z for a, z in spans) or _wrapped(text, s, e, nxt, width, s == start)):
