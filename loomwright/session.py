@@ -70,3 +70,12 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *columns)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """A scan over all cores for Python work: shuffled only where the files give fewer than half as many partitions.
+
+    A large table has more partitions than cores and passes as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
