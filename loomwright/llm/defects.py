@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.leaks import one_form
-from loomwright.session import cut
+from loomwright.session import cut, widen
 
 #: Order of the rules; the first that fires names the record's one defect.
 ORDER = ("empty", "refusal", "copied", "language", "truncated")
@@ -235,7 +235,7 @@ def find_defects(rows: DataFrame, key: str, instruction: str, inp: str, output:
     get the same defects. Very long texts are read whole. An empty table gives an empty result.
     """
     kind = rows.schema[key].dataType.simpleString()
-    src = rows.select(F.col(key).alias("key"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((instruction, "i"), (inp, "n"))], F.col(output).cast("string").alias("o"))
+    src = widen(rows).select(F.col(key).alias("key"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((instruction, "i"), (inp, "n"))], F.col(output).cast("string").alias("o"))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.session import widen
+
 #: Where the vocabulary files lie; a parameter of every function below.
 TOKENIZER_DIR = "/opt/tokenizers"
 
@@ -193,5 +195,5 @@ def encode_corpus(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["k", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    src = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    src = widen(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")))
     return src.mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)

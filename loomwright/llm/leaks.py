@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.session import cut, spread
+from loomwright.session import cut, spread, widen
 
 WINDOW, MEAN, LONGEST = 4, 6, 64
 #: Overlap by shared chunk length that makes a pair a candidate, and the part of a record outside its head.
@@ -97,7 +97,7 @@ def cross_split_copies(rows: DataFrame, key: str, prompt: list[str], output: str
             rec = [base64.b64encode(xxhash.xxh128_digest(f"{a}\n{b}")).decode()[:22] for a, b in zip(p, o)]
             yield pd.DataFrame({"key": f["key"], "is_train": f["is_train"], "split": f["split"], "rec": rec, "p": p, "o": o})
 
-    tidied = cut(src.mapInPandas(tidy, f"key {kind}, is_train boolean, split string, rec string, p string, o string").where("p <> '' or o <> ''"))
+    tidied = cut(widen(src).mapInPandas(tidy, f"key {kind}, is_train boolean, split string, rec string, p string, o string").where("p <> '' or o <> ''"))
     records = cut(tidied.groupBy("rec").agg(F.first("p").alias("p"), F.first("o").alias("o"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_other")))
 
     def cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.session import cut
+from loomwright.session import cut, widen
 
 # Letters of Greek and Cyrillic that have the shape of a Latin letter.
 LOOK_ALIKES = {
@@ -119,7 +119,7 @@ def same_look(df: DataFrame, text: str, form: str = "form") -> DataFrame:
     src = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
     fields = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields] + ["form string"])
     n = len(keep)
-    out = src.mapInArrow(lambda it: _run(it, n), fields)
+    out = widen(src).mapInArrow(lambda it: _run(it, n), fields)
     by = {c: f"c{i}" for i, c in enumerate(keep)} | {text: "t", form: "form"}
     order = [c for c in df.columns if c != form] + [form]
     return out.select(*[F.col(by[c]).alias(c) for c in order])

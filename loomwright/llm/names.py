@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.canon import edits
 from loomwright.llm.components import classes
-from loomwright.session import cut, spread
+from loomwright.session import cut, spread, widen
 
 # Legal forms, longest first.
 LEGAL_HAN = "股份有限责任公司 集团有限责任公司 集团股份有限公司 股份有限公司 集团有限公司 有限责任公司 控股有限公司 有限公司 集团公司 股份公司 责任公司 控股 集团 股份 公司".split()
@@ -207,7 +207,7 @@ def link_names(rows: DataFrame, key: str, name: str, founded: str, address: str,
             yield pd.DataFrame({"key": f["key"], "plain": [p for p, _ in plain], "han": [h for _, h in plain], "est": f["est"].fillna(""), "addr": f["addr"].map(plain_address), "cap": f["cap"].map(capital), "type": f["type"].map(org_type)})
 
     kind = rows.schema[key].dataType.simpleString()
-    tidied = cut(src.mapInPandas(tidy, f"key {kind}, plain string, han boolean, est string, addr string, cap string, type string"))
+    tidied = cut(widen(src).mapInPandas(tidy, f"key {kind}, plain string, han boolean, est string, addr string, cap string, type string"))
     profiles = tidied.groupBy("plain", "han", "est", "addr", "cap", "type").agg(F.min("key").alias("id"))
     profiles = cut(profiles)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.encode import TOKENIZER_DIR, WORD_PATTERN, load_ranks
-from loomwright.session import cut
+from loomwright.session import cut, widen
 
 CAPACITY = 2048
 #: A bin with at most this share of room left is closed.
@@ -50,7 +50,7 @@ def token_sizes(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["k", "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()
-    src = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    src = widen(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")))
     return src.mapInArrow(run, f"k {kind}, n_tokens long").withColumnRenamed("k", key)
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.session import spread
+from loomwright.session import spread, widen
 
 #: Documents whose reliable candidates the classifier is fitted on.
 SAMPLE = 4000
@@ -313,7 +313,7 @@ def word_statistics(docs: DataFrame, text: str = "text") -> dict[str, tuple[floa
                 _count(t, words)
             yield pd.DataFrame([(w, k, n) for (w, k), n in words.items()], columns=["word", "kind", "n"])
 
-    got = docs.select(F.col(text).cast("string").alias("t")).where("t is not null").mapInPandas(run, "word string, kind int, n long")
+    got = widen(docs.select(F.col(text).cast("string").alias("t")).where("t is not null")).mapInPandas(run, "word string, kind int, n long")
     per = got.groupBy("word").agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("yes"), F.sum("n").alias("n"))
     per = per.where("n >= 5")
     total = got.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"]
@@ -394,5 +394,5 @@ def sentence_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for f in frames:
             yield pd.DataFrame([(k, s, e) for k, t in zip(f["k"], f["t"]) for s, e in split_text(t, model, stats)], columns=["k", "start_char", "end_char"])
 
-    src = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
+    src = widen(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null"))
     return src.mapInPandas(run, f"k {kind}, start_char long, end_char long").withColumnRenamed("k", key)
