@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.functions import encoders as enc
 from loomwright.functions import stateful as st
 from loomwright.functions import text as tx
 from loomwright.functions import vectors as vx
@@ -198,6 +199,24 @@ def rows_terms(spark: SparkSession, d: str) -> DataFrame:
     return t.where((F.length("tag") > 1) & ~F.col("tag").rlike(r"^[0-9]+\z")).distinct()
 
 
+@query(f"select row_idx, case when {q.is_blank('category')} then category_big else category end as category, '' as note from enterprises_full")
+def rows_columns(spark: SparkSession, d: str) -> DataFrame:
+    e = ro.rename_or_fill(table(spark, d, "enterprises_full"), "category_big", "category")
+    return ro.select_available(ro.ensure_columns(ro.drop_columns(e, ["business", "absent"]), ["note"]), ["row_idx", "category", "note", "business"])
+
+
+@query("select doc_id, md5(array_to_string(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z]+|[一-鿿]+'), lambda x: length(x) > 1), ' ')) as terms from documents")
+def text_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(F.concat_ws(" ", enc.terms(F.col("text")))).alias("terms"))
+
+
+@query("select user_id, count(*) as n_lines, count(*) filter (value > 50) as n_hit, bool_or(value > 50) as any_hit from events group by 1")
+def stats_presence_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with a match, and whether the key has any."""
+    hit = F.col("value") > 50
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n_lines"), F.count_if(hit).alias("n_hit"), F.bool_or(hit).alias("any_hit"))
+
+
 # -- counts and summaries --------------------------------------------------------------------------------------------
 @query(" union all ".join(f"select '{c}' as column_name, {c} as label, count(*) as n from enterprises_full where {c} is not null group by {c}" for c in ("category", "scale", "category_big")))
 def stats_value_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -130,3 +130,16 @@ def test_stream(spark, folder, tmp_path):
     w = windowed_counts(src, "ts", "event_type", "value").writeStream.format("memory").outputMode("complete").queryName("windows").trigger(availableNow=True).start()
     w.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == events.where("ts is not null").count()
+
+
+def test_encoders(spark):
+    import pandas as pd
+
+    from loomwright.functions import encoders as enc
+
+    df = spark.createDataFrame([("基于AI 模型 a",), ("",), (None,)], "s string")
+    got = df.select(enc.terms(F.col("s"), ("ai",)).alias("t"), enc.hashed_vector(F.col("s"), 8).alias("v")).collect()
+    assert [list(r["t"]) for r in got] == [["基于", "模型"], [], []]
+    assert sum(got[0]["v"]) == 8 and sum(got[1]["v"]) == 0 and got[2]["v"] is None
+    length = enc.encoder_udf(lambda: lambda s: pd.Series([[float(len(x or ""))] for x in s]))
+    assert [r[0][0] for r in df.select(length(F.col("s"))).collect()] == [9.0, 0.0, 0.0]
