@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.session import spread, widen
+from loomwright.session import cut, spread, widen
 
 #: Documents whose reliable candidates the classifier is fitted on.
 SAMPLE = 4000
@@ -313,7 +313,8 @@ def word_statistics(docs: DataFrame, text: str = "text") -> dict[str, tuple[floa
                 _count(t, words)
             yield pd.DataFrame([(w, k, n) for (w, k), n in words.items()], columns=["word", "kind", "n"])
 
-    got = widen(docs.select(F.col(text).cast("string").alias("t")).where("t is not null")).mapInPandas(run, "word string, kind int, n long")
+    counted = widen(docs.select(F.col(text).cast("string").alias("t")).where("t is not null")).mapInPandas(run, "word string, kind int, n long")
+    got = cut(counted.groupBy("word", "kind").agg(F.sum("n").alias("n")))  # read twice below, counted once
     per = got.groupBy("word").agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("yes"), F.sum("n").alias("n"))
     per = per.where("n >= 5")
     total = got.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"]
