@@ -1,7 +1,7 @@
 """Problem 2: several values packed in one field.
 
-A cell can be read in several dialects: one value, a set of delimiters (with or without
-quotes and an outer bracket), or a numbered list. The dialect with the minimum description length is
+A cell can be read in several dialects: one value, a set of delimiters, single blanks among them
+(with or without quotes and an outer bracket), or a numbered list. The dialect with the minimum description length is
 taken: the sum of the code lengths of its values, and a little for each value and the dialect.
 A value's code length is -log2 of its share of all values of the corpus, or, if it is
 rare, what its characters cost; a delimiter inside a value is a dear character.
@@ -38,6 +38,8 @@ DELIMITERS = {
     "break": r"[<＜][bｂBＢ][rｒRＲ]\s*[/／]?[>＞]",
     "spaces": r"[^\S\r\n\t]{2,}",
 }
+#: One blank parts values only where known values speak for it: it is no dear character inside a value, and a reading by it is no evidence for its values.
+BLANKS = {"blank": " ", "wide_blank": "\u3000", "other_blank": "[\u00a0\u1680\u2000-\u200a\u202f\u205f]"}
 QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "「": "」", "『": "』", "＂": "＂", "＇": "＇", "«": "»", "《": "》"}
 BRACKETS = {"[": "]", "【": "】", "{": "}", "［": "］", "｛": "｝", "(": ")", "（": "）", "〔": "〕"}
 _ANY = re.compile("|".join(DELIMITERS.values()))
@@ -92,7 +94,7 @@ def _split(s: str, delimiter: re.Pattern, quoted: bool) -> list[str]:
         if quoted and not s[start:at].strip() and s[at] in QUOTES:
             close = s.find(QUOTES[s[at]], at + 1)
             after = s[close + 1 :].lstrip(" 　 ") if close > 0 else ""
-            if close > 0 and (not after or _ANY.match(after)):
+            if close > 0 and (not after or _ANY.match(after) or delimiter.match(s, close + 1)):
                 at = close + 1
                 continue
         m = delimiter.match(s, at)
@@ -115,17 +117,18 @@ def readings(cell: str) -> list[tuple[str, float, list[str]]]:
     numbered = _numbered(inner)
     if numbered:
         out.append(("numbered", 2.0, [x for x in numbered if x]))
-    present = [n for n, p in DELIMITERS.items() if re.search(p, inner)]
+    classes = DELIMITERS | BLANKS
+    present = [n for n, p in classes.items() if re.search(p, inner)]
     seen = {tuple(x[2]) for x in out}
     quoted = any(q in inner for q in QUOTES)
-    for size in range(1, len(present) + 1):
-        for names in combinations(present, size):
-            d = re.compile("|".join(DELIMITERS[n] for n in names))
-            for with_quotes in (True, False) if quoted else (False,):
-                values = _split(inner, d, with_quotes)
-                if len(values) > 1 and tuple(values) not in seen:
-                    seen.add(tuple(values))
-                    out.append(("+".join(names) + ("+quotes" if with_quotes else ""), 2.0 * size, values))
+    ways = [names for size in range(1, len(present) + 1) for names in combinations(present, size)]
+    for names in sorted(ways, key=lambda w: not BLANKS.keys().isdisjoint(w)):
+        d = re.compile("|".join(classes[n] for n in names))
+        for with_quotes in (True, False) if quoted else (False,):
+            values = _split(inner, d, with_quotes)
+            if len(values) > 1 and tuple(values) not in seen:
+                seen.add(tuple(values))
+                out.append(("+".join(names) + ("+quotes" if with_quotes else ""), 2.0 * len(names), values))
     return out
 
 
@@ -167,9 +170,10 @@ def packed_values(cells: DataFrame) -> DataFrame:
     read_all = cut(spread(distinct, "id").mapInPandas(read, schema))
     # evidence for a value: cells where it is alone, or, if it has a mark inside, one of several
     # (a repeated cell, even typed with other characters, is no further evidence that its marks belong to the value)
-    proof = read_all.where("marks = 0 or siblings > 1").groupBy("id", "look", "key").agg(F.first("n").alias("n"), F.min("marks").alias("marks"))
+    proof = read_all.where("(marks = 0 or siblings > 1) and not contains(dialect, 'blank')").groupBy("id", "look", "key").agg(F.first("n").alias("n"), F.min("marks").alias("marks"))
     proof = proof.groupBy("look", "key").agg(F.sum("n").alias("n"), F.min("marks").alias("marks"))
-    per = proof.groupBy("key").agg(F.when(F.min("marks") > 0, F.count("*")).otherwise(F.sum("n")).alias("c"), F.min("marks").alias("marks"))
+    # nor is a repeated cell further evidence that the blank in it belongs to the value
+    per = proof.groupBy("key").agg(F.when((F.min("marks") > 0) | F.col("key").rlike(r"(?U)\s"), F.count("*")).otherwise(F.sum("n")).alias("c"), F.min("marks").alias("marks"))
     counts = cut(per.where(f"c >= if(marks > 0, {MIN_MARKED}, {MIN_COUNT})").select("key", "c"))
     total = proof.agg(F.coalesce(F.sum("n"), F.lit(1)).cast("double").alias("total"))
     several = read_all.where("raw > 0")

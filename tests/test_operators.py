@@ -102,6 +102,21 @@ def test_packed_values(spark):
     assert packed_values(cells_of(df.limit(0), "t", "id", ["f"])).count() == 0
 
 
+def test_packed_values_parted_by_one_blank(spark):
+    cells = ["教授", "秘书长", "研究员", "大数据", "机器学习"] * 6
+    cells += ["教授 秘书长 研究员", "教授 秘书长 研究员", "研究员　教授", "秘书长\u00a0教授", "大数据；BIM 工程", "BIM 工程", "BIM 工程、机器学习", "教授 副手", '"BIM 工程" "大数据"']
+    df = spark.createDataFrame(list(enumerate(cells)), "id long, f string")
+    by: dict = {}
+    for r in packed_values(cells_of(df, "t", "id", ["f"])).orderBy("row", "pos").collect():
+        by.setdefault((r["row"], cells[r["row"]]), []).append(r["item"])
+    got = {c: v for (_, c), v in by.items()}
+    assert [v for (_, c), v in by.items() if c == "教授 秘书长 研究员"] == [["教授", "秘书长", "研究员"]] * 2
+    assert got["研究员　教授"] == ["研究员", "教授"] and got["秘书长\u00a0教授"] == ["秘书长", "教授"]
+    assert got["大数据；BIM 工程"] == ["大数据", "BIM 工程"] and got["BIM 工程、机器学习"] == ["BIM 工程", "机器学习"]
+    assert got['"BIM 工程" "大数据"'] == ["BIM 工程", "大数据"]
+    assert "BIM 工程" not in got
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{"a": 2}\nbad\n')
     assert io.read_jsonl(spark, str(tmp_path / "a.jsonl"), "a int", strict=False).count() == 2
