@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.window import Window
 
 from loomwright.functions import vectors as vx
@@ -26,6 +27,15 @@ def _unit(v: pd.Series) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-9)
 
 
+def _blocked(q: DataFrame, t: DataFrame, block: int) -> PandasCogroupedOps:
+    """The pairs of blocks of queries (key q) and items (key t)."""
+    nq = max(1, -(-q.count() // block))
+    nt = max(1, -(-t.count() // block))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("int")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
+    t = t.withColumn("tb", F.pmod(F.xxhash64("t"), F.lit(nt)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    return q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb"))
+
+
 def cosine_candidates(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, vector: str, k: int, least: float, block: int = BLOCK) -> DataFrame:
     """(query_key, match_id, score): of each query its k nearest items with a cosine of `least` or more.
 
@@ -34,10 +44,6 @@ def cosine_candidates(queries: DataFrame, items: DataFrame, query_key: str, item
     """
     q = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
     t = items.where(F.col(vector).isNotNull()).select(F.col(item_key).alias("t"), F.col(vector).cast("array<double>").alias("v"))
-    nq = max(1, -(-q.count() // block))
-    nt = max(1, -(-t.count() // block))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("int")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
-    t = t.withColumn("tb", F.pmod(F.xxhash64("t"), F.lit(nt)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     kind = queries.schema[query_key].dataType.simpleString()
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -58,11 +64,87 @@ def cosine_candidates(queries: DataFrame, items: DataFrame, query_key: str, item
                     out += [(part["q"].iat[i], keys[j], float(row[j])) for j in hits]
         return pd.DataFrame(out, columns=[query_key, "match_id", "score"])
 
-    near = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(score, f"{query_key} {kind}, match_id {kind}, score double")
+    near = _blocked(q, t, block).applyInPandas(score, f"{query_key} {kind}, match_id {kind}, score double")
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), "match_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def tag_candidates(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, vector: str, tag: str, k: int, least: float, block: int = BLOCK) -> DataFrame:
+    """(query_key, tag, score): of each query its k best tags; a tag scores as its nearest item, if that has a cosine of `least` or more.
+
+    An item with the query's own key is no match of it. Ties go to the smaller tag. Rows with a null
+    vector or tag take no part.
+    """
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    t = items.where(F.col(vector).isNotNull() & F.col(tag).isNotNull()).select(F.col(item_key).alias("t"), F.col(tag).alias("tag"), F.col(vector).cast("array<double>").alias("v"))
+    kinds = [queries.schema[query_key].dataType.simpleString(), items.schema[tag].dataType.simpleString()]
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            b = b.sort_values("tag", kind="stable").reset_index(drop=True)
+            keys, tags, right = b["t"].to_numpy(), b["tag"].to_numpy(), _unit(b["v"])
+            starts = np.flatnonzero(np.r_[True, tags[1:] != tags[:-1]])
+            for at in range(0, len(a), 512):
+                part = a.iloc[at : at + 512]
+                s = _unit(part["v"]) @ right.T
+                s[part["q"].to_numpy()[:, None] == keys[None, :]] = -2
+                for i, row in enumerate(np.maximum.reduceat(s, starts, axis=1)):
+                    best = np.argsort(-row, kind="stable")[:k]
+                    out += [(part["q"].iat[i], tags[starts[j]], float(row[j])) for j in best if row[j] >= max(least, -1)]
+        return pd.DataFrame(out, columns=[query_key, tag, "score"])
+
+    near = _blocked(q, t, block).applyInPandas(score, f"{query_key} {kinds[0]}, {tag} {kinds[1]}, score double")
+    best = near.groupBy(query_key, tag).agg(F.max("score").alias("score"))
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), tag)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+
+
+def hybrid_search(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, vector: str, weights: DataFrame, key: str, k: int, threshold: float, alpha: float, block: int = BLOCK) -> DataFrame:
+    """(query_key, rank, match_id, score): of each query the best k of all items by fused score, those of the threshold or more.
+
+    weights has (key, term, w) of queries and items, as `tfidf` gives them; a row without any has the sparse
+    score 0. Both scores are fused for every item before the cut, inside the tasks of the blocked product.
+    An item with the query's own key is no match of it. Ties go to the smaller key. Rows with a null vector take no part.
+    """
+
+    def side(df: DataFrame, own: str, name: str) -> DataFrame:
+        rows = df.where(F.col(vector).isNotNull()).select(F.col(own).alias(name), F.col(vector).cast("array<double>").alias("v"))
+        sparse = weights.groupBy(F.col(key).alias(name)).agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws"))
+        return rows.join(sparse, name, "left").select(name, "v", "terms", "ws")
+
+    kind = queries.schema[query_key].dataType.simpleString()
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            b = b.sort_values("t", kind="stable").reset_index(drop=True)
+            keys, right = b["t"].to_numpy(), _unit(b["v"])
+            found: dict[str, list] = {}
+            for j, (terms, ws) in enumerate(zip(b["terms"], b["ws"])):
+                for term, x in zip(terms, ws) if terms is not None else ():
+                    found.setdefault(term, []).append((j, x))
+            postings = {term: (np.array([j for j, _ in p]), np.array([x for _, x in p])) for term, p in found.items()}
+            for at in range(0, len(a), 512):
+                part = a.iloc[at : at + 512]
+                dense = (_unit(part["v"]) @ right.T + 1) / 2
+                for i, (own, terms, ws) in enumerate(zip(part["q"], part["terms"], part["ws"])):
+                    t = np.zeros(len(b))
+                    for term, x in zip(terms, ws) if terms is not None else ():
+                        if term in postings:
+                            at_rows, xs = postings[term]
+                            t[at_rows] += x * xs
+                    row = (1 - alpha) * dense[i] + alpha * np.clip(t, 0.0, 1.0)
+                    hits = np.flatnonzero((row >= threshold) & (keys != own))
+                    hits = hits[np.argsort(-row[hits], kind="stable")][:k]
+                    out += [(own, keys[j], float(row[j])) for j in hits]
+        return pd.DataFrame(out, columns=[query_key, "match_id", "score"])
+
+    near = _blocked(side(queries, query_key, "q"), side(items, item_key, "t"), block).applyInPandas(score, f"{query_key} {kind}, match_id {kind}, score double")
+    r = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), "match_id"))
+    return near.withColumn("rank", r).where(F.col("rank") <= k).select(query_key, "rank", "match_id", F.round("score", 6).alias("score"))
+
+
 def cosine_topk_two_tier(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, vector: str, k: int = 3, primary: float = 0.8, secondary: float = 0.73, keep_empty: bool = True) -> DataFrame:
     """(query_key, rank, match_id, score): the best k of the primary tier, or, if it is empty, of the secondary.
 
@@ -111,13 +193,13 @@ def hybrid_topk(pairs: DataFrame, query_key: str, item_key: str, cos: str, spars
 def impute_tags(scored: DataFrame, row: str, part: str, tag: str, score: str, tiers: tuple[float, float, float] = (0.78, 0.70, 0.65), k: int = 3) -> DataFrame:
     """(row, tags): of each part its best k tags of the first tier, else of the second, else its best of the third.
 
-    scored has (row, part, tag, score); a tag found by several parts keeps its best score; tags are
-    joined by '；' from best to worst.
+    scored has (row, part, tag, score); a tag found by several parts, or several times in one, keeps its
+    best score; tags are joined by '；' from best to worst.
     """
     first, second, third = tiers
     w = Window.partitionBy(row, part)
     r = F.row_number().over(w.orderBy(F.desc(score), tag))
-    s = scored.where(F.col(score) >= third).withColumn("r", r).where(F.col("r") <= k).withColumn("best", F.max(score).over(w))
+    s = scored.groupBy(row, part, tag).agg(F.max(score).alias(score)).where(F.col(score) >= third).withColumn("r", r).where(F.col("r") <= k).withColumn("best", F.max(score).over(w))
     ok = F.when(F.col("best") >= first, F.col(score) >= first).when(F.col("best") >= second, F.col(score) >= second).otherwise(F.col("r") == 1)
     per = s.where(ok).groupBy(row, tag).agg(F.max(score).alias("s"))
     return per.groupBy(row).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), F.col(tag).alias("t")))), lambda x: x["t"]), "；").alias("tags"))

@@ -467,6 +467,26 @@ def match_imputed_tags(spark: SparkSession, d: str) -> DataFrame:
     return mt.impute_tags(scored, "vec_id", "part", "tag", "score", (0.4, 0.35, 0.3))
 
 
+@query(f"""with w as materialized ({_TFIDF}), p as ({_PAIRS}), t as (select a.doc_id as vec_id, b.doc_id as match_id, sum(a.w * b.w) as t from w a join w b using (term) where a.doc_id % 50 = 0 group by 1, 2),
+f as (select vec_id, match_id, (1 - 0.2::DOUBLE) * (s + 1) / 2 + 0.2::DOUBLE * greatest(0.0, least(1.0, coalesce(t, 0))) as score from p left join t using (vec_id, match_id))
+select vec_id, row_number() over (partition by vec_id order by score desc, match_id) as rank, match_id, round(score, 6) as score from f where score >= 0.5 qualify rank <= 2""")
+def match_hybrid_all(spark: SparkSession, d: str) -> DataFrame:
+    """Dense and sparse scores fused over all items, then cut: what match_hybrid gives of its dense candidates only."""
+    e = table(spark, d, "embeddings")
+    w = mt.tfidf(table(spark, d, "documents"), "doc_id", _terms())
+    return mt.hybrid_search(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding", w, "doc_id", 2, 0.5, 0.2)
+
+
+@query(f"""with s as (select p.vec_id, e.label::VARCHAR as tag, max(p.s) as s from ({_PAIRS}) p join embeddings e on e.vec_id = p.match_id where p.s >= 0.3 group by 1, 2),
+t as (select *, row_number() over (partition by vec_id order by s desc, tag) as r, max(s) over (partition by vec_id) as best from s qualify r <= 3)
+select vec_id, string_agg(tag, '；' order by s desc, tag) as tags from t where (best >= 0.4 and s >= 0.4) or (best < 0.4 and best >= 0.35 and s >= 0.35) or (best < 0.35 and r = 1) group by 1""")
+def match_imputed_tags_all(spark: SparkSession, d: str) -> DataFrame:
+    """The three best tags of all items, where match_imputed_tags has those of the three nearest items only."""
+    e = table(spark, d, "embeddings").withColumn("tag", F.col("label").cast("string"))
+    scored = mt.tag_candidates(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding", "tag", 3, 0.3).withColumn("part", F.lit(0))
+    return mt.impute_tags(scored, "vec_id", "part", "tag", "score", (0.4, 0.35, 0.3))
+
+
 @query("select ccf_id, full_name from ccf_mapping where contains(upper(coalesce(short_name, '')), 'SENSING') or contains(upper(coalesce(full_name, '')), 'SENSING')")
 def match_contains(spark: SparkSession, d: str) -> DataFrame:
     return mt.contains_search(table(spark, d, "ccf_mapping"), ["short_name", "full_name"], "sensing").select("ccf_id", "full_name")

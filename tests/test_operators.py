@@ -102,6 +102,28 @@ def test_packed_values(spark):
     assert packed_values(cells_of(df.limit(0), "t", "id", ["f"])).count() == 0
 
 
+def test_hybrid_search_fuses_before_the_cut(spark):
+    # the three nearest of 1 are 2, 3, 4; by the terms 5, far off in cosine, is its second best match
+    items = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.5]), (4, [1.0, 0.6]), (5, [0.6, 0.8]), (6, [-1.0, 0.0]), (7, None)]
+    e = spark.createDataFrame(items, "id long, v array<double>")
+    w = spark.createDataFrame([(1, "a", 1.0), (5, "a", 1.0), (6, "a", 1.0), (7, "a", 1.0)], "id long, term string, w double")
+    for block in (1, 4096):
+        got = mt.hybrid_search(e.where("id = 1"), e, "id", "id", "v", w, "id", 2, 0.3, 0.2, block).orderBy("rank").collect()
+        assert [(r["rank"], r["match_id"], r["score"]) for r in got] == [(1, 5, 0.84), (2, 2, 0.798015)]
+        assert mt.hybrid_search(e.where("id = 1"), e, "id", "id", "v", w, "id", 9, 0.3, 0.2, block).count() == 4
+    assert mt.hybrid_search(e.limit(0), e, "id", "id", "v", w, "id", 2, 0.3, 0.2).count() == 0
+
+
+def test_tags_of_repeated_labels_use_up_one_place(spark):
+    items = [(1, "x", [1.0, 0.0]), *[(i, "a", [1.0, 0.01 * i]) for i in range(2, 7)], (7, "b", [1.0, 0.3]), (8, "c", [1.0, 0.4]), (9, "d", [1.0, 0.5])]
+    e = spark.createDataFrame(items, "id long, tag string, v array<double>")
+    for block in (1, 4096):
+        scored = mt.tag_candidates(e.where("id = 1"), e, "id", "id", "v", "tag", 3, 0.5, block).withColumn("part", F.lit(0))
+        assert mt.impute_tags(scored, "id", "part", "tag", "score").first()["tags"] == "a；b；c"
+    repeated = spark.createDataFrame([(1, 0, t, s) for t, s in (("a", 0.95), ("a", 0.94), ("a", 0.93), ("b", 0.9))], "id long, part int, tag string, score double")
+    assert mt.impute_tags(repeated, "id", "part", "tag", "score").first()["tags"] == "a；b"
+
+
 def test_packed_values_parted_by_one_blank(spark):
     cells = ["教授", "秘书长", "研究员", "大数据", "机器学习"] * 6
     cells += ["教授 秘书长 研究员", "教授 秘书长 研究员", "研究员　教授", "秘书长\u00a0教授", "大数据；BIM 工程", "BIM 工程", "BIM 工程、机器学习", "教授 副手", '"BIM 工程" "大数据"']
