@@ -2,10 +2,11 @@
 
 Pigeonhole segment join. A name is reduced to its brand: legal forms go, and so do generic
 words, which are learned from all names as character n-grams (Latin script: words) of a document frequency
-above GENERIC_SHARE. A brand is cut into k+1 segments; two brands within k edits share one of
+above GENERIC_SHARE, counted over organisations by their marks, not over rows. A brand is cut into k+1 segments; two brands within k edits share one of
 them at a position shifted by at most k. Segments and the substrings that look them up meet in an
 inverted index together with a second mark of the organisation (date of foundation, address),
-so that common segments stay selective; equal brands also meet without one. Candidates are
+so that common segments stay selective; equal brands also meet without one. Names of generic words only
+meet by a mark, by capital and words, and any brand by both marks. Candidates are
 verified by banded edit distance and by the marks agreeing. Rows alike in all that counts are
 one profile, paired as one; links between profiles are closed to classes.
 """
@@ -31,7 +32,7 @@ LEGAL_LATIN = frozenset("co company corp corporation inc incorporated ltd limite
 TRADITIONAL = "長东東車馬門風飛魚鳥麥黃齊龍龜電備機業遠寧聯銳輝華銘澤鋒鳳達潤雲義樂慶優鈞鴻萬國際學藝術發開關動務勞區醫藥產經濟營銷貿實驗術樓榮葉蘇陳劉張楊趙劍紅綠藍絲線網絡維縱橫興舊鐵鋼銀錢鍵鏡顯訊誠識證讀貝財貨質貴賓賢贏軟輪農進運選郵鄭鄧鄉錦鎮鑫鑽閩陽陰際隊階雙雜離難靈靜韓順預領頭題願風飯飲館驛驗體鮮鶴鷹麗齡億價傳儀倉偉備傑傢償兒內兩剛創劃勝勵匯協單厲參號嘯團園圓圖場塊壓報塗墻夢奪奧獎婦媽孫寬寶將對導專層嶺島崗嵐幣師帶幫庫廠廣廢張彈彙徑從復德恆懷戰戲擴據擇"
 SIMPLIFIED = "长东东车马门风飞鱼鸟麦黄齐龙龟电备机业远宁联锐辉华铭泽锋凤达润云义乐庆优钧鸿万国际学艺术发开关动务劳区医药产经济营销贸实验术楼荣叶苏陈刘张杨赵剑红绿蓝丝线网络维纵横兴旧铁钢银钱键镜显讯诚识证读贝财货质贵宾贤赢软轮农进运选邮郑邓乡锦镇鑫钻闽阳阴际队阶双杂离难灵静韩顺预领头题愿风饭饮馆驿验体鲜鹤鹰丽龄亿价传仪仓伟备杰家偿儿内两刚创划胜励汇协单厉参号啸团园圆图场块压报涂墙梦夺奥奖妇妈孙宽宝将对导专层岭岛岗岚币师带帮库厂广废张弹汇径从复德恒怀战戏扩据择"
 _SIMPLER = str.maketrans(TRADITIONAL, SIMPLIFIED)
-#: An n-gram of this share of all names (and at least so many names) is a generic word.
+#: An n-gram in the names of this share of all organisations (and at least so many) is a generic word.
 GENERIC_SHARE, GENERIC_LEAST = 0.003, 12
 #: A province or city named by this share of all addresses is generic too.
 PLACE_SHARE = 0.001
@@ -175,6 +176,8 @@ def linked(b1: str, b2: str, han: bool, r1: str, r2: str, est: int, addr: int, c
     agree = (est > 0) * 2 + (addr > 0) * 2 + (cap > 0)
     if addr < 0:
         return False
+    if not b1 and not b2 and r1 == r2:
+        return agree >= 1
     if b1 == b2:
         return agree >= 2 or (same_place(r1, r2) and bool(b1) and (agree >= 1 or r1 == r2))
     if not b1 or not b2:
@@ -211,13 +214,18 @@ def link_names(rows: DataFrame, key: str, name: str, founded: str, address: str,
     profiles = tidied.groupBy("plain", "han", "est", "addr", "cap", "type").agg(F.min("key").alias("id"))
     profiles = cut(profiles)
 
-    # generic words: an n-gram of at least a fixed share of the names; their number is bounded by n-grams a name / share
+    # generic words: an n-gram of at least a fixed share of the organisations; their number is bounded by n-grams a name / share.
+    # An organisation counts once however often it is typed: by its address, else by date and capital; names without
+    # any of them count as one, or, where no row has any, each as its own.
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([(g, h) for p, h in zip(f["plain"], f["han"]) for g in generic_grams(p, h)], columns=["gram", "han"])
+            yield pd.DataFrame([(g, h, o) for p, h, o in zip(f["plain"], f["han"], f["org"]) for g in generic_grams(p, h)], columns=["gram", "han", "org"])
 
-    total = profiles.groupBy("han").agg(F.count("*").alias("total"))
-    df = profiles.select("plain", "han").mapInPandas(grams, "gram string, han boolean").groupBy("gram", "han").count()
+    marked = profiles.where("addr <> '' or est <> '' or cap <> ''").limit(1).count()
+    mark = F.when(F.col("addr") != "", F.concat(F.lit("a"), "addr")).otherwise(F.concat_ws("|", F.lit("e"), "est", "cap"))
+    orgs = profiles.select("plain", "han", F.xxhash64(mark if marked else F.col("plain")).alias("org")).distinct()
+    total = orgs.select("han", "org").distinct().groupBy("han").agg(F.count("*").alias("total"))
+    df = orgs.mapInPandas(grams, "gram string, han boolean, org long").distinct().groupBy("gram", "han").count()
     first = [F.regexp_extract("addr", f"^(?:([一-鿿]{{2,3}}?)省)?(?:([一-鿿]{{2,4}}?)市)?", i) for i in (1, 2)]
     places = src.select(F.explode(F.array(*first)).alias("gram")).where("gram <> ''").groupBy("gram").count()
     many = src.where("addr is not null").agg(F.count("*").alias("total"))
@@ -243,7 +251,7 @@ def link_names(rows: DataFrame, key: str, name: str, founded: str, address: str,
     def entries(segs: str) -> DataFrame:
         own = full.select("id", "han", F.explode(marks).alias("mark"), segs, "brand")
         part = own.select("id", "han", "mark", F.explode(segs).alias("seg"))
-        none = own.where("brand = ''").select("id", "han", "mark", F.lit("").alias("seg")).where(F.col("mark").startswith("e"))
+        none = own.where("brand = ''").select("id", "han", "mark", F.lit("").alias("seg"))
         return part.unionByName(none)
 
     met = entries("index").alias("l").join(entries("probe").alias("r"), ["han", "mark", "seg"]).where(F.col("l.id") != F.col("r.id"))
@@ -255,6 +263,11 @@ def link_names(rows: DataFrame, key: str, name: str, founded: str, address: str,
     for same in ("l.cap = r.cap and l.cap <> ''", "l.rest = r.rest"):
         by_brand = thin.alias("l").join(other.alias("r"), F.expr(f"l.han = r.han and l.brand = r.brand and {same} and {free}"))
         pairs = pairs.unionByName(by_brand.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")))
+    # names of generic words only: equal ones by the capital; against any brand by date and address, as `linked` asks for both
+    bare = full.where("brand = ''")
+    for right, same in ((bare, "l.rest = r.rest and l.cap = r.cap and l.cap <> ''"), (other, "l.est = r.est and l.est <> '' and l.addr = r.addr and l.addr <> ''")):
+        by_rest = bare.alias("l").join(right.alias("r"), F.expr(f"l.han = r.han and {same} and {free}"))
+        pairs = pairs.unionByName(by_rest.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")))
     pairs = pairs.distinct()
     facts = ["brand", "han", "rest", "est", "addr", "cap", "type"]
     sides = [full.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in facts]) for s in "ab"]

@@ -242,6 +242,36 @@ def test_links(spark):
     assert names.link_names(empty, *cols).count() == 0
 
 
+def _linked(spark, rows):
+    cols = ["row_idx", "org_name", "establish_time", "address", "reg_capital", "company_org_type"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'row_idx' else 'string'}" for c in cols))
+    return {r[0]: r[1] for r in names.link_names(df, *cols).collect()}
+
+
+def test_a_hot_organisation_keeps_its_brand(spark):
+    home, day, cap = "湖北省武汉市东湾区云帆路12号", "2001-02-03", "100万元"
+    spelt = ["武汉晨曦鼎力电子科技有限公司", "晨曦鼎力（武汉）电子科技有限公司", "武汉晨曦鼎立电子科技公司", "武汉晨曦丁力电子科技公司", "武汉市晨曦鼎力电子科技集团"]
+    known = [(day, home, cap), (day, home, None), (None, home, cap), (day, None, cap), (None, home, None), (day, None, None)]
+    hot = [(n, *k) for n in spelt for k in known]
+    own = "春夏秋冬山川河湖松竹梅兰红黄蓝白金银铜铁风雨雷电"
+    rest = [(f"武汉{own[i]}{own[(i * 7 + 3) % 24]}{own[(i * 5 + 1) % 24]}电子科技有限公司", f"1990-01-{i + 1:02}", f"湖北省武汉市白沙区拾光路{i + 1}号", f"{i + 2}万元") for i in range(24)]
+    got = _linked(spark, [(i, *r, None) for i, r in enumerate(hot + rest)])
+    assert {got[i] for i in range(len(hot))} == {0} and len(set(got.values())) == 1 + len(rest)
+
+
+def test_names_of_generic_words_meet(spark):
+    own = "春夏秋冬山川河湖松竹梅兰红黄蓝白金银铜铁风雨雷电"
+    rest = [(f"{own[i]}{own[(i * 7 + 3) % 24]}{own[(i * 5 + 1) % 24]}电子科技有限公司", f"1990-01-{i + 1:02}", f"白沙区拾光路{i + 1}号", f"{i + 2}万元") for i in range(24)]
+    pairs = [
+        (("电子科技公司", None, "东湾区云帆路1号", "77万元"), ("电子科技有限公司", None, "东湾区云帆路1号", None)),  # by address
+        (("电子科技公司", None, "东湾区云帆路3号", "88万元"), ("电子科技公司", None, None, "88万元")),  # equal, by capital
+        (("电子科技公司", "2003-03-03", "东湾区云帆路5号", None), ("晨曦电子科技公司", "2003-03-03", "东湾区云帆路5号", None)),  # against a brand
+    ]
+    rows = [r for p in pairs for r in p] + rest + [("电子科技公司", None, None, None)]
+    got = _linked(spark, [(i, *r, None) for i, r in enumerate(rows)])
+    assert [got[i] for i in range(6)] == [0, 0, 2, 2, 4, 4] and len(set(got.values())) == 3 + len(rest) + 1
+
+
 # -- defects -----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(("i", "n", "o", "want"), [
     ("请说明原理。", None, None, ["empty"]), ("请说明原理。", "", "答：", ["empty"]), ("x", "", "<p></p>", ["empty"]), ("x", "", "【方向一】", ["empty"]), ("只回答是或否。", "", "否", []),
