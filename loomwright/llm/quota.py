@@ -1,8 +1,9 @@
 """Problem 6: a sample whose category shares follow given targets.
 
 Quotas go top down over a tree of categories. At the top each category asks for
-max(minimum, floor(share * n + 0.5)) rows. What a node cannot give is passed first to its
-siblings with rows to spare, then, if they cannot take it all, one level up to its cousins.
+max(minimum, floor(share * n + 0.5)) rows; what one cannot give is passed to its siblings with
+rows to spare, by target share. Below, a node's quota is split by the rows of its children, so
+no child is asked for more than it has: nothing is unmet there, and no step to cousins arises.
 At the leaves rows are drawn by the dense rank of a permuted (hashed) key.
 
 Only counts are gathered: one row a leaf after a map-side sum. Ranking never sorts a whole
