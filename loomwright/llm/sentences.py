@@ -41,42 +41,50 @@ _THAI = re.compile(r"[฀-๿]")
 _ENTRY = re.compile(r"\s*(?:[-–—*•·▪●○◦■□◆►▶※+](?=\s|[^\W\d_])|#{1,6}\s|[(（]\s*(?:\d{1,3}|[一二三四五六七八九十]{1,3}|[a-zA-Z]|[ivx]{1,4})\s*[)）]|\d{1,3}(?:\.\d{1,3})+\.?(?=\s)|\d{1,3}\s*[.)）．、](?!\d)|[①-⑳❶-❿]|[一二三四五六七八九十]{1,3}、|第[\d一二三四五六七八九十百]+[章节条部分篇]|[QA]\d*[.:：]\s|【[^】\n]{1,20}】\s*$)")
 _HEADING = re.compile(r"\s*(?:#{1,6}\s|第[\d一二三四五六七八九十百]+[章节部篇]|\d{1,3}(?:\.\d{1,3})+\.?\s|[(（][一二三四五六七八九十]{1,3}[)）]|[一二三四五六七八九十]{1,3}、|[QA]\d+[.:：]\s)")
 _MARK_ONLY = re.compile(r"[A-Z]?\d{1,3}(?:\.\d{1,3})*|[A-Za-z]|[一二三四五六七八九十]{1,3}")
-MAX_QUOTE = 400
+#: Straight quotes further apart than this must look like an opening and a closing one: others may be inches or strays.
+LOOSE_QUOTE = 400
+
+
+def _opens(s: str, i: int) -> bool:
+    return not s[i + 1 : i + 2].isspace() and not (i and s[i - 1].isalnum() and not _IS_CJK.match(s[i - 1]))
+
+
+def _closes(s: str, i: int) -> bool:
+    return not s[i - 1].isspace() and not (s[i + 1 : i + 2].isalnum() and not _IS_CJK.match(s[i + 1]))
 
 
 def protected(text: str) -> list[tuple[int, int]]:
-    """Outermost quoted, bracketed and titled passages (start, end); none crosses a blank line."""
+    """Outermost quoted, bracketed and titled passages (start, end) of any length; none crosses a blank line."""
     spans: list[tuple[int, int]] = []
     base = 0
     for para in re.split(r"(\n[^\S\n]*\n\s*)", text):
         stack: list[tuple[str, int]] = []
+        awaited: Counter = Counter()
         quote = -1
         found: list[tuple[int, int]] = []
         for i, c in enumerate(para):
+            if c == "’" and i and para[i - 1].isalpha() and not _closes(para, i):
+                continue  # an apostrophe
             if c == '"':
                 if quote < 0:
                     quote = i
                 else:
-                    if i - quote <= MAX_QUOTE:
+                    if i - quote <= LOOSE_QUOTE or _opens(para, quote) and _closes(para, i):
                         found.append((quote, i + 1))
                     quote = -1
             elif stack and c == _PAIRS[stack[-1][0]]:
-                at = stack.pop()[1]
-                if i - at <= MAX_QUOTE:
-                    found.append((at, i + 1))
+                awaited[c] -= 1
+                found.append((stack.pop()[1], i + 1))
             elif c in _PAIRS:
                 if c == "‘" and i and para[i - 1].isalnum():
                     continue
                 stack.append((c, i))
-                if len(stack) > 1 and i - stack[0][1] > MAX_QUOTE:
-                    stack = stack[1:]
-            elif c in _CLOSERS and any(c == _PAIRS[o] for o, _ in stack):
-                while stack and c != _PAIRS[stack[-1][0]]:
-                    stack.pop()
-                if stack:
-                    at = stack.pop()[1]
-                    if i - at <= MAX_QUOTE:
-                        found.append((at, i + 1))
+                awaited[_PAIRS[c]] += 1
+            elif c in _CLOSERS and awaited[c] > 0:
+                while c != _PAIRS[stack[-1][0]]:
+                    awaited[_PAIRS[stack.pop()[0]]] -= 1
+                awaited[c] -= 1
+                found.append((stack.pop()[1], i + 1))
         end = -1
         for a, z in sorted(found, key=lambda x: (x[0], -x[1])):
             if a >= end:

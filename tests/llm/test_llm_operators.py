@@ -272,6 +272,18 @@ def test_names_of_generic_words_meet(spark):
     assert [got[i] for i in range(6)] == [0, 0, 2, 2, 4, 4] and len(set(got.values())) == 3 + len(rest) + 1
 
 
+def test_long_passages_stay_whole():
+    said = "This is what was said. It isn’t short. " * 30
+    for o, c in ("“”", "‘’", "「」", "()", '""'):
+        for inner in (said, f"{said}(as noted) {said}"):
+            text = f"He wrote: {o}{inner.strip()}{c} Then he left."
+            assert sentences.protected(text) == [(10, text.rindex(c) + 1)]
+    stray = f'A screen of 5" is small. {said}One of 7" is not.'
+    assert not any(z - a > 400 for a, z in sentences.protected(stray))
+    blank = f"An (opener. {said}\n\nIts closer) is in another paragraph."
+    assert not any(z - a > 400 for a, z in sentences.protected(blank))
+
+
 # -- defects -----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(("i", "n", "o", "want"), [
     ("请说明原理。", None, None, ["empty"]), ("请说明原理。", "", "答：", ["empty"]), ("x", "", "<p></p>", ["empty"]), ("x", "", "【方向一】", ["empty"]), ("只回答是或否。", "", "否", []),
