@@ -1,8 +1,9 @@
 """Problem 10: sentence boundaries across languages and scripts.
 
 Candidates are end marks outside quoted, bracketed or titled passages, line breaks, and the spaces
-of scripts and texts without end marks. A maximum-entropy classifier (two classes: logistic)
-decides each by its neighbours: how often the word before stands without a period, how often
+of scripts and texts without end marks. Line breaks and spaces are settled by fixed rules, and so are
+end marks whose neighbours leave no doubt (`certain`). A maximum-entropy classifier (two classes: logistic)
+decides the other end marks by their neighbours: how often the word before stands without a period, how often
 what follows begins a sentence, case, digits, lengths, script, kind of mark. It is trained on
 reliable boundaries of the corpus itself: marks before a blank line or list entry, full-width
 marks, ordinary words before a frequent beginning; and reliable non-boundaries: marks before a small
