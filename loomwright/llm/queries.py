@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import canon, defects, encode, leaks, looks, names, pack, quota, sentences
-from loomwright.session import table
+from loomwright.operators import assemble as asm
+from loomwright.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,6 +102,23 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
 
+def build_batches_sft(spark: SparkSession, d: str) -> DataFrame:
+    """The whole texts of sft as token ids, cut at 1,024, the prompt masked, padded in batches of 4.
+
+    System, user turn and output are encoded each by itself; a row whose labels are all masked is dropped.
+    """
+    s = table(spark, d, "sft")
+    user = asm.sft_user(F.col("instruction"), F.col("input"))
+    s = s.select("sft_id", "output", F.coalesce("system", F.lit("")).alias("system"), user.alias("user"))
+    ids = s.select(F.struct("sft_id", "user", "output").alias("k"), "system")
+    ids = encode.encode_corpus(ids, "k", "system").select(F.struct("k.sft_id", "k.output", F.col("ids").alias("system")).alias("k"), "k.user")
+    ids = encode.encode_corpus(ids, "k", "user").select(F.struct("k.sft_id", F.concat("k.system", "ids").alias("prompt")).alias("k"), "k.output")
+    ids = encode.encode_corpus(ids, "k", "output").select("k.sft_id", F.concat("k.prompt", "ids").alias("ids"), F.size("k.prompt").alias("n"))
+    short, labels = asm.masked_labels(F.col("ids"), F.col("n"), 1024)
+    rows = cut(ids.select("sft_id", short.alias("i"), labels.alias("l")))  # read several times below, encoded once
+    return asm.pad_batches(rows, "sft_id", "i", "l", 4)
+
+
 def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack_documents(table(spark, d, "documents"))
 
@@ -115,5 +133,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_defects, p3_found, p3_unmatched, p4_found, p4_report, p5_found, p5_classes, p6_found, p6_sample, p6_report, p7_found, p7_forms, p8_ids, p9_packed, p9_report, p10_found]
+    found = [p1_found, p1_defects, p3_found, p3_unmatched, p4_found, p4_report, p5_found, p5_classes, p6_found, p6_sample, p6_report, p7_found, p7_forms, p8_ids, build_batches_sft, p9_packed, p9_report, p10_found]
     return {f.__name__: f for f in found}

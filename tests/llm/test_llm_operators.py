@@ -117,6 +117,28 @@ def test_look_alike_pairs_equal_brute_force(spark, folder):
     assert {(r[1], r[2]) for r in looks.look_alike_pairs(df, ["g"], "row_idx").collect()} == want
 
 
+def test_batches_of_whole_texts(spark, tmp_path):
+    word = " market"
+    rows = [(1, "Be brief.", "Name it", "a\nb", "Yes, it is."), (2, None, word * 1020, None, word * 30), (3, None, word * 1100, None, "lost"), (4, "", "Q", "", None), (5, "", "Q", "", "A"), (6, "", None, None, "B"), (7, "", "Q", "", "C C")]
+    spark.createDataFrame(rows, "sft_id long, system string, instruction string, input string, output string").write.parquet(str(tmp_path / "sft.parquet"))
+    enc = encode.encoder(BPE)
+    want, live = {}, []
+    for k, *parts in rows:
+        system, ins, inp, out = [x or "" for x in parts]
+        prompt = sum(encode.encode_texts([system, ins + (f"\n{inp}" if inp else "")], enc), [])
+        ids = (prompt + encode.encode_texts([out], enc)[0])[:1024]
+        labels = [-100 if i < len(prompt) else x for i, x in enumerate(ids)]
+        if any(x != -100 for x in labels):
+            live.append((k, ids, labels))
+    for at in range(0, len(live), 4):
+        n = max(len(ids) for _, ids, _ in live[at : at + 4])
+        for k, ids, labels in live[at : at + 4]:
+            room = n - len(ids)
+            want[k] = (at // 4, ids + [0] * room, [1] * len(ids) + [0] * room, labels + [-100] * room)
+    got = {r["sft_id"]: (r["batch"], r["input_ids"], r["attention_mask"], r["labels"]) for r in queries.build_batches_sft(spark, str(tmp_path)).collect()}
+    assert got == want and set(got) == {1, 2, 5, 6, 7} and len(got[2][1]) == 1024
+
+
 # -- quotas ------------------------------------------------------------------------------------------------------------
 def test_share_out():
     assert quota.share_out(10, [1, 1, 2], [9, 9, 9]) == [3, 2, 5]
