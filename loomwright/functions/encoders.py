@@ -18,6 +18,17 @@ def terms(c: Column, blocked: tuple[str, ...] = ()) -> Column:
     return F.array_except(found, F.array(*[F.lit(b) for b in blocked])) if blocked else found
 
 
+#: Scripts whose words are parted by blanks; the others come as runs of one script.
+WORDED = ("Latin", "Greek", "Cyrillic", "Hangul", "Arabic", "Hebrew", "Devanagari")
+
+
+def script_terms(c: Column) -> Column:
+    """As `terms`, of every script: accented and other words, runs of Han, of kana and of Thai; repeated ones stay."""
+    words = "".join(rf"\p{{Is{s}}}" for s in WORDED)
+    runs = rf"[0-9{words}]+|\p{{IsHan}}+|[\p{{IsHiragana}}\p{{IsKatakana}}ー]+|\p{{IsThai}}+"
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(runs), 0), lambda x: F.length(x) > 1)
+
+
 def hashed_vector(c: Column, dims: int = 64, n: int = 2) -> Column:
     """Counts of hashed character n-grams, in the JVM; a text shorter than n gives zeros, null gives null."""
     at = F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1)))

@@ -428,6 +428,10 @@ _IDF = f"select term, count(distinct doc_id) as df, ln((1 + (select count(*) fro
 _TFIDF = f"with f as (select doc_id, term, count(*) as tf from ({_TERMS}) group by 1, 2), w as (select doc_id, term, tf * idf as w from f join ({_IDF}) using (term)) select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as w from w"
 
 
+_ALL_TERMS = "select doc_id, t as term from (select doc_id, unnest(regexp_extract_all(lower(text), '[0-9" + "".join(rf"\p{{{x}}}" for x in enc.WORDED) + r"]+|\p{Han}+|[\p{Hiragana}\p{Katakana}ー]+|\p{Thai}+')) as t from documents where text is not null) where length(t) > 1"
+_ALL_IDF, _ALL_TFIDF = _IDF.replace(_TERMS, _ALL_TERMS), _TFIDF.replace(_TERMS, _ALL_TERMS)
+
+
 def _terms() -> F.Column:
     return F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: F.length(x) > 1)
 
@@ -442,6 +446,18 @@ def match_tfidf(spark: SparkSession, d: str) -> DataFrame:
     return mt.tfidf(table(spark, d, "documents"), "doc_id", _terms()).withColumn("w", F.round("w", 6))
 
 
+@query(f"select term, df, round(idf, 6) as idf from ({_ALL_IDF})")
+def match_idf_all(spark: SparkSession, d: str) -> DataFrame:
+    """As match_idf, over the terms of every script."""
+    return mt.idf_table(table(spark, d, "documents"), "doc_id", enc.script_terms(F.col("text")))
+
+
+@query(f"select doc_id, term, round(w, 6) as w from ({_ALL_TFIDF})")
+def match_tfidf_all(spark: SparkSession, d: str) -> DataFrame:
+    """As match_tfidf, over the terms of every script."""
+    return mt.tfidf(table(spark, d, "documents"), "doc_id", enc.script_terms(F.col("text"))).withColumn("w", F.round("w", 6))
+
+
 _HYBRID = f"""with w as materialized ({_TFIDF}), n as ({_NEAR}), s as (select n.vec_id, n.match_id, n.s, coalesce(sum(a.w * b.w), 0) as t from n left join w a on a.doc_id = n.vec_id left join w b on b.doc_id = n.match_id and b.term = a.term group by 1, 2, 3),
 f as (select vec_id, match_id, (1 - 0.2::DOUBLE) * (s + 1) / 2 + 0.2::DOUBLE * greatest(0.0, least(1.0, t)) as score from s)
 select vec_id, row_number() over (partition by vec_id order by score desc, match_id) as rank, match_id, round(score, 6) as score from f where score >= 0.5 qualify rank <= 2"""
@@ -467,13 +483,13 @@ def match_imputed_tags(spark: SparkSession, d: str) -> DataFrame:
     return mt.impute_tags(scored, "vec_id", "part", "tag", "score", (0.4, 0.35, 0.3))
 
 
-@query(f"""with w as materialized ({_TFIDF}), p as ({_PAIRS}), t as (select a.doc_id as vec_id, b.doc_id as match_id, sum(a.w * b.w) as t from w a join w b using (term) where a.doc_id % 50 = 0 group by 1, 2),
+@query(f"""with w as materialized ({_ALL_TFIDF}), p as ({_PAIRS}), t as (select a.doc_id as vec_id, b.doc_id as match_id, sum(a.w * b.w) as t from w a join w b using (term) where a.doc_id % 50 = 0 group by 1, 2),
 f as (select vec_id, match_id, (1 - 0.2::DOUBLE) * (s + 1) / 2 + 0.2::DOUBLE * greatest(0.0, least(1.0, coalesce(t, 0))) as score from p left join t using (vec_id, match_id))
 select vec_id, row_number() over (partition by vec_id order by score desc, match_id) as rank, match_id, round(score, 6) as score from f where score >= 0.5 qualify rank <= 2""")
 def match_hybrid_all(spark: SparkSession, d: str) -> DataFrame:
-    """Dense and sparse scores fused over all items, then cut: what match_hybrid gives of its dense candidates only."""
+    """Dense and sparse scores fused over all items, then cut, over the terms of every script: what match_hybrid gives of its dense candidates only."""
     e = table(spark, d, "embeddings")
-    w = mt.tfidf(table(spark, d, "documents"), "doc_id", _terms())
+    w = mt.tfidf(table(spark, d, "documents"), "doc_id", enc.script_terms(F.col("text")))
     return mt.hybrid_search(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding", w, "doc_id", 2, 0.5, 0.2)
 
 

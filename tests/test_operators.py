@@ -180,3 +180,11 @@ def test_encoders(spark):
     assert sum(got[0]["v"]) == 8 and sum(got[1]["v"]) == 0 and got[2]["v"] is None
     length = enc.encoder_udf(lambda: lambda s: pd.Series([[float(len(x or ""))] for x in s]))
     assert [r[0][0] for r in df.select(length(F.col("s"))).collect()] == [9.0, 0.0, 0.0]
+
+
+def test_terms_of_every_script(spark):
+    from loomwright.functions import encoders as enc
+
+    df = spark.createDataFrame([("Café AI模型、データ 東京タワー ภาษาไทย x 模型",), ("",), (None,)], "s string")
+    got = [list(r[0]) for r in df.select(enc.script_terms(F.col("s"))).collect()]
+    assert got == [["café", "ai", "模型", "データ", "東京", "タワー", "ภาษาไทย", "模型"], [], []]
