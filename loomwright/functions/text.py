@@ -71,19 +71,22 @@ def normalize_words(c: Column) -> Column:
     return blank_trim(collapse(s))
 
 
+# Opening and closing tags, and residue of word processors, in the order in which they go.
+OPEN_TAG, CLOSE_TAG = rf"<{SPACE}*[a-zA-Z0-9:_-]+(?:{SPACE}+[^<>]*?)?>", rf"<{SPACE}*/{SPACE}*[a-zA-Z0-9:_-]+{SPACE}*>"
+STRAY = "<>▶"
+SUPPORT_LISTS = rf"(?i)!?{SPACE}*!?{SPACE}*\[if{SPACE}*!?{SPACE}*supportLists\]{SPACE}*!?{SPACE}*!?"
+RESIDUE = ["!--[endif]--", "![endif]", "!----&uuml;", "&uuml;", "!----"]
+SPACE_ENTITIES = r"(?i)&nbsp;?|&#160;?"
+
+
 def strip_tags(c: Column) -> Column:
     """HTML tags out, their text kept; stray angle brackets and residue of word processors too."""
-    s = sub(c, r"<\s*[a-zA-Z0-9:_-]+(?:\s+[^<>]*?)?>")
-    s = sub(s, r"<\s*/\s*[a-zA-Z0-9:_-]+\s*>")
-    s = F.translate(s, "<>▶", "")
-    s = sub(s, r"(?i)!?\s*!?\s*\[if\s*!?\s*supportLists\]\s*!?\s*!?")
-    for literal in ["!--[endif]--", "![endif]", "!----&uuml;", "&uuml;", "!----"]:
-        s = F.replace(s, F.lit(literal), F.lit(""))
-    return blank_trim(s)
+    s = F.translate(reduce(sub, [OPEN_TAG, CLOSE_TAG], c), STRAY, "")
+    return blank_trim(drop_literals(sub(s, SUPPORT_LISTS), RESIDUE))
 
 
 def strip_space_entities(c: Column) -> Column:
-    return sub(c, r"(?i)&nbsp;?|&#160;?")
+    return sub(c, SPACE_ENTITIES)
 
 
 def plain_html(c: Column) -> Column:
@@ -180,19 +183,32 @@ def standard_title(c: Column) -> Column:
     return ascii_spacing(F.when(lone, F.replace(s, F.lit('"'), F.lit(""))).otherwise(s))
 
 
-def clean_business(c: Column, depth: int = 8) -> Column:
-    """Boilerplate, junk, bracketed text (nested up to `depth` levels) and doubled marks out; one full stop at the end."""
+def drop_bracketed(c: Column) -> Column:
+    """Text in round full-width brackets out, nested to any depth; a bracket without its partner goes, its text stays.
+
+    One pass over the pieces between brackets with a stack of open texts.
+    """
+    pieces = F.regexp_extract_all(c, F.lit("[（）]|[^（）]+"), 0)
+    top = lambda a: F.slice(a, 1, F.size(a) - 1)
+    step = lambda a, x: (
+        F.when(x == "（", F.array_append(a, "")).when((x == "）") & (F.size(a) > 1), top(a)).when(x == "）", a).otherwise(F.array_append(top(a), F.concat(F.element_at(a, -1), x)))
+    )
+    return F.when(c.contains("（"), F.array_join(F.aggregate(pieces, F.array(F.lit("")), step), "")).otherwise(F.translate(c, "）", ""))
+
+
+# What a cleaned business text neither begins nor ends with.
+BUSINESS_HEAD = r"[()（）\[\]【】,，。.．!！?？;；:：…\-—/\\]+"
+BUSINESS_TAIL = r"[，,。.．!！?？;；:：…]+"
+
+
+def clean_business(c: Column) -> Column:
+    """Boilerplate, junk, bracketed text (nested to any depth) and doubled marks out; one full stop at the end."""
     s = drop_literals(filled(c), BUSINESS_LITERALS)
-    s = sub(sub(s, r"[#*&^$]"), r"[\r\n\t\x0b\x0c]")
-    s = F.replace(s, F.lit("�"), F.lit(""))
-    s = F.translate(s, OPENING + CLOSING, "（" * len(OPENING) + "）" * len(CLOSING))
-    s = reduce(lambda acc, _: sub(acc, "（[^（）]*）"), range(depth), s)
-    s = F.translate(s, "（）", "")
+    s = sub(F.translate(s, "#*&^$�", ""), r"[\r\n\t\x0b\x0c]")
+    s = drop_bracketed(F.translate(s, OPENING + CLOSING, "（" * len(OPENING) + "）" * len(CLOSING)))
     s = sub(s, r"[，。,.!?；;:：]{2,}", "。")
-    s = blank_trim(collapse(s))
-    s = sub(s, r"^[()（）\[\]【】,，。.．!！?？;；:：…\-—/\\]+")
-    s = sub(s, r"[，,。.．!！?？;；:：…]+$", "。")
-    return sub(s, r"(?s)([^。])\z", "$1。")
+    s = sub(sub(blank_trim(collapse(s)), f"^{BUSINESS_HEAD}"), f"{BUSINESS_TAIL}$")
+    return F.when(s == "", s).otherwise(F.concat(s, F.lit("。")))
 
 
 def append_if_missing(base: Column, addition: Column, sep: str = "") -> Column:
@@ -225,3 +241,100 @@ def between_labels(c: Column, first: str, second: str) -> tuple[Column, Column]:
 def json_list(c: Column) -> Column:
     """The array between the first [ and the last ] of an answer, code fences out; null if it is no JSON list."""
     return F.from_json(F.regexp_extract(sub(c, "```(?:json)?"), r"(?s)\[.*\]", 0), "array<string>")
+
+
+# List marks at the head of a line, those of an entry, and marks after which no semicolon is put.
+LINE_MARK = rf"^{SPACE}*(?:[◆•●・◼]+|[（(]?{SPACE}*[0-9]+{SPACE}*[.、)）：:]){SPACE}*"
+INDEX_MARK = rf"^{SPACE}*[（(]?{SPACE}*[0-9]+{SPACE}*[.、)）：:]{SPACE}*"
+PAUSES = "[。！？；，、：:,.!?;]$"
+
+
+def list_cell(c: Column) -> Column:
+    """Entries of a cell parted by '；'. A cell with square brackets keeps the commas of its quoted entries; brackets and quotes go.
+
+    The bracketed cell is read as tokens: a comma parts entries where an odd number of brackets is
+    open and an even number of quotes lies before it. Null and blank cells stay as they are.
+    """
+    t = strip_tags(c)
+    tokens = F.regexp_extract_all(t, F.lit(r"[\[\]]|[\"“”]|,|[^\[\]\"“”,]+"), 0)
+    start = F.struct(F.lit(0).alias("open"), F.lit(False).alias("quoted"), F.lit("").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        level = F.when(x == "[", a["open"] + 1).when(x == "]", F.greatest(F.lit(0), a["open"] - 1)).otherwise(a["open"])
+        mark = x.isin('"', "“", "”")
+        said = F.when(mark | x.isin("[", "]"), "").when((x == ",") & (a["open"] > 0) & ~a["quoted"], "；").otherwise(x)
+        return F.struct(level.alias("open"), (a["quoted"] != mark).alias("quoted"), F.concat(a["out"], said).alias("out"))
+
+    listed = blank_trim(F.aggregate(tokens, start, step)["out"])
+    return F.when(is_blank(c), c).when(c.contains("[") & c.contains("]"), listed).otherwise(collapse_separators(t))
+
+
+def renumbered(c: Column) -> Column:
+    """Lines of a description joined to one: marked lines numbered anew, '；' where a line ends without a mark; null gives ''.
+
+    A text of one line without white space gets no full stop: only a joined or spaced one does.
+    """
+    lines = F.filter(F.transform(F.split(plain_html(filled(c)), r"\r\n|\r|\n", -1), blank_trim), lambda x: x != "")
+    start = F.struct(F.lit(0).alias("number"), F.lit("").alias("before"), F.lit("").alias("text"))
+
+    def step(a: Column, x: Column) -> Column:
+        body = F.translate(sub(x, LINE_MARK), "\u3000\xa0", "")
+        marked = x.rlike(LINE_MARK)
+        number = a["number"] + marked.cast("int")
+        part = F.when(marked, F.concat(number.cast("string"), F.lit("."), body)).otherwise(body)
+        gap = F.when((a["text"] == "") & (a["number"] == 0) & (a["before"] == "") | a["before"].rlike(PAUSES), "").otherwise("；")
+        return F.struct(number.alias("number"), body.alias("before"), F.concat(a["text"], gap, part).alias("text"))
+
+    text = collapse(F.aggregate(lines, start, step)["text"])
+    spaced = ascii_spacing(text)
+    stop = F.when((spaced == "") | spaced.rlike(rf"。{SPACE}*$"), "").otherwise("。")
+    return F.when(~text.contains(" "), text).otherwise(F.concat(sub(spaced, f"{SPACE}+$"), stop))
+
+
+def scenario_text(c: Column) -> Column:
+    """Of a JSON list of {title, describe} (or one such object): descriptions, else titles, numbered and joined.
+
+    Text that is no such JSON is searched for the two fields; what has neither comes out without
+    tags. Null and blank cells stay as they are.
+    """
+    whole = F.when(blank_trim(c).startswith("{"), F.concat(F.lit('{"x":['), c, F.lit("]}"))).otherwise(F.concat(F.lit('{"x":'), c, F.lit("}")))  # text behind the JSON is an error then
+    parsed = F.from_json(whole, "x array<struct<title string, describe string>>", {"allowSingleQuotes": "false"})["x"]
+    field = r'(?s)"title"\s*:\s*"(.*?)".*?"describe"\s*:\s*"(.*?)"'
+    found = F.arrays_zip(*[F.regexp_extract_all(c, F.lit(field), i).alias(n) for i, n in ((1, "title"), (2, "describe"))])
+    one = lambda x: F.coalesce(F.nullif(blank_trim(F.translate(x["describe"], "\r\n\t\u3000\xa0", "")), F.lit("")), blank_trim(F.translate(filled(x["title"]), "\r\n\t\u3000\xa0", "")))
+    texts = F.filter(F.transform(F.coalesce(F.filter(parsed, lambda x: x.isNotNull()), found), one), lambda x: x != "")
+    numbered = F.transform(texts, lambda x, i: F.concat((i + 1).cast("string"), F.lit("."), blank_trim(sub(x, INDEX_MARK))))
+    plain = blank_trim(F.translate(strip_tags(c), "\r\n\t\u3000\xa0", ""))
+    return F.when(is_blank(c), c).when(F.size(texts) > 0, strip_tags(F.array_join(numbered, ""))).otherwise(plain)
+
+
+# What a demand's description is made of, in the order tried: an encircled number, a number in brackets, a number with its mark, white space, the rest.
+NEED_TOKENS = r"(?U)[\x{2460}-\x{24FF}]|（\d+）|\d+(?:\.(?![\da-zA-Z\x{2460}-\x{24FF}])|[，,）)])?|\s+|（|[^\d\s（\x{2460}-\x{24FF}]+"
+NEED_HEADS = [r"(?s)（[一二三四五六七八九十]+）.", r"(?U)(?s)\d+\.."]
+NEED_ENTRY = r"(?U)(?<![；;，,。！？、])(?=(?:[2-9]\d*|1\d+)、)"
+NEED_LEAD, NEED_STOPS = r"^[，,；;。！？、:：\-—](?=[^，,；;。！？、:：\-—])", r"[，,；;。.！？、]+$"
+
+
+def need_content(c: Column) -> Column:
+    """A demand's description: tags to colons behind headings, list marks of all kinds to 'n、', '；' between entries, one full stop at the end; null gives ''.
+
+    Read as tokens, each of which says by itself what becomes of it.
+    """
+    s = filled(c)
+    pieces = F.split(s, "<", -1)
+    colons = lambda x: reduce(lambda acc, h: F.when(acc.rlike(h), F.concat(acc, F.lit("："))).otherwise(acc), NEED_HEADS, x)
+    headed = F.array_join(F.transform(pieces, lambda x, i: F.when(i < F.size(pieces) - 1, colons(x)).otherwise(x)), "<")
+    s = F.when(s.rlike("<[^>]+>"), sub(sub(headed, "<[^>]+>"), f"{SPACE}+")).otherwise(s)
+    tokens = F.regexp_extract_all(F.replace(s, F.lit("寻："), F.lit("")), F.lit(NEED_TOKENS), 0)
+
+    def said(x: Column) -> Column:
+        n, first = F.length(x), F.substring(x, 1, 1)
+        return (
+            F.when(x.rlike(r"^[\x{2460}-\x{24FF}]$"), F.concat((F.ascii(x) - 0x245F).cast("string"), F.lit("、"))).when(x.rlike(f"^{SPACE}"), "")
+            .when((first == "（") & (n > 1), F.concat(F.substring(x, F.lit(2), n - 2), F.lit("、")))
+            .when(first.rlike(r"(?U)\d") & ~x.rlike(r"(?U)\d$"), F.concat(F.substring(x, F.lit(1), n - 1), F.lit("、"))).otherwise(x)
+        )
+
+    s = sub(F.array_join(F.transform(tokens, said), ""), NEED_ENTRY, "；")
+    s = sub(s, NEED_LEAD)
+    return F.when(s == "", s).otherwise(F.concat(sub(s, NEED_STOPS), F.lit("。")))

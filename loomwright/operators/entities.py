@@ -1,7 +1,6 @@
 """The cleaning pipelines of the entity tables, composed of native filters and cleaners.
 
-Columns outside `keep` never leave the scan; every step is a Column expression except the two
-stateful cleaners of descriptions, which run as Arrow UDFs behind the filters.
+Columns outside `keep` never leave the scan; every step is a Column expression.
 """
 
 from __future__ import annotations
@@ -9,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.functions import stateful as st
 from loomwright.functions import text as tx
 from loomwright.operators import rows as ro
 
@@ -58,7 +56,7 @@ def clean_achievements(df: DataFrame, order: str = "row_idx", keep: list[str] |
     """Descriptions renumbered and joined, titles in one form; first row of each title, then rows without a description dropped."""
     cols = [c for c in (keep or ACHIEVEMENT_COLUMNS) if c in df.columns]
     d = df.select(order, *[tx.filled(F.col(c).cast("string")).alias(c) for c in cols])
-    fixes = {"analyse_contect": st.renumbered_column, "application": st.list_cell_column, "aplication_field_scenario": st.scenario_column, "main_function": tx.plain_html, "main_advantage": tx.plain_html, "scene_lable": tx.normalize_label, "chain_lable": tx.normalize_label}
+    fixes = {"analyse_contect": tx.renumbered, "application": tx.list_cell, "aplication_field_scenario": tx.scenario_text, "main_function": tx.plain_html, "main_advantage": tx.plain_html, "scene_lable": tx.normalize_label, "chain_lable": tx.normalize_label}
     for c in cols:
         if c in fixes:
             d = d.withColumn(c, fixes[c](F.col(c)))
@@ -77,7 +75,7 @@ def clean_achievements(df: DataFrame, order: str = "row_idx", keep: list[str] |
 def clean_needs(df: DataFrame, order: str = "row_idx", required: tuple[str, ...] = ("title", "analyse_contect", "pub_dept")) -> DataFrame:
     """Demands: titles without their label, contents in one form; first row of each title, then blank rows dropped."""
     d = df.select(*[F.col(c) if c == order else tx.filled(F.col(c).cast("string")).alias(c) for c in df.columns])
-    d = d.withColumn("title", tx.need_title(F.col("title"))).withColumn("application", F.replace(F.col("application"), F.lit("/"), F.lit(";"))).withColumn("analyse_contect", st.need_content_column(F.col("analyse_contect")))
+    d = d.withColumn("title", tx.need_title(F.col("title"))).withColumn("application", F.replace(F.col("application"), F.lit("/"), F.lit(";"))).withColumn("analyse_contect", tx.need_content(F.col("analyse_contect")))
     d = ro.keep_first(d, ["title"], order).where(tx.blank_trim(F.col("title")) != "1")
     for c in required:
         if c in d.columns:

@@ -11,18 +11,43 @@ from pyspark.sql.window import Window
 from loomwright.functions import text as tx
 
 
+def range_bounds(df: DataFrame, order: str, parts: int, per_part: int = 60) -> list:
+    """At most parts - 1 values that divide the column into ranges of nearly equal size.
+
+    They come from the parts * per_part rows of the least hashed value: a sample that is the same
+    each time it is drawn and of a bounded size. Only the ranges' sizes depend on it, never a result.
+    """
+    drawn = df.where(F.col(order).isNotNull()).select(F.col(order).alias("v")).orderBy(F.xxhash64("v"), "v").limit(parts * per_part)
+    return [r.v for r in drawn.groupBy().agg(F.array_sort(F.collect_set("v")).alias("v")).selectExpr(f"explode(filter(v, (x, i) -> i > 0 and (i * {parts}) div size(v) > ((i - 1) * {parts}) div size(v))) as v").collect()]
+
+
+def range_of(c: Column, bounds: list) -> Column:
+    """The number of the range a value falls into, by a balanced tree of comparisons; null falls into the first."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(bounds))
+
+
 def with_row_position(df: DataFrame, order: str, name: str = "row_pos") -> DataFrame:
-    """df with a 0-based position in the order of a unique column.
+    """df with a 0-based position in the order of a unique column; null comes first.
 
-    No global sort in one task: rows are range-partitioned and sorted, and each partition's
-    first position is the sum of the sizes before it.
+    No global sort in one task: rows fall into ranges of the column between fixed bounds, a range's
+    first position is the sum of the sizes before it, and rows are numbered within their range. The
+    range is a function of the value alone, so both readings of df agree on it.
     """
-    parts = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, order).sortWithinPartitions(order)
-    tagged = parts.withColumn("__p", F.spark_partition_id())
-    sizes = tagged.groupBy("__p").agg(F.count("*").alias("__n"), F.min(order).alias("__lo"))
-    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tagged = df.withColumn("__p", range_of(F.col(order), range_bounds(df, order, parts)))
+    sizes = tagged.groupBy("__p").agg(F.count("*").alias("__n"))  # a row a range
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__start"))
     inner = F.row_number().over(Window.partitionBy("__p").orderBy(order))
-    return tagged.join(F.broadcast(starts.select("__p", "__start")), "__p").withColumn(name, F.col("__start") + inner - 1).drop("__p", "__start")
+    return tagged.join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + inner - 1).drop("__p", "__start")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -52,7 +52,7 @@ ENT, EXP, ACH = ("enterprises_full", "row_idx"), ("experts_full", "row_idx"), ("
 cell("text_words", "documents", "doc_id", "text", lambda c: F.md5(tx.normalize_words(c)), lambda c: f"md5({q.words(c)})")
 cell("text_strip_tags", *ACH, "main_function", tx.strip_tags, q.tags_out)
 cell("text_plain_html", *ACH, "main_advantage", tx.plain_html, q.html)
-cell("text_space_entities", *ACH, "main_advantage", tx.strip_space_entities, lambda c: q.rep(c, r"(?i)&nbsp;?|&#160;?"))
+cell("text_space_entities", *ACH, "main_advantage", tx.strip_space_entities, lambda c: q.rep(c, tx.SPACE_ENTITIES))
 cell("text_unescape", *ACH, "main_advantage", tx.unescape_basic, lambda c: q.non_blank(f"replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"))
 cell("text_unescape_full", *ACH, "main_advantage", st.html_unescape, None)
 cell("text_nfkc", "papers", "row_idx", "title", st.nfkc, None)
@@ -75,10 +75,10 @@ cell("text_full_width", *EXP, "application", tx.full_width_marks, lambda c: q.tr
 cell("text_safe_name", "papers", "row_idx", "arxiv_id", tx.safe_name, lambda c: q.rep(c, "[^0-9A-Za-z]+", "_"))
 cell("text_one_line", "papers", "row_idx", "abstract", lambda c: F.md5(F.translate(c, "\n", " ")), lambda c: f"md5(replace({c}, chr(10), ' '))")
 cell("text_slash_list", *EXP, "application", lambda c: F.replace(c, F.lit("/"), F.lit(";")), lambda c: f"replace({c}, '/', ';')")
-cell("text_list_cell", *ACH, "application", st.list_cell_column, None)
-cell("text_renumbered", *ACH, "analyse_contect", st.renumbered_column, None)
-cell("text_scenario", *ACH, "aplication_field_scenario", st.scenario_column, None)
-cell("text_need_content", *ACH, "analyse_contect", st.need_content_column, None)
+cell("text_list_cell", *ACH, "application", tx.list_cell, None)
+cell("text_renumbered", *ACH, "analyse_contect", tx.renumbered, None)
+cell("text_scenario", *ACH, "aplication_field_scenario", tx.scenario_text, None)
+cell("text_need_content", *ACH, "analyse_contect", tx.need_content, None)
 
 
 @query(f"select row_idx, {q.append('duty', 'professional_title', ';')} as duty, {q.append('btype_name', 'college')} as btype_name from experts_full")
@@ -142,12 +142,13 @@ def rows_partition(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_orderkey, o_orderpriority from orders where year(o_orderdate) between 1993 and 1995")
 def rows_year_range(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where(F.year("o_orderdate").between(1993, 1995)).select("o_orderkey", "o_orderpriority")
+    return table(spark, d, "orders").where((F.col("o_orderdate") >= F.lit("1993-01-01").cast("timestamp")) & (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp"))).select("o_orderkey", "o_orderpriority")
 
 
-@query("select o_orderkey, row_number() over (order by o_orderkey) - 1 as row_pos from orders")
+@query("select o_orderkey, o_custkey, o_totalprice, o_orderpriority, row_number() over (order by o_orderkey) - 1 as row_pos from orders")
 def rows_position(spark: SparkSession, d: str) -> DataFrame:
-    return ro.with_row_position(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    """Whole rows numbered: what every match of the pipeline is keyed on."""
+    return ro.with_row_position(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), "o_orderkey")
 
 
 @query("select e.row_idx as ask_order, d.doc_id, d.doc_type from enterprises_full e join documents d on d.doc_id = length(e.org_name) % 97")

@@ -49,13 +49,12 @@ def words(c: str) -> str:
 
 
 def tags_out(c: str) -> str:
-    s = rep(rep(c, r"<\s*[a-zA-Z0-9:_-]+(?:\s+[^<>]*?)?>"), r"<\s*/\s*[a-zA-Z0-9:_-]+\s*>")
-    s = rep(translate(s, "<>▶", ""), r"(?i)!?\s*!?\s*\[if\s*!?\s*supportLists\]\s*!?\s*!?")
-    return trim(without(s, ["!--[endif]--", "![endif]", "!----&uuml;", "&uuml;", "!----"]))
+    s = translate(rep(rep(c, tx.OPEN_TAG), tx.CLOSE_TAG), tx.STRAY, "")
+    return trim(without(rep(s, tx.SUPPORT_LISTS), tx.RESIDUE))
 
 
 def html(c: str) -> str:
-    return tags_out(rep(c, r"(?i)&nbsp;?|&#160;?"))
+    return tags_out(rep(c, tx.SPACE_ENTITIES))
 
 
 def edge(c: str) -> str:
@@ -110,14 +109,14 @@ def title(c: str) -> str:
     return spacing(s)
 
 
-def business(c: str, depth: int = 8) -> str:
-    s = rep(rep(without(fill(c), tx.BUSINESS_LITERALS), r"[#*&^$]"), r"[\r\n\t\x0b\x0c]")
-    s = translate(f"replace({s}, '�', '')", tx.OPENING + tx.CLOSING, "（" * 6 + "）" * 6)
+def business(c: str, depth: int = 24) -> str:
+    """Brackets by as many rounds as no text here needs; the operator itself counts none."""
+    s = rep(translate(without(fill(c), tx.BUSINESS_LITERALS), "#*&^$�", ""), r"[\r\n\t\x0b\x0c]")
+    s = translate(s, tx.OPENING + tx.CLOSING, "（" * 6 + "）" * 6)
     s = reduce(lambda acc, _: rep(acc, "（[^（）]*）"), range(depth), s)
     s = trim(squeeze(rep(translate(s, "（）", ""), r"[，。,.!?；;:：]{2,}", "。")))
-    s = rep(s, r"^[()（）\[\]【】,，。.．!！?？;；:：…\-—/\\]+")
-    s = rep(s, r"[，,。.．!！?？;；:：…]+$", "。")
-    return f"(select case when b = '' or ends_with(b, '。') then b else b || '。' end from (select {s} as b))"
+    s = rep(rep(s, f"^{tx.BUSINESS_HEAD}"), f"{tx.BUSINESS_TAIL}$")
+    return f"(select case when b = '' then b else b || '。' end from (select {s} as b))"
 
 
 def append(base: str, addition: str, sep: str = "") -> str:

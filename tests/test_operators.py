@@ -32,6 +32,19 @@ def test_row_position_is_dense(spark):
     assert got == list(range(1000))
 
 
+def test_row_positions_of_whole_rows_of_a_large_table(spark):
+    n = 1_000_000
+    df = spark.range(n, numPartitions=7).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("a"), (F.col("id") % 7).alias("b"), F.rand(1).alias("c")).repartition(5, "a")
+    got = ro.with_row_position(df, "id").agg(F.count("*"), F.count_distinct("row_pos"), F.min("row_pos"), F.max("row_pos"), F.count_if(F.col("row_pos") != F.col("id"))).first()
+    assert tuple(got) == (n, n, 0, n - 1, 0)
+
+
+def test_row_positions_of_strings_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([("b", 1), (None, 2), ("a", 3), ("c", 4)], "k string, row_pos_ int")
+    assert {r["k"]: r["row_pos"] for r in ro.with_row_position(df, "k").collect()} == {None: 0, "a": 1, "b": 2, "c": 3}
+    assert ro.with_row_position(df.limit(0), "k").count() == 0
+
+
 def test_allocation_example(spark):
     df = spark.createDataFrame([("A",)] * 90 + [("B",)] * 8 + [("C",)] * 2 + [(None,)], "s string")
     assert {r["s"]: r["quota"] for r in sm.allocate(df, "s", 0.05).collect()} == {"A": 3, "B": 1, "C": 1}

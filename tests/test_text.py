@@ -43,26 +43,24 @@ def test_native_rules(spark):
     assert [r[n] for r, (n, _, _) in zip(got, GOLDEN)] == [y for _, _, y in GOLDEN]
 
 
-@pytest.mark.parametrize(("x", "y"), [
-    ("①轻量化②低成本", "1、轻量化；2、低成本。"), ("12、测试", "1；2、测试。"), ("<p>1.材料</p><p>轻</p>", "1、材料：轻。"), ("成本1,000元", "成本1、000元。"), (None, ""), ("", ""),
-])
-def test_need_content(x, y):
-    assert stateful.need_content(x) == y
-
-
-@pytest.mark.parametrize(("x", "y"), [
-    ("<p>1.高效</p>\n<p>2.节能</p>", "1.高效；2.节能"), ("基于 AI model 的平台", "基于AI model的平台。"), ("3.5倍提升", "1.5倍提升"), (None, ""), ("  ", ""),
-])
-def test_renumbered(x, y):
-    assert stateful.renumbered(x) == y
-
-
-def test_cells():
-    assert stateful.list_cell('["a,b","c"]') == "a,b；c"
-    assert stateful.list_cell("x,y/z") == "x；y；z"
-    assert stateful.list_cell(None) is None
-    assert stateful.scenario_text('[{"title":"生产","describe":"区域。\\n"},{"title":"技术","describe":""}]') == "1.区域。2.技术"
-    assert stateful.scenario_text("<p>x</p>") == "x"
+# Expected by hand from the rules, not from either implementation.
+DESCRIBED = [
+    ("need", "①轻量化②低成本", "1、轻量化；2、低成本。"), ("need", "12、测试", "1；2、测试。"), ("need", "<p>1.材料</p><p>轻</p>", "1、材料：轻。"), ("need", "成本1,000元", "成本1、000元。"), ("need", None, ""), ("need", "", ""),
+    ("need", "（一）背景<br>1.5倍", "（一）背景：1.5倍。"), ("need", "要求 ； ", "要求。"), ("need", "，寻：电机！", "电机。"), ("need", "甲（3）乙4）丙", "甲；3、乙；4、丙。"), ("need", "版本1. ①", "版本1、1。"),
+    ("renumbered", "<p>1.高效</p>\n<p>2.节能</p>", "1.高效；2.节能"), ("renumbered", "基于 AI model 的平台", "基于AI model的平台。"), ("renumbered", "3.5倍提升", "1.5倍提升"), ("renumbered", None, ""), ("renumbered", "  ", ""),
+    ("renumbered", "背景：\n◆甲\n\n◆乙&nbsp;。\n说明", "背景：1.甲；2.乙。说明"), ("renumbered", "甲\r\n乙 丙", "甲；乙丙。"),
+    ("list", '["a,b","c"]', "a,b；c"), ("list", "x,y/z", "x；y；z"), ("list", None, None), ("list", " ", " "), ("list", "[a,[b],c],d", "a；b；c,d"), ("list", "]a,b[c,d", "a,bc；d"), ("list", "<b>甲</b>、、乙", "甲；乙"),
+    ("scenario", '[{"title":"生产","describe":"区域。\\n"},{"title":"技术","describe":""}]', "1.区域。2.技术"), ("scenario", "<p>x</p>", "x"), ("scenario", None, None), ("scenario", '{"title":"甲","describe":"（2）乙"}', "1.乙"),
+    ("scenario", '{"title":"甲","describe":"乙"} {"title":"丙","describe":"丁"}', "1.乙2.丁"), ("scenario", '[{"title":null,"describe":null}]', '[{"title":null,"describe":null}]'), ("scenario", '[]', "[]"),
+    ("business", "甲" + "（" * 9 + "乙" + "）" * 9 + "丙", "甲丙。"), ("business", "甲）乙（丙", "甲乙丙。"), ("business", "！", ""), ("business", "(一(二)三)甲；；", "甲。"),
+]
+DESCRIBERS = {"need": tx.need_content, "renumbered": tx.renumbered, "list": tx.list_cell, "scenario": tx.scenario_text, "business": tx.clean_business}
+
+
+def test_described_rules(spark):
+    df = spark.createDataFrame([(i, x) for i, (_, x, _) in enumerate(DESCRIBED)], "i int, x string")
+    got = df.select("i", *[f(F.col("x")).alias(n) for n, f in DESCRIBERS.items()]).orderBy("i").collect()
+    assert [(x, r[n]) for r, (n, x, _) in zip(got, DESCRIBED)] == [(x, y) for _, x, y in DESCRIBED]
 
 
 def test_metrics_of_equal_and_disjoint_texts():
@@ -84,9 +82,9 @@ def test_assembly_rules(spark):
     assert [r[0] for r in row] == ["教授", "教授;博导"]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=40))
-def test_stateful_cleaners_never_fail(s):
-    for f in (stateful.need_content, stateful.renumbered, stateful.list_cell, stateful.scenario_text):
-        f(s)
-    assert stateful.renumbered(s) == stateful.renumbered(s)
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.text(max_size=40), min_size=1, max_size=40))
+def test_described_rules_never_fail(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = df.select("x", *[f(F.col("x")).alias(n) for n, f in DESCRIBERS.items()]).collect()
+    assert len(got) == len(texts) and all(r[n] is not None for r in got for n in DESCRIBERS)
