@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 _shipped: set[str] = set()
@@ -32,29 +35,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named in spark.checkpoint.dir.
+
+    Where none is set, a local master (tests, a laptop) gets a temporary folder of this machine;
+    on a cluster that would be a folder other machines can't read, so it is an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = Path(tempfile.mkdtemp(prefix="loomwright-")).as_uri()
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
+    """df as a table written to the shared folder and read again: lineage ends here.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where none is set
-    (tests, a laptop) does a temporary folder of this machine serve.
+    Columnar and compressed, so it takes less disk than checkpointed rows, later steps read only the
+    columns they need, and the optimiser knows its size. The table goes when the application ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwright-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows a side may have to be broadcast; beyond it the join is left to Catalyst.
-BROADCAST_ROWS = 100_000
+#: Bytes (of the rows in memory) a side may have to be broadcast; beyond it the join is left to Catalyst.
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows, else df as it is.
+def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a table that `cut` has written) with a broadcast hint if its rows take at most max_bytes, else df as it is.
 
-    The size is measured, never assumed: at most max_rows + 1 rows are counted.
+    The size is measured, never assumed: the lengths of all strings and arrays are summed in one scan of the written table.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    width = reduce(lambda a, b: a + b, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes else df
+
+
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """About the bytes a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda a, x: a + _bytes(x, kind.elementType)), F.lit(0))
+        return F.coalesce(F.size(c), F.lit(0)) * 8 + 16
+    if isinstance(kind, T.StructType):
+        return reduce(lambda a, b: a + b, [_bytes(c[f.name], f.dataType) for f in kind.fields], F.lit(16))
+    return F.lit(8)
 
 
 def has_column(df: DataFrame, name: str) -> bool:
