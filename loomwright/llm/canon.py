@@ -1,9 +1,15 @@
 """Problem 3: mapping freely typed values to the entries of a reference list.
 
-Distinct values are normalised, an inverted index of the entries' character n-grams gives
-candidates, weighted cosine scores them, and what passes the threshold goes through an exact
-check that aligns words (abbreviations, small typos, any order). A value is mapped if one
-entry leads the next by the margin; else it is reported as unmatched.
+Distinct values are normalised to words. An inverted index of character n-grams over the list's
+words gives, for each distinct word typed, the words it may stand for, with a similarity: 1 for the
+same word, a little less for an abbreviation or a few slips. Values and entries are then vectors of
+words weighted by rarity in the list, and a value scores its candidates by the cosine of these soft
+vectors (a pair of words counts by its similarity). The best entry is taken if its cosine
+passes the threshold and leads the next entry's by the margin; else the value is unmatched.
+
+Candidates come by a prefix filter: an entry is indexed by its rarest words only, as many as are
+needed that the rest alone could not reach the threshold. So a value meets few entries, and none
+that could pass is lost.
 """
 
 from __future__ import annotations
@@ -30,9 +36,16 @@ SHORT_WORDS = {
     "trans": "transactions", "j": "journal", "jnl": "journal", "jour": "journal", "mtg": "meeting", "ann": "annual", "eur": "european", "lett": "letters", "adv": "advances", "arch": "archives",
     "syst": "systems", "sys": "systems", "pract": "practice",
 }
-THRESHOLD = 0.35
-MARGIN = 0.5
-GRAM = 3
+#: A word not in the list is what a word of the list was meant for if they agree but for so many edits: one in four letters begun.
+EDIT_STEP = 4
+#: What an edit, and an abbreviation, takes off the similarity of two words.
+EDIT_LOSS, SHORT_LOSS = 0.01, 0.001
+#: Least cosine of a match, and its least lead over the next entry.
+THRESHOLD, MARGIN = 0.97, 0.0004
+#: Weight of a word of one entry; a word of all entries weighs 1.
+HEAVIEST = 1.25
+#: Two letters: words a few slips apart, even swaps, share one.
+GRAM = 2
 
 
 def words_of(value: str | None) -> list[str]:
@@ -85,60 +98,64 @@ def edits(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def word_cost(typed: str, meant: str) -> float | None:
-    """0 for the same word, little for an abbreviation, 1 an edit; None if another word."""
+def word_similarity(typed: str, meant: str) -> float:
+    """1 for the same word, less for an abbreviation or slips of the finger, 0 for another word."""
     if typed == meant:
-        return 0.0
+        return 1.0
     if 2 <= len(typed) < len(meant) and meant.startswith(typed):
-        return 0.1
-    most = 1 if len(meant) <= 4 else 2 if len(meant) <= 8 else 3
+        return 1 - SHORT_LOSS
+    most = -(-len(meant) // EDIT_STEP)
     d = edits(typed, meant, most)
     if d <= most:
-        return float(d)
-    if 4 <= len(typed) < len(meant) - 2:  # an abbreviation with a slip of the finger
-        d = edits(typed, meant[: len(typed)], 1)
-        if d <= 1:
-            return d + 0.1
-    return None
-
-
-def align(typed: list[str], meant: list[str], initials: str | None) -> float | None:
-    """Cost of reading the typed words as the entry's; None if a word of either has no partner."""
-    short = (initials or "").casefold().strip()
-    if short and typed and all(w == short or w in AROUND for w in typed) and short in typed:
-        return 0.0
-    words = list(typed)
-    if short and short in words and short not in meant and len(words) > len(meant):
-        words.remove(short)
+        return max(0.0, 1 - EDIT_LOSS * d)
+    if 4 <= len(typed) < len(meant) - 2 and edits(typed, meant[: len(typed)], 1) <= 1:  # an abbreviation with a slip
+        return 1 - EDIT_LOSS - SHORT_LOSS
+    return 0.0
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity_column(typed: pd.Series, meant: pd.Series) -> pd.Series:
+    return pd.Series([word_similarity(a, b) for a, b in zip(typed, meant)], dtype="float64")
+
+
+def soft_cosine(typed: list[str], meant: list[str], weights: list[float], short: list[str], exact: bool, alone: float) -> float:
+    """Cosine of the words typed and an entry's words; a pair of words counts by its similarity.
+
+    weights are those of the entry's words, `alone` that of a typed word that stands for none of them.
+    What people put around a name, and an entry's short name beside its full one, weigh nothing.
+    exact: only equal words count (a short name with another letter is another short name).
+    """
     have = set(meant)
-    if len(words) > len(meant):
-        words = [w for w in words if w not in AROUND or w in have]
-    if len(words) != len(meant):
-        return None
-    cost, left = 0.0, list(words)
-    # exact words first, then the rest by least cost; few words, so greedy order is enough
-    rest = []
-    for m in meant:
+    words = [w for w in typed if w in have or w not in AROUND]
+    if not exact and short and len(words) > len(meant) and all(w in words and w not in have for w in short):
+        for w in short:
+            words.remove(w)
+    if not words:
+        words = list(typed)
+    left, rest, dot, size = list(words), [], 0.0, 0.0
+    for m, w in zip(meant, weights):
         if m in left:
             left.remove(m)
+            dot += w * w
+            size += w * w
         else:
-            rest.append(m)
-    for m in rest:
-        best = min(((c, i) for i, w in enumerate(left) if (c := word_cost(w, m)) is not None), default=None)
-        if best is None:
-            return None
-        cost += best[0]
-        left.pop(best[1])
-    return cost
-
-
-@F.pandas_udf(T.DoubleType())
-def align_column(typed: pd.Series, meant: pd.Series, initials: pd.Series) -> pd.Series:
-    return pd.Series([align(list(a), list(b), c) for a, b, c in zip(typed, meant, initials)], dtype="float64")
+            rest.append((m, w))
+    # the pairs of best similarity first
+    pairs = [] if exact else sorted(((-x, i, j) for i, (m, _) in enumerate(rest) for j, t in enumerate(left) if (x := word_similarity(t, m)) > 0))
+    used_m, used_t = set(), set()
+    for x, i, j in pairs:
+        if i not in used_m and j not in used_t:
+            used_m.add(i)
+            used_t.add(j)
+            dot += rest[i][1] ** 2 * -x
+            size += rest[i][1] ** 2
+    size += alone * alone * (len(left) - len(used_t))
+    whole = sum(w * w for w in weights)
+    return dot / (size * whole) ** 0.5 if size and whole else 0.0
 
 
 def map_values(values: DataFrame, column: str, entries: DataFrame, entry_id: str, full_name: str, short_name: str, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """(value, words, n, entry_id, cosine, cost): each distinct value that is not null or blank.
+    """(value, words, n, entry_id, cosine): each distinct value that is not null or blank.
 
     entry_id is null where the list has no such entry, or where two entries fit within the
     margin. n counts the rows of a value. Values are compared as typed, so ties and repeated
@@ -146,32 +163,64 @@ def map_values(values: DataFrame, column: str, entries: DataFrame, entry_id: str
     """
     v = values.select(F.col(column).cast("string").alias("value")).where(r"value rlike '(?U)\\S'").groupBy("value").agg(F.count("*").alias("n"))
     v = cut(spread(v, "value").withColumn("words", words_column("value")))
-    e = entries.select(F.col(entry_id).alias("entry"), F.col(full_name).alias("full"), F.col(short_name).alias("short"))
-    e = small(cut(e.withColumn("meant", words_column("full")).withColumn("own", F.when(F.trim("short") != "", F.array(F.lower(F.trim("short")))).otherwise(F.array()))))
-    e_grams = e.select("entry", F.explode(F.array_distinct(F.concat(grams_column("meant"), F.transform("own", lambda x: F.concat(F.lit("="), x))))).alias("gram"))
-    total = e.agg(F.count("*").alias("total"))
-    idf = e_grams.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("gram", (F.log((F.col("total") + 1) / F.col("df")) + 0.1).alias("w"))
-    # the index holds, for each gram, the entries that have it and its weight; its size is the list's
-    norms = e_grams.where("gram not like '=%'").join(idf, "gram").groupBy("entry").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("e_norm"))
-    index = small(cut(e_grams.join(idf, "gram").join(norms, "entry")))
-    keys = F.concat(grams_column("words"), F.transform("words", lambda x: F.concat(F.lit("="), x)))
-    v_grams = cut(v.select("value", F.explode(keys).alias("gram")))
-    hits = v_grams.join(index, "gram")
-    # the norm of a value counts unknown grams too, at the weight of a gram of one entry
-    weights = small(index.select("gram", "w").distinct())
-    norm = (
-        v_grams.where("gram not like '=%'").join(weights, "gram", "left").crossJoin(F.broadcast(total))
-        .groupBy("value").agg(F.sqrt(F.sum(F.pow(F.coalesce("w", F.log(F.col("total") + 1) + 0.1), F.lit(2)))).alias("v_norm"))
-    )
-    initials = F.col("gram").startswith("=")
-    scored = hits.groupBy("value", "entry").agg(F.sum(F.when(~initials, F.col("w") * F.col("w")).otherwise(0.0)).alias("dot"), F.first("e_norm").alias("e_norm"), F.max(initials).alias("by_short"))
-    scored = scored.join(norm, "value", "left").withColumn("cosine", F.coalesce(F.col("dot") / (F.col("e_norm") * F.col("v_norm")), F.lit(0.0)))
-    near = scored.where((F.col("cosine") >= threshold) | F.col("by_short")).select("value", "entry", "cosine")
-    cost = align_column.asNondeterministic()("words", "meant", "short")  # else Catalyst works it out in the filter too
-    fit = spread(near, "value").join(v.select("value", "words"), "value").join(e.select("entry", "meant", "short"), "entry").withColumn("cost", cost).where("cost is not null and cost <= 6")
-    w = Window.partitionBy("value").orderBy("cost", F.desc("cosine"), "entry")
-    best = fit.withColumns({"r": F.row_number().over(w), "next": F.lead("cost").over(w)}).where("r = 1").where(F.col("next").isNull() | (F.col("next") - F.col("cost") >= margin))
-    return v.join(best.select("value", "entry", "cosine", "cost"), "value", "left").withColumnRenamed("entry", entry_id)
+    scored = _scored(v, entries, entry_id, full_name, short_name, threshold)
+    w = Window.partitionBy("value").orderBy(F.desc("cosine"), "entry")
+    best = scored.withColumns({"r": F.row_number().over(w), "next": F.lead("cosine").over(w)}).where("r = 1").where(F.col("next").isNull() | (F.col("cosine") - F.col("next") >= margin))
+    return v.join(best.select("value", "entry", "cosine"), "value", "left").withColumnRenamed("entry", entry_id)
+
+
+def candidates(v: DataFrame, entries: DataFrame, entry_id: str, full_name: str, short_name: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """((value, entry, form), the forms): the pairs to score; every pair of `threshold` or more is among them.
+
+    A pair's cosine is at most the share of the entry's length that has a partner, so a word that makes up more
+    than 1 - threshold squared of it is required. An entry is looked up by its rarest required word (where none is
+    required, by its rarest words until the others alone can't pass), and all its required words must be covered.
+    """
+    names = entries.select(F.col(entry_id).alias("entry"), words_column(full_name).alias("full"), words_column(short_name).alias("short"))
+    names = names.groupBy("entry").agg(F.first("full").alias("full"), F.first("short").alias("short"))
+    one = lambda form: names.select("entry", F.lit(form).alias("form"), F.posexplode(form).alias("i", "word"), "short")
+    words = cut(one("full").unionByName(one("short")))
+    # weights from 1 (a word of all entries) to HEAVIEST (a word of one)
+    total = words.agg(F.greatest(F.count_distinct("entry", "form"), F.lit(2)).alias("total"))
+    df = words.groupBy("word").agg(F.count_distinct("entry", "form").alias("df")).crossJoin(F.broadcast(total))
+    weight = df.select("word", (1 + (HEAVIEST - 1) * F.log(F.col("total") / F.col("df")) / F.log("total")).alias("w"))
+    forms = words.join(weight, "word").groupBy("entry", "form").agg(F.sort_array(F.collect_list(F.struct("i", "word", "w"))).alias("x"), F.first("short").alias("short"))
+    forms = cut(forms.select("entry", "form", "short", F.col("x.word").alias("meant"), F.col("x.w").alias("weights")))
+    rare = F.expr("array_sort(arrays_zip(weights, meant), (a, b) -> case when a.weights > b.weights then -1 when a.weights < b.weights then 1 when a.meant < b.meant then -1 else 1 end)")
+    after = F.expr("transform(x, (y, i) -> aggregate(slice(x, i + 1, size(x)), 0D, (a, z) -> a + z.weights * z.weights))")
+    least = threshold * threshold
+    index = forms.select("entry", "form", rare.alias("x")).withColumn("after", after)
+    index = index.withColumn("required", F.expr(f"array_distinct(transform(filter(x, y -> y.weights * y.weights > {1 - least} * after[0]), y -> y.meant))"))
+    prefix = F.expr(f"transform(filter(transform(x, (y, i) -> struct(y.meant as m, after[i] >= {least} * after[0] as needed)), y -> y.needed), y -> y.m)")
+    keys = F.when(F.size("required") > 0, F.slice("required", 1, 1)).otherwise(F.array_distinct(prefix))
+    index = cut(index.select("entry", "form", "required", F.explode(keys).alias("meant")))
+    # what each distinct word typed may stand for
+    typed = v.select(F.explode("words").alias("typed")).distinct()
+    gram = lambda df, c: df.select(c, F.explode(grams_column(F.array(c))).alias("gram"))
+    near = gram(typed, "typed").join(gram(words.select(F.col("word").alias("meant")).distinct(), "meant"), "gram").select("typed", "meant").distinct()
+    most = F.ceil(F.length("meant") / EDIT_STEP).cast("int")
+    close = F.col("meant").startswith(F.col("typed")) | (F.abs(F.length("typed") - F.length("meant")) <= most) & (F.levenshtein("typed", "meant") <= 2 * most)
+    begun = (F.length("typed") < F.length("meant") - 2) & (F.levenshtein("typed", F.expr("substr(meant, 1, length(typed))")) <= 2)
+    stands = cut(spread(near.where(close | begun)).where(similarity_column("typed", "meant") > 0))
+    said = v.select("value", F.explode("words").alias("typed"))
+    cover = said.join(stands, "typed").groupBy("value").agg(F.collect_set("meant").alias("cover"), F.collect_set("typed").alias("said"))
+    met = cover.select("value", "cover", "said", F.explode("cover").alias("meant")).join(index, "meant")
+    by = F.when(F.col("form") == "short", F.col("said")).otherwise(F.col("cover"))  # a short name must be there as it is
+    return met.where(F.size(F.array_except("required", by)) == 0).select("value", "entry", "form").distinct(), forms
+
+
+def _scored(v: DataFrame, entries: DataFrame, entry_id: str, full_name: str, short_name: str, threshold: float) -> DataFrame:
+    """(value, entry, cosine) of the pairs of `threshold` or more, an entry by its better form."""
+    near, forms = candidates(v, entries, entry_id, full_name, short_name, threshold)
+
+    @F.pandas_udf(T.DoubleType())
+    def cosine(typed: pd.Series, meant: pd.Series, weights: pd.Series, short: pd.Series, form: pd.Series) -> pd.Series:
+        none = lambda x: [] if x is None else list(x)
+        return pd.Series([soft_cosine(list(a), list(b), list(w), none(s), f == "short", HEAVIEST) for a, b, w, s, f in zip(typed, meant, weights, short, form)], dtype="float64")
+
+    met = near.join(v.select("value", "words"), "value").join(forms, ["entry", "form"])
+    met = met.withColumn("cosine", cosine.asNondeterministic()("words", "meant", "weights", "short", "form"))  # else Catalyst works it out in the filter too
+    return met.where(F.col("cosine") >= threshold).groupBy("value", "entry").agg(F.max("cosine").alias("cosine"))
 
 
 def map_rows(rows: DataFrame, key: str, column: str, entries: DataFrame, entry_id: str, full_name: str, short_name: str, none: int = 0) -> DataFrame:
