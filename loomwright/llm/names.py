@@ -1,14 +1,13 @@
 """Problem 5: variant spellings of one organisation's name.
 
-Pigeonhole segment join. A name is reduced to its brand: legal forms go, and so do generic
-words, which are learned from all names as character n-grams (Latin script: words) of a document frequency
-above GENERIC_SHARE, counted over organisations by their marks, not over rows. A brand is cut into k+1 segments; two brands within k edits share one of
-them at a position shifted by at most k. Segments and the substrings that look them up meet in an
-inverted index together with a second mark of the organisation (date of foundation, address),
-so that common segments stay selective; equal brands also meet without one. Names of generic words only
-meet by a mark, by capital and words, and any brand by both marks. Candidates are
-verified by banded edit distance and by the marks agreeing. Rows alike in all that counts are
-one profile, paired as one; links between profiles are closed to classes.
+Pigeonhole segment join. A name is reduced to its brand: legal forms go, and so do generic words,
+which are learned from all names as character n-grams (Latin script: words) in a share of all
+organisations. A name of generic words only is its own brand. Brands within k edits are sought by
+segments: cut into k+1 parts, one part of the shorter brand stays whole in the longer one, shifted by
+k places at most. Parts and the substrings that look them up meet in an inverted
+index together with what the two rows must agree in besides the name (see `linked`), so a common
+part stays selective; where that is a date or address of very many rows, two parts must meet at once. Banded edit distance decides every pair: none beyond k is linked.
+Rows alike in all that counts are one profile; links between profiles are closed to classes.
 """
 
 from __future__ import annotations
@@ -18,8 +17,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomwright.llm.canon import edits
 from loomwright.llm.components import classes
@@ -32,10 +33,11 @@ LEGAL_LATIN = frozenset("co company corp corporation inc incorporated ltd limite
 TRADITIONAL = "長东東車馬門風飛魚鳥麥黃齊龍龜電備機業遠寧聯銳輝華銘澤鋒鳳達潤雲義樂慶優鈞鴻萬國際學藝術發開關動務勞區醫藥產經濟營銷貿實驗術樓榮葉蘇陳劉張楊趙劍紅綠藍絲線網絡維縱橫興舊鐵鋼銀錢鍵鏡顯訊誠識證讀貝財貨質貴賓賢贏軟輪農進運選郵鄭鄧鄉錦鎮鑫鑽閩陽陰際隊階雙雜離難靈靜韓順預領頭題願風飯飲館驛驗體鮮鶴鷹麗齡億價傳儀倉偉備傑傢償兒內兩剛創劃勝勵匯協單厲參號嘯團園圓圖場塊壓報塗墻夢奪奧獎婦媽孫寬寶將對導專層嶺島崗嵐幣師帶幫庫廠廣廢張彈彙徑從復德恆懷戰戲擴據擇"
 SIMPLIFIED = "长东东车马门风飞鱼鸟麦黄齐龙龟电备机业远宁联锐辉华铭泽锋凤达润云义乐庆优钧鸿万国际学艺术发开关动务劳区医药产经济营销贸实验术楼荣叶苏陈刘张杨赵剑红绿蓝丝线网络维纵横兴旧铁钢银钱键镜显讯诚识证读贝财货质贵宾贤赢软轮农进运选邮郑邓乡锦镇鑫钻闽阳阴际队阶双杂离难灵静韩顺预领头题愿风饭饮馆驿验体鲜鹤鹰丽龄亿价传仪仓伟备杰家偿儿内两刚创划胜励汇协单厉参号啸团园圆图场块压报涂墙梦夺奥奖妇妈孙宽宝将对导专层岭岛岗岚币师带帮库厂广废张弹汇径从复德恒怀战戏扩据择"
 _SIMPLER = str.maketrans(TRADITIONAL, SIMPLIFIED)
-#: An n-gram in the names of this share of all organisations (and at least so many) is a generic word.
-GENERIC_SHARE, GENERIC_LEAST = 0.003, 12
-#: A province or city named by this share of all addresses is generic too.
-PLACE_SHARE = 0.001
+#: An n-gram in the names of this share of all organisations is a generic word; a place named by this share of all addresses too.
+#: Counts are taken three standard deviations low, so that a few of few organisations are no share yet: the rule is one at every size.
+GENERIC_SHARE, PLACE_SHARE = 0.0015, 0.0005
+#: A date or address of more profiles than this is looked up by two segments at once. Either way finds all pairs.
+HOT = 200
 _HAN = re.compile(r"[一-鿿]")
 
 
@@ -78,7 +80,7 @@ def brand_of(plain: str, han: bool, generic: frozenset[str], short: frozenset[st
             for i in range(len(w) - n + 1):
                 if w[i : i + n] in generic:
                     hidden[i : i + n] = [True] * n
-        if len(w) > 3 and w[-2:] in short and not hidden[-1]:
+        if (len(w) > 3 or w in short and " " in plain) and w[-2:] in short and not hidden[-1]:
             hidden[-2:] = [True, True]
         for i in range(1, len(w)):
             if w[i] in "省市" and hidden[i - 1]:
@@ -120,45 +122,60 @@ def org_type(t: str | None) -> str:
 
 
 def tolerance(length: int, han: bool) -> int:
-    """Edits k allowed in a brand: half of a short Han brand, a third of a Latin one."""
-    return max(1, length // 2) if han else max(1, min(3, length // 3))
+    """Edits k allowed between two brands, the longer of this length: half of a Han brand, a third of a Latin one."""
+    return max(1, length // 2 if han else length // 3)
 
 
-def segments(b: str, k: int) -> list[tuple[int, str]]:
-    """b cut into k + 1 parts of nearly equal length."""
-    n = min(k + 1, len(b))
+def segments(b: str, n: int) -> list[tuple[int, str]]:
+    """(start, part): b cut into n parts of nearly equal length, or fewer if it is shorter."""
+    n = min(n, len(b))
     return [(i * len(b) // n, b[i * len(b) // n : (i + 1) * len(b) // n]) for i in range(n)]
 
 
-def index_keys(b: str, han: bool) -> set[str]:
-    return {s for _, s in segments(b, tolerance(len(b), han))}
+def one_part(b: str, han: bool, most: int | None = None) -> tuple[set, set]:
+    """(keys to be found by, keys to look up) with one whole part: the longer brand looks up the shorter one's parts, shifted by up to k.
 
-
-def probe_keys(b: str, han: bool) -> set[str]:
-    """Substrings of b that may be a segment of a brand within its tolerance of b, at shifted positions."""
-    out = set()
-    for length in range(max(1, len(b) - 3), len(b) + 4):
-        k = tolerance(length, han)
-        if abs(length - len(b)) > k:
-            continue
+    A swap of neighbours is one edit but may touch two parts; its two letters are then parts found one place aside,
+    or, where parts are longer, it must be counted as two edits in `most`.
+    """
+    size = len(b)
+    own, seek = set(), set()
+    for longer in range(size, 2 * size + 2):
+        k = tolerance(longer, han) if most is None else most
+        if longer - size <= k:
+            own |= {(k, size, x) for _, x in segments(b, k + 1)}
+    k = tolerance(size, han) if most is None else most
+    for length in range(max(1, size - k), size + 1):
         n = min(k + 1, length)
         for i in range(n):
             p, q = i * length // n, (i + 1) * length // n
-            for shift in range(-k, k + 1):
-                if 0 <= p + shift and q + shift <= len(b):
-                    out.add(b[p + shift : q + shift])
-    return out
+            seek |= {(k, length, b[p + t : q + t]) for t in range(-k, k + 1) if 0 <= p + t and q + t <= size}
+    return own, seek
+
+
+def two_parts(b: str) -> tuple[set, set]:
+    """As one_part for one edit at most, a swap of neighbours among them: of four parts two stay whole."""
+    size = len(b)
+    parts = segments(b, 4)
+    own = {(size, i, j, x, y) for i, (_, x) in enumerate(parts) for j, (_, y) in enumerate(parts) if i < j or len(parts) == 1}
+    seek = set()
+    for length in (size, size - 1) if size > 1 else (size,):
+        n, longer = min(4, length), size - length
+        at = [(i * length // n, (i + 1) * length // n) for i in range(n)]
+        for i in range(n):
+            for j in range(i + 1, n) if n > 1 else (i,):
+                for s, t in {(0, 0), (0, longer), (longer, longer)}:
+                    (p, q), (u, v) = at[i], at[j]
+                    if q + s <= size and v + t <= size:
+                        seek.add((length, i, j, b[p + s : q + s], b[u + t : v + t]))
+    return own, seek
 
 
-def short_for(x: str, y: str, han: bool) -> bool:
-    """Whether x is a usual short form of y: its beginning or end; in Latin script also an initial with the end."""
-    if len(x) >= len(y) or len(x) < 2:
-        return False
-    if han:
-        return y.startswith(x) or y.endswith(x)
-    if len(x) >= 4 and y.startswith(x):
-        return True
-    return len(x) >= 4 and x[0] == y[0] and (y.endswith(x[1:]) or edits(x[1:], y[-(len(x) - 1) :], 1) <= 1)
+def short_forms(b: str, han: bool) -> set[str]:
+    """The usual short forms of a brand within its tolerance: its beginning or end; in Latin script also its initial with the end."""
+    k, least = tolerance(len(b), han), 2 if han else 4
+    out = {x for n in range(max(least, len(b) - k), len(b)) for x in ((b[:n], b[-n:]) if han else (b[:n], b[0] + b[-(n - 1) :]))}
+    return out - {b}
 
 
 def same_place(x: str, y: str) -> bool:
@@ -169,29 +186,60 @@ def same_place(x: str, y: str) -> bool:
     return all(p in it for p in parts)
 
 
-def linked(b1: str, b2: str, han: bool, r1: str, r2: str, est: int, addr: int, cap: int, kind: int) -> bool:
-    """The decision on a pair; est, addr, cap, kind: 1 agree, -1 differ, 0 not known."""
-    if est < 0 or cap < 0 or kind < 0:
+def linked(b1: str, b2: str, han: bool, bare1: bool, bare2: bool, r1: str, r2: str, p1: str, p2: str, est: int, addr: int, cap: int, kind: int) -> bool:
+    """The decision on a pair: edit distance, within k to the name or 1 to a short form of it, the less the less else agrees.
+
+    est, addr, cap, kind: 1 agree, -1 differ, 0 not known. bare: the name is of generic words only; against a
+    name with a brand the whole names (p1, p2) are compared.
+    """
+    if min(est, addr, cap, kind) < 0:
         return False
     agree = (est > 0) * 2 + (addr > 0) * 2 + (cap > 0)
-    if addr < 0:
-        return False
-    if not b1 and not b2 and r1 == r2:
-        return agree >= 1
+    if bare1 and bare2:
+        return b1 == b2 and agree >= 1
+    if bare1 or bare2:
+        p1, p2 = p1.replace(" ", ""), p2.replace(" ", "")
+        k = tolerance(max(len(p1), len(p2)), han)
+        return est > 0 and addr > 0 and edits(p1, p2, k) <= k
     if b1 == b2:
-        return agree >= 2 or (same_place(r1, r2) and bool(b1) and (agree >= 1 or r1 == r2))
-    if not b1 or not b2:
-        return est > 0 and addr > 0 and same_place(r1, r2)
+        return agree >= 2 or (same_place(r1, r2) and (agree >= 1 or r1 == r2))
     x, y = (b1, b2) if len(b1) <= len(b2) else (b2, b1)
-    if short_for(x, y, han):
-        return agree >= 2
     k = tolerance(len(y), han)
     d = edits(b1, b2, k)
-    if d <= 1 and len(y) > 2:
+    if d > k:  # a short form with a slip is as far from the name as from its true short form
+        return agree >= 5 and any(edits(x, z, 1) <= 1 for z in short_forms(y, han))
+    if d <= 1 and len(y) > 2 or x in short_forms(y, han):
         return agree >= 2
-    if d <= k:
-        return agree >= 4 or (agree >= 3 and d <= 2 and len(y) > 2)
-    return agree >= 5 and (x[0] == y[0] or x[-1] == y[-1])
+    return agree >= 4 or (agree >= 3 and len(y) > 2)
+
+
+def lookups(brand: str, han: bool, bare: bool, rest: str, cap: str, thin: bool, marks: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """(keys to be found by, keys to look up) of a profile, as digests; marks: (kind, digest, profiles that have it).
+
+    Kinds e and a, a date or an address: brands one edit apart, or short forms. Kinds b and p, two things that agree:
+    brands within k edits. Without a mark: equal brands by the capital, or by the rest of the name.
+    """
+    own, seek = set(), set()
+    short = None
+    for kind, mark, n in marks:
+        if kind in "bp":
+            a, z = one_part(brand, han)
+            if kind == "p":  # date and address: a name of generic words only against names with a brand
+                (seek if bare else own).add(("w", mark))
+        else:
+            a, z = two_parts(brand) if n > HOT else one_part(brand, han, 2)
+            short = short_forms(brand, han) if short is None else short
+            own.add(("s", mark, brand))
+            seek |= {("s", mark, x) for x in short}
+        own |= {(kind, mark, x) for x in a}
+        seek |= {(kind, mark, x) for x in z}
+    for way, by in (("c", cap), ("r", rest)) if not bare else (("c", cap),):
+        if by or way == "r":
+            own.add((way, brand, by))
+            if thin or bare:
+                seek.add((way, brand, by))
+    digest = lambda keys: [xxhash.xxh3_64_intdigest(f"{han}{x}") - (1 << 63) for x in keys]
+    return digest(own), digest(seek)
 
 
 def link_names(rows: DataFrame, key: str, name: str, founded: str, address: str, capital_: str, type_: str) -> DataFrame:
@@ -226,58 +274,55 @@ def link_names(rows: DataFrame, key: str, name: str, founded: str, address: str,
     orgs = profiles.select("plain", "han", F.xxhash64(mark if marked else F.col("plain")).alias("org")).distinct()
     total = orgs.select("han", "org").distinct().groupBy("han").agg(F.count("*").alias("total"))
     df = orgs.mapInPandas(grams, "gram string, han boolean, org long").distinct().groupBy("gram", "han").count()
-    first = [F.regexp_extract("addr", f"^(?:([一-鿿]{{2,3}}?)省)?(?:([一-鿿]{{2,4}}?)市)?", i) for i in (1, 2)]
+    surely = F.col("count") - 3 * F.sqrt("count")
+    first = [F.regexp_extract("addr", "^(?:([一-鿿]{2,3}?)省)?(?:([一-鿿]{2,4}?)市)?", i) for i in (1, 2)]
     places = src.select(F.explode(F.array(*first)).alias("gram")).where("gram <> ''").groupBy("gram").count()
     many = src.where("addr is not null").agg(F.count("*").alias("total"))
-    common = df.join(F.broadcast(total), "han").where(F.col("count") >= F.greatest(F.col("total") * GENERIC_SHARE, F.lit(GENERIC_LEAST)))
-    named = places.crossJoin(F.broadcast(many)).where(F.col("count") >= F.greatest(F.col("total") * PLACE_SHARE, F.lit(3))).select("gram", F.lit(True).alias("han"))
+    common = df.join(F.broadcast(total), "han").where(surely >= F.col("total") * GENERIC_SHARE)
+    named = places.crossJoin(F.broadcast(many)).where(surely >= F.col("total") * PLACE_SHARE).select("gram", F.lit(True).alias("han"))
     words = [(r.gram, r.han) for r in common.select("gram", "han").unionByName(named).collect()]
     han_words = frozenset(g for g, h in words if h)
     latin_words = frozenset(g for g, h in words if not h)
     stems = frozenset(w[:n] for w in latin_words for n in range(3, len(w)))
     short = clipped(han_words)
 
+    # what a profile may share with others: a date, an address, or two things of three; only what several profiles have
+    known = {c: F.when(F.col(c) != "", F.col(c)) for c in ("est", "addr", "cap")}
+    one = lambda letter, *cs: F.when(F.concat(*[known[c] for c in cs]).isNotNull(), F.struct(F.lit(letter).alias("kind"), F.xxhash64(F.lit("".join(cs)), *cs).alias("mark")))
+    all_marks = F.array_compact(F.array(one("e", "est"), one("a", "addr"), one("p", "est", "addr"), one("b", "est", "cap"), one("b", "addr", "cap")))
+    shared = profiles.select("id", "han", F.explode(all_marks).alias("m")).select("id", "han", "m.kind", "m.mark")
+    shared = shared.withColumn("n", F.count("*").over(Window.partitionBy("mark", "han"))).where("n > 1")
+    marks = shared.groupBy("id").agg(F.collect_list(F.struct("kind", "mark", "n")).alias("marks"))
+
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for p, h in zip(f["plain"], f["han"]):
+            for p, h, est, addr, cap, m in zip(f["plain"], f["han"], f["est"], f["addr"], f["cap"], f["marks"]):
                 b, r = brand_of(p, h, han_words, short) if h else brand_of(p, h, latin_words, stems)
-                out.append((b, r, sorted(index_keys(b, h)), sorted(probe_keys(b, h))))
-            yield f.assign(brand=[o[0] for o in out], rest=[o[1] for o in out], index=[o[2] for o in out], probe=[o[3] for o in out])
-
-    full = cut(spread(profiles, "id").mapInPandas(keyed, profiles.schema.simpleString()[7:-1].replace(":", " ") + ", brand string, rest string, index array<string>, probe array<string>"))
-    marks = F.array_compact(F.array(F.when(F.col("est") != "", F.concat(F.lit("e"), "est")), F.when(F.col("addr") != "", F.concat(F.lit("a"), "addr"))))
-
-    def entries(segs: str) -> DataFrame:
-        own = full.select("id", "han", F.explode(marks).alias("mark"), segs, "brand")
-        part = own.select("id", "han", "mark", F.explode(segs).alias("seg"))
-        none = own.where("brand = ''").select("id", "han", "mark", F.lit("").alias("seg"))
-        return part.unionByName(none)
-
-    met = entries("index").alias("l").join(entries("probe").alias("r"), ["han", "mark", "seg"]).where(F.col("l.id") != F.col("r.id"))
-    pairs = met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    # equal brands without a common mark meet by the capital, or by the rest of the name
-    thin = full.where("brand <> '' and (est = '' or addr = '')")
-    other = full.where("brand <> ''")
-    free = "l.id <> r.id and (l.est = r.est or l.est = '' or r.est = '') and (l.addr = r.addr or l.addr = '' or r.addr = '') and (l.cap = r.cap or l.cap = '' or r.cap = '')"
-    for same in ("l.cap = r.cap and l.cap <> ''", "l.rest = r.rest"):
-        by_brand = thin.alias("l").join(other.alias("r"), F.expr(f"l.han = r.han and l.brand = r.brand and {same} and {free}"))
-        pairs = pairs.unionByName(by_brand.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")))
-    # names of generic words only: equal ones by the capital; against any brand by date and address, as `linked` asks for both
-    bare = full.where("brand = ''")
-    for right, same in ((bare, "l.rest = r.rest and l.cap = r.cap and l.cap <> ''"), (other, "l.est = r.est and l.est <> '' and l.addr = r.addr and l.addr <> ''")):
-        by_rest = bare.alias("l").join(right.alias("r"), F.expr(f"l.han = r.han and {same} and {free}"))
-        pairs = pairs.unionByName(by_rest.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")))
-    pairs = pairs.distinct()
-    facts = ["brand", "han", "rest", "est", "addr", "cap", "type"]
+                bare = not b
+                if bare:
+                    b, r = p.replace(" ", ""), ""
+                own, seek = lookups(b, h, bare, r, cap, not (est and addr), [(x["kind"], x["mark"], x["n"]) for x in (m if m is not None else ())])
+                out.append((b, bare, r, own, seek))
+            yield f.drop(columns="marks").assign(**{c: [o[i] for o in out] for i, c in enumerate(("brand", "bare", "rest", "own", "seek"))})
+
+    fields = profiles.schema.simpleString()[7:-1].replace(":", " ") + ", brand string, bare boolean, rest string, own array<bigint>, seek array<bigint>"
+    full = cut(spread(profiles.join(marks, "id", "left").select(*profiles.columns, "marks")).mapInPandas(keyed, fields))
+    met = full.select(F.col("id").alias("x"), F.explode("own").alias("key")).join(full.select(F.col("id").alias("y"), F.explode("seek").alias("key")), "key").where("x <> y")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    facts = ["plain", "brand", "han", "bare", "rest", "est", "addr", "cap", "type"]
     sides = [full.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in facts]) for s in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     agree = lambda c: F.when((F.col(f"{c}_a") == "") | (F.col(f"{c}_b") == ""), 0).when(F.col(f"{c}_a") == F.col(f"{c}_b"), 1).otherwise(-1).alias(c)
-    facts_of = both.select("a", "b", "brand_a", "brand_b", "han_a", "rest_a", "rest_b", *[agree(c) for c in ("est", "addr", "cap", "type")]).where("est >= 0 and addr >= 0 and cap >= 0 and type >= 0")
+    # addresses one slip apart, with the same numbers, neither agree nor differ
+    digits = [F.regexp_replace(f"addr_{s}", r"\D", "") for s in "ab"]
+    near = (F.levenshtein("addr_a", "addr_b", 1) >= 0) & (digits[0] == digits[1]) & (F.length("addr_a") > 4)
+    place = F.when((F.col("addr_a") == "") | (F.col("addr_b") == ""), 0).when(F.col("addr_a") == F.col("addr_b"), 1).when(near, 0).otherwise(-1).alias("addr")
+    facts_of = both.select("a", "b", "brand_a", "brand_b", "han_a", "bare_a", "bare_b", "rest_a", "rest_b", "plain_a", "plain_b", agree("est"), place, agree("cap"), agree("type")).where("est >= 0 and addr >= 0 and cap >= 0 and type >= 0")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ok = [linked(*x) for x in zip(f["brand_a"], f["brand_b"], f["han_a"], f["rest_a"], f["rest_b"], f["est"], f["addr"], f["cap"], f["type"])]
+            ok = [linked(*x) for x in zip(*[f[c] for c in ("brand_a", "brand_b", "han_a", "bare_a", "bare_b", "rest_a", "rest_b", "plain_a", "plain_b", "est", "addr", "cap", "type")])]
             yield f.loc[ok, ["a", "b"]]
 
     links = cut(spread(facts_of).mapInPandas(verify, f"a {kind}, b {kind}"))

@@ -262,12 +262,34 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("甲乙丙丁戊", min_size=4, max_size=5), st.data())
+def _edited(draw, b, n):
+    for _ in range(n):
+        i = draw(st.integers(0, len(b) - 1))
+        b = draw(st.sampled_from([b[:i] + b[i + 1 :], b[:i] + "己" + b[i + 1 :], b[:i] + "己" + b[i:], b[: max(i - 1, 0)] + b[max(i - 1, 0) : i + 1][::-1] + b[i + 1 :]])) or b
+    return b
+
+
+def _meet(f, a, b):
+    (o1, s1), (o2, s2) = f(a), f(b)
+    return bool(o1 & s2 or o2 & s1)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("甲乙丙丁戊", min_size=2, max_size=9), st.data())
 def test_pigeonhole_finds_every_edit(b, data):
-    i = data.draw(st.integers(0, len(b) - 1))
-    variant = data.draw(st.sampled_from([b[:i] + b[i + 1 :], b[:i] + "己" + b[i + 1 :], b[:i] + "己" + b[i:]]))
-    assert names.index_keys(b, True) & names.probe_keys(variant, True)
+    near = _edited(data.draw, b, 1)
+    assert _meet(lambda x: names.one_part(x, True, 2), b, near)
+    assert len(b) < 4 or len(near) < 4 or _meet(names.two_parts, b, near)
+    k = names.tolerance(max(len(b), len(far := _edited(data.draw, near, 1))), True)
+    assert names.edits(b, far, k) > k or k < 3 or _meet(lambda x: names.one_part(x, True), b, far)
+
+
+def test_distance_decides_every_link():
+    def link(a, b, est=1, addr=1, cap=1, bare=(False, False)):
+        return names.linked(a, b, True, *bare, "", "", a, b, est, addr, cap, 1)
+
+    assert link("耀丰昊恒", "丰昊恒") and not link("耀丰昊恒", "耀甲乙丙") and not link("耀丰昊恒", "耀丰昊恒", addr=-1)
+    assert link("电子科技", "晨曦电子科技", bare=(True, False)) and not link("电子科技", "晨曦山河松竹生物医药", bare=(True, False))
 
 
 def test_links(spark):
