@@ -17,7 +17,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -126,49 +125,32 @@ def tolerance(length: int, han: bool) -> int:
     return max(1, length // 2 if han else length // 3)
 
 
-def segments(b: str, n: int) -> list[tuple[int, str]]:
-    """(start, part): b cut into n parts of nearly equal length, or fewer if it is shorter."""
-    n = min(n, len(b))
-    return [(i * len(b) // n, b[i * len(b) // n : (i + 1) * len(b) // n]) for i in range(n)]
+def segments(k: str) -> str:
+    """SQL: of a brand b its k + 1 parts, each with k and the brand's length: the keys a brand is found by."""
+    n = f"least({k} + 1, length(b))"
+    return f"transform(sequence(0, {n} - 1), i -> concat_ws('|', {k}, length(b), substr(b, i * length(b) div {n} + 1, (i + 1) * length(b) div {n} - i * length(b) div {n})))"
 
 
-def one_part(b: str, han: bool, most: int | None = None) -> tuple[set, set]:
-    """(keys to be found by, keys to look up) with one whole part: the longer brand looks up the shorter one's parts, shifted by up to k.
+def substrings(k: str) -> str:
+    """SQL: what a brand b looks up to meet the brands within k edits that are no longer: their parts, shifted by up to k.
 
-    A swap of neighbours is one edit but may touch two parts; its two letters are then parts found one place aside,
-    or, where parts are longer, it must be counted as two edits in `most`.
+    A swap of neighbours is one edit but may touch two parts; its letters are found one place aside, or, where parts
+    are longer, k must count it as two.
     """
-    size = len(b)
-    own, seek = set(), set()
-    for longer in range(size, 2 * size + 2):
-        k = tolerance(longer, han) if most is None else most
-        if longer - size <= k:
-            own |= {(k, size, x) for _, x in segments(b, k + 1)}
-    k = tolerance(size, han) if most is None else most
-    for length in range(max(1, size - k), size + 1):
-        n = min(k + 1, length)
-        for i in range(n):
-            p, q = i * length // n, (i + 1) * length // n
-            seek |= {(k, length, b[p + t : q + t]) for t in range(-k, k + 1) if 0 <= p + t and q + t <= size}
-    return own, seek
-
-
-def two_parts(b: str) -> tuple[set, set]:
-    """As one_part for one edit at most, a swap of neighbours among them: of four parts two stay whole."""
-    size = len(b)
-    parts = segments(b, 4)
-    own = {(size, i, j, x, y) for i, (_, x) in enumerate(parts) for j, (_, y) in enumerate(parts) if i < j or len(parts) == 1}
-    seek = set()
-    for length in (size, size - 1) if size > 1 else (size,):
-        n, longer = min(4, length), size - length
-        at = [(i * length // n, (i + 1) * length // n) for i in range(n)]
-        for i in range(n):
-            for j in range(i + 1, n) if n > 1 else (i,):
-                for s, t in {(0, 0), (0, longer), (longer, longer)}:
-                    (p, q), (u, v) = at[i], at[j]
-                    if q + s <= size and v + t <= size:
-                        seek.add((length, i, j, b[p + s : q + s], b[u + t : v + t]))
-    return own, seek
+    n, p, q = f"least({k} + 1, l)", f"i * l div least({k} + 1, l)", f"(i + 1) * l div least({k} + 1, l)"
+    cut_out = f"transform(sequence(greatest(-{k}, -({p})), least({k}, length(b) - ({q}))), t -> concat_ws('|', {k}, l, substr(b, {p} + t + 1, {q} - {p})))"
+    return f"array_distinct(flatten(transform(sequence(greatest(1, length(b) - {k}), length(b)), l -> flatten(transform(sequence(0, {n} - 1), i -> {cut_out})))))"
+
+
+_PART = "substr(b, {x} * l div least(4, l) + {shift} + 1, ({x} + 1) * l div least(4, l) - {x} * l div least(4, l))"
+#: As `segments` and `substrings` for one edit at most, a swap among them: of four parts two stay whole, and both must meet.
+TWO_SEGMENTS = f"case when length(b) < 2 then array() else flatten(transform(array(length(b)), l -> flatten(transform(sequence(0, least(4, l) - 2), i -> transform(sequence(i + 1, least(4, l) - 1), j -> concat_ws('|', l, i, j, {_PART.format(x='i', shift=0)}, {_PART.format(x='j', shift=0)})))))) end"
+TWO_SUBSTRINGS = (
+    "case when length(b) < 2 then array() else array_distinct(flatten(transform(sequence(greatest(2, length(b) - 1), length(b)), l -> flatten(transform(sequence(0, least(4, l) - 2), i -> flatten(transform(sequence(i + 1, least(4, l) - 1), "
+    f"j -> transform(array(struct(0 as s, 0 as t), struct(0 as s, length(b) - l as t), struct(length(b) - l as s, length(b) - l as t)), x -> concat_ws('|', l, i, j, {_PART.format(x='i', shift='x.s')}, {_PART.format(x='j', shift='x.t')}))))))))) end"
+)
+#: Edits allowed between two brands, the longer of length(b) + d.
+TOLERANCE = "greatest(1, if(han, length(b) + {d}, cast((length(b) + {d}) * 2 div 3 as int)) div 2)"
 
 
 def short_forms(b: str, han: bool) -> set[str]:
@@ -213,33 +195,39 @@ def linked(b1: str, b2: str, han: bool, bare1: bool, bare2: bool, r1: str, r2: s
     return agree >= 4 or (agree >= 3 and len(y) > 2)
 
 
-def lookups(brand: str, han: bool, bare: bool, rest: str, cap: str, thin: bool, marks: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
-    """(keys to be found by, keys to look up) of a profile, as digests; marks: (kind, digest, profiles that have it).
+def keys(full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((x, key) to be found by, (y, key) to look up) of profiles, keys as digests.
 
-    Kinds e and a, a date or an address: brands one edit apart, or short forms. Kinds b and p, two things that agree:
-    brands within k edits. Without a mark: equal brands by the capital, or by the rest of the name.
+    By a date or an address (kinds e, a): brands within two edits, or one where very many have it, and short forms.
+    By two things that agree (b, p): brands within k edits, as far as the first way does not find them. Without a
+    mark: equal brands by the capital, or by the rest of the name. By date and address (p) also names of generic
+    words only against names with a brand.
     """
-    own, seek = set(), set()
-    short = None
-    for kind, mark, n in marks:
-        if kind in "bp":
-            a, z = one_part(brand, han)
-            if kind == "p":  # date and address: a name of generic words only against names with a brand
-                (seek if bare else own).add(("w", mark))
-        else:
-            a, z = two_parts(brand) if n > HOT else one_part(brand, han, 2)
-            short = short_forms(brand, han) if short is None else short
-            own.add(("s", mark, brand))
-            seek |= {("s", mark, x) for x in short}
-        own |= {(kind, mark, x) for x in a}
-        seek |= {(kind, mark, x) for x in z}
-    for way, by in (("c", cap), ("r", rest)) if not bare else (("c", cap),):
-        if by or way == "r":
-            own.add((way, brand, by))
-            if thin or bare:
-                seek.add((way, brand, by))
-    digest = lambda keys: [xxhash.xxh3_64_intdigest(f"{han}{x}") - (1 << 63) for x in keys]
-    return digest(own), digest(seek)
+    b = full.withColumn("b", F.col("brand")).withColumn("k", F.expr(TOLERANCE.format(d=0)))
+    hot = F.exists(F.coalesce("marks", F.array()), lambda m: m["kind"].isin("e", "a") & (m["n"] > HOT))
+    # k of a pair goes by the longer brand: a brand is cut for every k that a longer one may have
+    ks = "array_distinct(transform(sequence(0, length(b) + 1), d -> " + TOLERANCE.format(d="d") + "))"
+    long_own = f"flatten(transform(filter({ks}, k -> k > if(hot, 1, 2)), k -> {segments('k')}))"
+    b = b.withColumn("hot", hot).withColumns({
+        "own2": F.expr(segments("2")), "seek2": F.expr(substrings("2")), "ownk": F.expr(long_own), "seekk": F.expr(f"if(k > if(hot, 1, 2), {substrings('k')}, array())"),
+        "short": F.expr("case when length(b) < 2 then array() else array_distinct(transform(flatten(transform(filter(sequence(1, length(b) - 1), n -> n >= greatest(if(han, 2, 4), length(b) - k)), n -> array(struct(n, true as head), struct(n, false as head)))), x -> if(x.head, left(b, x.n), if(han, right(b, x.n), concat(left(b, 1), right(b, x.n - 1)))))) end"),
+    })
+    marked = b.withColumn("m", F.explode("marks"))
+    single = F.col("m.kind").isin("e", "a")
+    very = single & (F.col("m.n") > HOT)
+
+    def side(name: str, one: str, two: str, many: str, short: F.Column, whole: F.Column) -> DataFrame:
+        parts = F.when(very, F.expr(two)).when(single, F.col(one)).otherwise(F.col(many))
+        tag = lambda letter, xs: F.transform(xs, lambda x: F.concat(F.lit(letter), x))
+        more = F.when(single, tag("s", short)).otherwise(F.when(whole & (F.col("m.kind") == "p"), F.array(F.lit("w"))).otherwise(F.array()))
+        by_mark = marked.select(F.col("id").alias(name), "han", "m.mark", F.explode(F.concat(tag("x", parts), more)).alias("part"))
+        return by_mark.select(name, F.xxhash64("han", "mark", "part").alias("key"))
+
+    own = side("x", "own2", TWO_SEGMENTS, "ownk", F.array("b"), ~F.col("bare"))
+    seek = side("y", "seek2", TWO_SUBSTRINGS, "seekk", F.col("short"), F.col("bare"))
+    equal = F.array_compact(F.array(F.when(F.col("cap") != "", F.xxhash64(F.lit("c"), "han", "brand", "cap")), F.when(~F.col("bare"), F.xxhash64(F.lit("r"), "han", "brand", "rest"))))
+    thin = F.col("bare") | (F.col("est") == "") | (F.col("addr") == "")
+    return own.unionByName(full.select(F.col("id").alias("x"), F.explode(equal).alias("key"))), seek.unionByName(full.where(thin).select(F.col("id").alias("y"), F.explode(equal).alias("key")))
 
 
 def link_names(rows: DataFrame, key: str, name: str, founded: str, address: str, capital_: str, type_: str) -> DataFrame:
@@ -294,21 +282,18 @@ def link_names(rows: DataFrame, key: str, name: str, founded: str, address: str,
     shared = shared.withColumn("n", F.count("*").over(Window.partitionBy("mark", "han"))).where("n > 1")
     marks = shared.groupBy("id").agg(F.collect_list(F.struct("kind", "mark", "n")).alias("marks"))
 
-    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def branded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for p, h, est, addr, cap, m in zip(f["plain"], f["han"], f["est"], f["addr"], f["cap"], f["marks"]):
+            for p, h in zip(f["plain"], f["han"]):
                 b, r = brand_of(p, h, han_words, short) if h else brand_of(p, h, latin_words, stems)
-                bare = not b
-                if bare:
-                    b, r = p.replace(" ", ""), ""
-                own, seek = lookups(b, h, bare, r, cap, not (est and addr), [(x["kind"], x["mark"], x["n"]) for x in (m if m is not None else ())])
-                out.append((b, bare, r, own, seek))
-            yield f.drop(columns="marks").assign(**{c: [o[i] for o in out] for i, c in enumerate(("brand", "bare", "rest", "own", "seek"))})
-
-    fields = profiles.schema.simpleString()[7:-1].replace(":", " ") + ", brand string, bare boolean, rest string, own array<bigint>, seek array<bigint>"
-    full = cut(spread(profiles.join(marks, "id", "left").select(*profiles.columns, "marks")).mapInPandas(keyed, fields))
-    met = full.select(F.col("id").alias("x"), F.explode("own").alias("key")).join(full.select(F.col("id").alias("y"), F.explode("seek").alias("key")), "key").where("x <> y")
+                out.append((b, False, r) if b else (p.replace(" ", ""), True, ""))
+            yield f.assign(**{c: [o[i] for o in out] for i, c in enumerate(("brand", "bare", "rest"))})
+
+    fields = profiles.schema.simpleString()[7:-1].replace(":", " ") + ", brand string, bare boolean, rest string"
+    full = cut(spread(profiles, "id").mapInPandas(branded, fields).join(marks, "id", "left"))
+    own, seek = keys(full)
+    met = own.join(seek, "key").where("x <> y")
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     facts = ["plain", "brand", "han", "bare", "rest", "est", "addr", "cap", "type"]
     sides = [full.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in facts]) for s in "ab"]

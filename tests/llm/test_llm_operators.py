@@ -262,26 +262,41 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
 
 
-def _edited(draw, b, n):
-    for _ in range(n):
-        i = draw(st.integers(0, len(b) - 1))
-        b = draw(st.sampled_from([b[:i] + b[i + 1 :], b[:i] + "己" + b[i + 1 :], b[:i] + "己" + b[i:], b[: max(i - 1, 0)] + b[max(i - 1, 0) : i + 1][::-1] + b[i + 1 :]])) or b
-    return b
-
-
-def _meet(f, a, b):
-    (o1, s1), (o2, s2) = f(a), f(b)
-    return bool(o1 & s2 or o2 & s1)
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.text("甲乙丙丁戊", min_size=2, max_size=9), st.data())
-def test_pigeonhole_finds_every_edit(b, data):
-    near = _edited(data.draw, b, 1)
-    assert _meet(lambda x: names.one_part(x, True, 2), b, near)
-    assert len(b) < 4 or len(near) < 4 or _meet(names.two_parts, b, near)
-    k = names.tolerance(max(len(b), len(far := _edited(data.draw, near, 1))), True)
-    assert names.edits(b, far, k) > k or k < 3 or _meet(lambda x: names.one_part(x, True), b, far)
+def test_pigeonhole_finds_every_edit(spark):
+    r = random.Random(5)
+    pairs = []
+    for i in range(4000):
+        a = b = "".join(r.choice("甲乙丙丁戊") for _ in range(r.randint(2, 9)))
+        for _ in range(1 + i % 3):
+            j = r.randrange(len(b) or 1)
+            b = r.choice([b[:j] + b[j + 1 :], b[:j] + "己" + b[j + 1 :], b[:j] + "己" + b[j:], b[: max(j - 1, 0)] + b[max(j - 1, 0) : j + 1][::-1] + b[j + 1 :]]) or b
+        pairs.append((i, a, b))
+    df = spark.createDataFrame(pairs, "i int, a string, b2 string")
+    meet = lambda own, seek: F.arrays_overlap(own, seek)
+    x, y = df.select("i", F.col("a").alias("b"), F.lit(True).alias("han")), df.select("i", F.col("b2").alias("b"), F.lit(True).alias("han"))
+    ways = {"one": (names.segments("2"), names.substrings("2")), "two": (names.TWO_SEGMENTS, names.TWO_SUBSTRINGS), "three": (names.segments("3"), names.substrings("3"))}
+    sides = [t.select("i", *[F.expr(e).alias(f"{n}{j}{s}") for n, es in ways.items() for j, e in enumerate(es)]) for s, t in (("a", x), ("b", y))]
+    got = sides[0].join(sides[1], "i").select("i", *[(meet(f"{n}0a", f"{n}1b") | meet(f"{n}0b", f"{n}1a")).alias(n) for n in ways]).collect()
+    by = {g["i"]: g for g in got}
+    for i, a, b in pairs:
+        d = names.edits(a, b, 9)
+        lev = _levenshtein(a, b)
+        if lev >= min(len(a), len(b)):  # no letter of the shorter one need be left
+            continue
+        assert d > 1 or by[i]["one"], (a, b)
+        assert lev > 2 or by[i]["one"], (a, b)
+        assert lev > 3 or by[i]["three"], (a, b)
+        assert d > 1 or min(len(a), len(b)) < 4 or by[i]["two"], (a, b)
+        assert a == b or not {a, b} & (names.short_forms(a, True) | names.short_forms(b, True)) or d > 2 or by[i]["one"]
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
 
 
 def test_distance_decides_every_link():
