@@ -63,7 +63,7 @@ _LEVELS = ["category_big", "category_middle"]
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    report = quota.quota_report(table(spark, d, "enterprises_full"), table(spark, d, "category_targets"), 0.2, "category", _LEVELS)
+    report = quota.quota_report(table(spark, d, "enterprises_full"), table(spark, d, "category_targets"), 0.2)
     return report.where("shortfall > 0").select("category")
 
 
@@ -75,7 +75,7 @@ def p6_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """Wanted, available and drawn rows, and what could not be met, of each target category."""
-    return quota.quota_report(table(spark, d, "enterprises_full"), table(spark, d, "category_targets"), 0.2, "category", _LEVELS)
+    return quota.quota_report(table(spark, d, "enterprises_full"), table(spark, d, "category_targets"), 0.2)
 
 
 _LOOKS = {"enterprises_full": "business", "experts_full": "research_field", "achievements_full": "title", "papers": "title"}

@@ -1,13 +1,15 @@
 """Problem 6: a sample whose category shares follow given targets.
 
 Quotas go top down over a tree of categories. At the top each category asks for
-max(minimum, floor(share * n + 0.5)) rows; what one cannot give is passed to its siblings with
-rows to spare, by target share. Below, a node's quota is split by the rows of its children, so
-no child is asked for more than it has: nothing is unmet there, and no step to cousins arises.
-At the leaves rows are drawn by the dense rank of a permuted (hashed) key.
-
-Only counts are gathered: one row a leaf after a map-side sum. Ranking never sorts a whole
-category in a task: rows fall into `BUCKETS` ranges of the permuted key, whole ranges below the
+max(minimum, floor(share * n + 0.5)) rows; below, a node asks the same of each of its children,
+whatever they hold. What a node cannot give is passed first to its siblings, by the same weights,
+as far as they have rows left; what they cannot give either is their parent's unmet quota and goes on
+to the parent's siblings, so to the node's cousins, and so up to the top, where it is the
+category's reported shortfall and goes to the other categories by target share. At the leaves
+rows are drawn by the dense rank of a permuted (hashed) key.
+
+Only counts move: one row a leaf after a map-side sum, gathered by category. Ranking never sorts a
+whole leaf in a task: rows fall into 4,096 ranges of the permuted key, whole ranges below the
 quota are taken by their counts, and only rows of the one range where the quota ends are ranked.
 """
 
@@ -18,11 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomwright.session import small
-
-BUCKETS = 1024
-#: Most nodes the tree may have: its counts are allocated in one task.
-MAX_NODES = 2_000_000
+from loomwright.operators.sampling import permuted
+from loomwright.session import cut, small
 
 
 def clean_category(c: Column) -> Column:
@@ -34,79 +33,73 @@ def clean_category(c: Column) -> Column:
 def share_out(total: int, weights: list[float], caps: list[int]) -> list[int]:
     """`total` split by weight, none above its cap; whole rows by largest remainder, ties by position.
 
-    What the caps turn away goes to the others by weight again, as long as there is room.
+    What the caps turn away goes to the others by weight, as long as there is room: all that are below
+    their cap get the same number of rows a weight.
     """
-    got = [0] * len(caps)
     left = min(total, sum(caps))
-    while left > 0:
-        open_ = [i for i in range(len(caps)) if got[i] < caps[i]]
-        w = sum(weights[i] for i in open_)
-        part = [left * weights[i] / w if w > 0 else left / len(open_) for i in open_]
-        take = [min(caps[i] - got[i], int(p)) for i, p in zip(open_, part)]
-        rest = left - sum(take)
-        if all(t == int(p) for t, p in zip(take, part)):  # no cap in the way: what is left by largest remainder
-            for j in sorted(range(len(open_)), key=lambda j: (-(part[j] % 1), j)):
-                if rest and take[j] < caps[open_[j]] - got[open_[j]]:
-                    take[j] += 1
-                    rest -= 1
-        for i, t in zip(open_, take):
-            got[i] += t
-        left = rest
+    if left <= 0:
+        return [0] * len(caps)
+    weights = [max(float(w), 1e-12) for w in weights]
+    order = sorted(range(len(caps)), key=lambda i: (caps[i] / weights[i], i))
+    full, open_, level = 0, sum(weights), None
+    for i in order:
+        level = (left - full) / open_
+        if level <= caps[i] / weights[i]:
+            break
+        full, open_, level = full + caps[i], open_ - weights[i], None
+    exact = [float(c) if level is None else min(float(c), level * w) for c, w in zip(caps, weights)]
+    got = [int(x + 1e-9) for x in exact]
+    rest = left - sum(got)
+    for i in sorted(range(len(caps)), key=lambda i: (-round(exact[i] - got[i], 6), i)):
+        if rest > 0 and got[i] < caps[i]:
+            got[i] += 1
+            rest -= 1
     return got
 
 
-def _node(paths: dict[tuple, int]) -> dict:
-    tree: dict = {}
-    for path, n in paths.items():
-        at = tree
-        for p in path:
-            at = at.setdefault(p, {})
-        at[None] = n
-    return tree
-
-
-def _size(node: dict) -> int:
-    return node[None] if None in node else sum(map(_size, node.values()))
-
-
-def _key(p) -> tuple:
-    return (p != "", str(p))
+def descend(leaves: list[tuple], quota: int) -> dict[tuple, int]:
+    """Quota of a category to its leaves, (path, rows) each.
 
+    Down: every node asks its children for equal parts of what it was asked for. Up: what a node's children lack is given to
+    those of them with rows left, and only what none of them has is passed on, to the node's siblings.
+    """
+    out: dict[tuple, int] = {}
 
-def _descend(node: dict, quota: int, path: tuple, out: dict) -> None:
-    """Quota of a node to its leaves: by rows, so that siblings take over what one cannot give."""
-    if None in node:
-        out[path] = quota
-        return
-    kids = sorted(node, key=_key)
-    caps = [_size(node[k]) for k in kids]
-    for k, q in zip(kids, share_out(quota, [float(c) for c in caps], caps)):
-        _descend(node[k], q, (*path, k), out)
+    def give(rows: list[tuple], depth: int, asked: int) -> None:
+        if len(rows) == 1 and depth == len(rows[0][0]):
+            out[rows[0][0]] = asked
+            return
+        kids: dict = {}
+        for r in rows:
+            kids.setdefault(r[0][depth], []).append(r)
+        names = sorted(kids, key=lambda k: (k == "", k))
+        have = [sum(n for _, n in kids[k]) for k in names]
+        for k, q in zip(names, share_out(asked, [1.0] * len(names), have)):
+            if q:
+                give(kids[k], depth + 1, q)
 
+    if quota > 0 and leaves:
+        give(leaves, 0, quota)
+    return out
 
-def allocate_tree(leaves: pd.DataFrame, targets: pd.DataFrame, n: int, depth: int) -> tuple[dict, list]:
-    """Quota of each leaf path, and (category, wanted, available, quota) of each target."""
-    tree = _node({tuple(r[:depth]): int(r[depth]) for r in leaves.itertuples(index=False)})
-    goal = sorted(targets.itertuples(index=False), key=lambda r: (-r[1], r[0]))
-    wanted = [max(int(m), int(s * n + 0.5)) for _, s, m in goal]
-    have = [_size(tree[c]) if c in tree else 0 for c, _, _ in goal]
-    got = [min(w, h) for w, h in zip(wanted, have)]
-    missing = n - sum(got)
-    if missing > 0:  # unmet quota to the siblings, by their target share
-        more = share_out(missing, [float(s) for _, s, _ in goal], [h - g for h, g in zip(have, got)])
-        got = [g + m for g, m in zip(got, more)]
-    elif missing < 0:  # minima ask for more than n: the largest give way, none below its minimum
-        room = [max(0, g - int(m)) for g, (_, _, m) in zip(got, goal)]
-        less = share_out(-missing, [float(r) for r in room], room)
-        got = [g - x for g, x in zip(got, less)]
-    out: dict = {}
-    for (c, _, _), g in zip(goal, got):
-        if g:
-            _descend(tree[c], g, (c,), out)
-    return out, [(c, w, h, g) for (c, _, _), w, h, g in zip(goal, wanted, have, got)]
 
+def top_quotas(goals: list[tuple[str, float, int, int]], n: int) -> list[tuple[str, int, int, int, int]]:
+    """(category, wanted, available, quota, shortfall) of (category, share, minimum, available), in order of share.
 
-_REPORT = "category string, wanted long, available long, quota long, shortfall long"
+    A category gives what it has of what it is asked for; the rest is its shortfall and is passed to the others.
+    Where the minima ask for more than n, those above their minimum give way, by what they have above it.
+    """
+    goals = sorted(goals, key=lambda g: (-g[1], g[0]))
+    wanted = [max(int(m), int(s * n + 0.5)) for _, s, m, _ in goals]
+    given = [min(w, g[3]) for w, g in zip(wanted, goals)]
+    unmet = [w - q for w, q in zip(wanted, given)]
+    missing = n - sum(given)
+    if missing > 0:
+        given = [q + x for q, x in zip(given, share_out(missing, [g[1] for g in goals], [g[3] - q for g, q in zip(goals, given)]))]
+    elif missing < 0:
+        room = [max(0, q - int(g[2])) for q, g in zip(given, goals)]
+        given = [q - x for q, x in zip(given, share_out(-missing, [float(r) for r in room], room))]
+    return [(g[0], w, g[3], q, u) for g, w, q, u in zip(goals, wanted, given, unmet)]
 
 
 def _prepare(rows: DataFrame, category: str, levels: list[str]) -> tuple[DataFrame, list[str]]:
@@ -115,65 +108,52 @@ def _prepare(rows: DataFrame, category: str, levels: list[str]) -> tuple[DataFra
     return rows.withColumns(dict(zip(names, cols))), names
 
 
-def _plan(rows: DataFrame, targets: DataFrame, fraction: float, category: str, levels: list[str]) -> DataFrame:
-    """Rows of kind 'leaf' (path, quota) and 'report' from leaf counts, made in one task of bounded size."""
-    tagged, names = _prepare(rows, category, levels)
-    counts = tagged.groupBy(*names).agg(F.count("*").alias("n"))
-    goal = targets.select(clean_category(F.col("category")).alias("__l0"), "target_share", "min_rows").where("__l0 is not null and __l0 <> ''")
-    goal = goal.groupBy("__l0").agg(F.max("target_share").alias("share"), F.max("min_rows").alias("least"))
-    both = counts.select(F.lit("c").alias("kind"), F.array(*names).alias("path"), F.col("n").cast("double").alias("n"), F.lit(0).cast("long").alias("least")).unionByName(
-        goal.select(F.lit("t").alias("kind"), F.array("__l0").alias("path"), F.coalesce("share", F.lit(0.0)).alias("n"), F.coalesce("least", F.lit(0)).cast("long").alias("least"))
-    )
-    depth = len(names)
-
-    def run(frames):
-        got = [f for f in frames if len(f)]
-        if not got:
-            return
-        f = pd.concat(got)
-        if len(f) > MAX_NODES:
-            raise ValueError(f"the category tree has {len(f)} nodes; allocate has room for {MAX_NODES}")
-        c = f[f.kind == "c"]
-        leaves = pd.DataFrame([[*p, int(n)] for p, n in zip(c.path, c.n)], columns=[*map(str, range(depth)), "n"])
-        t = f[f.kind == "t"]
-        goals = pd.DataFrame({"c": [p[0] for p in t.path], "s": t.n.to_list(), "m": t.least.to_list()})
-        total = int(leaves["n"].sum())
-        quota, report = allocate_tree(leaves, goals, int(fraction * total + 0.5), depth)
-        yield pd.DataFrame([["leaf", list(p), None, None, q] for p, q in sorted(quota.items())] + [["report", [r[0]], r[1], r[2], r[3]] for r in report], columns=["kind", "path", "wanted", "available", "quota"])
-
-    return both.coalesce(1).mapInPandas(run, "kind string, path array<string>, wanted long, available long, quota long")
-
-
-def quota_report(rows: DataFrame, targets: DataFrame, fraction: float = 0.2, category: str = "category", levels: list[str] | None = None) -> DataFrame:
+def quota_report(rows: DataFrame, targets: DataFrame, fraction: float = 0.2, category: str = "category") -> DataFrame:
     """(category, wanted, available, quota, shortfall): one row a target category.
 
-    wanted is max(min_rows, floor(share * n + 0.5)), n = floor(fraction * rows + 0.5); shortfall is
-    what the category's own rows lack of it. Null, blank and unlisted categories are no target,
-    but their rows count for n. Repeated rows count each time; a category listed twice counts
+    wanted is max(min_rows, floor(share * n + 0.5)), n = floor(fraction * rows + 0.5); quota what is
+    drawn of it in the end, with what others passed on; shortfall the quota it had to pass on. Null, blank and
+    unlisted categories are no target, but their rows count for n. Repeated rows count each time; a category listed twice counts
     with its larger figures; empty tables give shortfalls of the whole minimum.
     """
-    plan = _plan(rows, targets, fraction, category, levels or [])
-    return plan.where("kind = 'report'").select(F.col("path")[0].alias("category"), "wanted", "available", "quota", F.greatest(F.lit(0), F.col("wanted") - F.col("available")).alias("shortfall"))
+    tagged, _ = _prepare(rows, category, [])
+    counts = tagged.groupBy("__l0").agg(F.count("*").alias("have"))
+    goal = targets.select(clean_category(F.col("category")).alias("__l0"), "target_share", "min_rows").where("__l0 is not null and __l0 <> ''")
+    goal = goal.groupBy("__l0").agg(F.coalesce(F.max("target_share"), F.lit(0.0)).cast("double").alias("share"), F.coalesce(F.max("min_rows"), F.lit(0)).cast("long").alias("least"))
+    listed = goal.join(counts, "__l0", "left").crossJoin(F.broadcast(counts.agg(F.coalesce(F.sum("have"), F.lit(0)).alias("rows"))))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:  # one row a listed category
+        goals = [(c, s, m, int(h)) for c, s, m, h in zip(f["__l0"], f["share"], f["least"], f["have"])]
+        got = top_quotas(goals, int(fraction * int(f["rows"].iat[0]) + 0.5))
+        return pd.DataFrame(got, columns=["category", "wanted", "available", "quota", "shortfall"])
+
+    return listed.select("__l0", "share", "least", F.coalesce("have", F.lit(0)).alias("have"), "rows").groupBy().applyInPandas(run, "category string, wanted long, available long, quota long, shortfall long")
 
 
 def quota_sample(rows: DataFrame, targets: DataFrame, key: str, fraction: float = 0.2, category: str = "category", levels: list[str] | None = None, seed: int = 42) -> DataFrame:
     """The rows drawn, with all their columns; see quota_report for the shares.
 
-    Rows are taken in the order of xxhash64(key, seed), ties by all further columns' digest, so
-    equal inputs draw equal samples and a repeated row may be drawn as often as it occurs.
+    Rows are taken in the order of md5(key, seed), ties by all columns' digest, and of wholly equal rows one
+    after the other; so equal inputs draw equal samples and a repeated row may be drawn as often as it occurs.
     """
     tagged, names = _prepare(rows, category, levels or [])
-    plan = _plan(rows, targets, fraction, category, levels or []).where("kind = 'leaf' and quota > 0")
-    leaves = small(plan.select(*[F.col("path")[i].alias(n) for i, n in enumerate(names)], F.col("quota").alias("__q")))
-    perm = F.xxhash64(F.col(key), F.lit(seed))
-    bucket = F.pmod(F.shiftright(perm, 32), F.lit(BUCKETS))
-    tagged = tagged.join(leaves, names).withColumns({"__h": perm, "__b": bucket})
+    report = quota_report(rows, targets, fraction, category).select(F.col("category").alias("__l0"), "quota")
+    counts = tagged.groupBy(*names).agg(F.count("*").alias("n")).join(F.broadcast(report), "__l0")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:  # the leaf counts of one category
+        leaves = [(tuple(r), int(n)) for r, n in zip(f[names[1:]].itertuples(index=False), f["n"])]
+        got = descend(leaves, int(f["quota"].iat[0])) if len(names) > 1 else {(): int(f["quota"].iat[0])}
+        return pd.DataFrame([(f["__l0"].iat[0], *p, q) for p, q in got.items()], columns=[*names, "__q"])
+
+    plan = counts.groupBy("__l0").applyInPandas(run, ", ".join(f"{n} string" for n in names) + ", __q long")
+    leaves = small(cut(plan.where("__q > 0")))
+    h = permuted(F.col(key), seed)
+    tagged = tagged.join(leaves, names).withColumns({"__h": h, "__b": F.substring(h, 1, 3)})
     per = tagged.groupBy(*names, "__b").agg(F.count("*").alias("__n"), F.max("__q").alias("__q"))
     before = F.sum("__n").over(Window.partitionBy(*names).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     cuts = per.withColumn("__before", F.coalesce(before, F.lit(0))).where("__before < __q").select(*names, "__b", (F.col("__q") - F.col("__before")).alias("__take"), "__n")
     drawn = tagged.drop("__q").join(cuts, [*names, "__b"])
-    whole = drawn.where("__n <= __take")
     tie = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in rows.columns])
-    rank = F.row_number().over(Window.partitionBy(*names, "__b").orderBy("__h", tie))
-    part = drawn.where("__n > __take").withColumn("__r", rank).where("__r <= __take").drop("__r")
-    return whole.unionByName(part).select(*[f"`{c}`" for c in rows.columns])
+    rank = F.dense_rank().over(Window.partitionBy(*names, "__b").orderBy("__h", "__tie", "__copy"))
+    part = drawn.where("__n > __take").withColumns({"__tie": tie, "__copy": F.monotonically_increasing_id()}).withColumn("__r", rank).where("__r <= __take")
+    return drawn.where("__n <= __take").unionByName(part.drop("__r", "__tie", "__copy")).select(*[f"`{c}`" for c in rows.columns])

@@ -145,13 +145,23 @@ def test_share_out():
     assert quota.share_out(10, [1.0, 1.0], [2, 20]) == [2, 8]
     assert quota.share_out(10, [1.0, 0.0], [3, 3]) == [3, 3]
     assert quota.share_out(0, [], []) == []
+    assert quota.share_out(7, [0.0, 0.0], [9, 9]) == [4, 3]
+
+
+def test_unmet_quota_goes_to_siblings_before_cousins():
+    leaves = [(("x", "1"), 1), (("x", "2"), 9), (("y", "1"), 9), (("y", "2"), 9)]
+    assert quota.descend(leaves, 12) == {("x", "1"): 1, ("x", "2"): 5, ("y", "1"): 3, ("y", "2"): 3}  # the sibling takes it
+    leaves = [(("x", "1"), 1), (("x", "2"), 2), (("y", "1"), 9), (("y", "2"), 9)]
+    assert quota.descend(leaves, 12) == {("x", "1"): 1, ("x", "2"): 2, ("y", "1"): 5, ("y", "2"): 4}  # siblings spent: the cousins do
+    got = {c: (q, u) for c, _, _, q, u in quota.top_quotas([("a", 0.5, 1, 2), ("b", 0.3, 1, 50), ("c", 0.2, 1, 50)], 10)}
+    assert got == {"a": (2, 3), "b": (5, 0), "c": (3, 0)}
 
 
 def test_quota_sample(spark):
     rows = [(i, c, f"b{i % 3}") for i, c in enumerate(["a"] * 600 + [" b。"] * 200 + ["c"] * 3 + [None] * 50 + ["-"] * 47)]
     df = spark.createDataFrame(rows, "row_idx long, category string, big string").withColumn("target_share", F.lit(1))
     goal = spark.createDataFrame([("a", 0.4, 5), ("b", 0.4, 5), ("c", 0.2, 5), ("d", 0.0, 2)], "category string, target_share double, min_rows long")
-    report = {r["category"]: r for r in quota.quota_report(df, goal, 0.2, levels=["big"]).collect()}
+    report = {r["category"]: r for r in quota.quota_report(df, goal, 0.2).collect()}
     assert {c for c, r in report.items() if r["shortfall"]} == {"c", "d"}
     got = quota.quota_sample(df, goal, "row_idx", 0.2, levels=["big"]).collect()
     assert len(got) == 180 == sum(r["quota"] for r in report.values())
