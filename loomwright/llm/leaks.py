@@ -4,18 +4,18 @@ Content-defined chunks. A record (its fields joined, in one form) is cut where a
 a few characters hits a pattern, so an edit changes only the chunks it touches. Chunk digests are
 joined across splits; the summed lengths of shared chunks give overlap fractions.
 
-The join is a prefix filter. All chunks have one global order, rare ones first; the head of a
-record is its first chunks up to 1 - TAIL of its length. Shared chunks outside both heads make up
-at most TAIL of the longer record, so two records with an overlap of OVERLAP or more share at least
-OVERLAP - TAIL of it by their heads alone: only heads are joined, as narrow rows, and pairs below
-that are dropped before any text moves. A chunk of a common prompt, in a third of all rows, stands
-last and is hardly ever joined, and no overlap of OVERLAP or more is lost. Equal records are one
-record in the join. What remains is checked exactly, field by field.
+The join is a prefix filter on the side of the evaluation splits. A record's chunks are ordered by
+how many training records have them, rare ones first; its head is its first chunks up to
+1 - TAIL of its length. Chunks outside the head make up at most TAIL of it, so two records with an
+overlap of OVERLAP or more share at least OVERLAP - TAIL of its length by the head alone: only heads
+look up training chunks, as rows of two numbers, and pairs below that are dropped before any text
+moves. A chunk of a common prompt, in a third of all rows, stands last and is hardly ever looked
+up, and no overlap of OVERLAP or more is lost. Equal records are one record in the join. What
+remains is checked exactly, field by field.
 """
 
 from __future__ import annotations
 
-import base64
 import re
 import unicodedata
 from collections import Counter
@@ -26,16 +26,19 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from loomwright.llm.components import classes
 from loomwright.session import cut, spread, widen
 
-WINDOW, MEAN, LONGEST = 4, 6, 64
+WINDOW, MEAN = 4, 6
 #: Overlap by shared chunk length that makes a pair a candidate, and the part of a record outside its head.
 OVERLAP, TAIL = 0.5, 0.4
 #: Least similarity (Dice of character trigrams) of the prompts and of the outputs of a copy.
 PROMPT_LEAST, OUTPUT_LEAST = 0.75, 0.7
 
 _KEEP = re.compile(r"[^\W_]+")
+_NUMBERS = re.compile(r"\d+")
 
 
 def one_form(text: str | None) -> str:
@@ -56,13 +59,8 @@ def chunks(text: str) -> list[tuple[int, int]]:
             h = h * np.uint64(0x100000001B3) + c[j : n - WINDOW + 1 + j]
         h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
         cuts = [int(i) + WINDOW for i in np.flatnonzero(h % np.uint64(MEAN) == 0) if i + WINDOW < n] + [n]
-    out, at = [], 0
-    for z in cuts:
-        while at < z:
-            end = min(z, at + LONGEST)
-            out.append((xxhash.xxh64_intdigest(text[at:end]) - (1 << 63), end - at))
-            at = end
-    return out
+    starts = [0, *cuts[:-1]]
+    return [(xxhash.xxh64_intdigest(text[a:z]) - (1 << 63), z - a) for a, z in zip(starts, cuts)]
 
 
 def dice(a: str, b: str) -> float:
@@ -75,77 +73,107 @@ def dice(a: str, b: str) -> float:
 
 
 def is_copy(prompt_a: str, output_a: str, prompt_b: str, output_b: str) -> bool:
-    """Whether two records in one form are the same as a whole or a lightly edited copy."""
-    if min(len(output_a), len(output_b)) < 12 and output_a != output_b:
+    """Whether two records in one form are the same as a whole or a lightly edited copy: other numbers make another answer."""
+    here, there = Counter(_NUMBERS.findall(output_a)), Counter(_NUMBERS.findall(output_b))
+    if here - there and there - here:  # numbers changed, not only left out or moved
         return False
     return dice(output_a, output_b) >= OUTPUT_LEAST and dice(prompt_a, prompt_b) >= PROMPT_LEAST
 
 
-def cross_split_copies(rows: DataFrame, key: str, prompt: list[str], output: str, split: str, train: str = "train", overlap: float = OVERLAP, tail: float = TAIL) -> DataFrame:
-    """(key_a, key_b, key_train, key_other, split, overlap): copies between train and any other split.
-
-    overlap is the shared chunk length over the longer record's length. Null fields are empty;
-    records empty in all fields have no copies; rows of a null split take no part. Repeated rows
-    are paired each; an empty table gives an empty result.
-    """
+def _linked(rows: DataFrame, key: str, prompt: list[str], output: str, split: str, train: str, overlap: float, tail: float) -> tuple[DataFrame, DataFrame]:
+    """((key, is_train, split, rec) of each row, (other, train, overlap) of the records that are copies); a record is known by the digest of its fields."""
     kind = rows.schema[key].dataType.simpleString()
     src = rows.where(F.col(split).isNotNull()).select(F.col(key).alias("key"), (F.col(split) == train).alias("is_train"), F.col(split).alias("split"), F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in prompt]).alias("prompt"), F.coalesce(F.col(output).cast("string"), F.lit("")).alias("output"))
 
     def tidy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             p, o = f["prompt"].map(one_form), f["output"].map(one_form)
-            rec = [base64.b64encode(xxhash.xxh128_digest(f"{a}\n{b}")).decode()[:22] for a, b in zip(p, o)]
-            yield pd.DataFrame({"key": f["key"], "is_train": f["is_train"], "split": f["split"], "rec": rec, "p": p, "o": o})
-
-    tidied = cut(widen(src).mapInPandas(tidy, f"key {kind}, is_train boolean, split string, rec string, p string, o string").where("p <> '' or o <> ''"))
-    records = cut(tidied.groupBy("rec").agg(F.first("p").alias("p"), F.first("o").alias("o"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_other")))
-
-    def cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r, p, o, a, b in zip(f["rec"], f["p"], f["o"], f["in_train"], f["in_other"]):
-                c = Counter()
-                for d, n in chunks(p + o):
-                    c[d] += n
-                out += [(r, a, b, len(p) + len(o), d, n) for d, n in c.items()]
-            yield pd.DataFrame(out, columns=["rec", "in_train", "in_other", "size", "chunk", "n"])
-
-    parts = cut(spread(records, "rec").mapInPandas(cut_up, "rec string, in_train boolean, in_other boolean, size long, chunk long, n long"))
-    df = parts.groupBy("chunk").agg(F.count("*").alias("df"), F.max("in_train").alias("t"), F.max("in_other").alias("e"))
-    # a chunk found on one side only can't be shared, but stands for length not shared
-    ranked = parts.join(df, "chunk").withColumn("common", F.col("t") & F.col("e"))
-    lists = cut(ranked.groupBy("rec", "in_train", "in_other", "size").agg(F.sort_array(F.collect_list(F.struct("df", "chunk", "n", "common"))).alias("c")))
-    # the running length before each chunk, in one pass over the array
-    run = F.expr("aggregate(c, named_struct('at', 0L, 'out', cast(array() as array<bigint>)), (a, x) -> named_struct('at', a.at + x.n, 'out', array_append(a.out, a.at)), a -> a.out)")
-    heads = lists.select("rec", "in_train", "in_other", "size", F.explode(F.arrays_zip("c", run.alias("before"))).alias("x"))
-    heads = heads.where((F.col("x.before") <= (1 - tail) * F.col("size")) & F.col("x.c.common"))
-    side = lambda flag, s: heads.where(flag).select(F.col("x.c.chunk").alias("chunk"), F.col("rec").alias(s), F.col("size").alias(f"size_{s}"), F.col("x.c.n").alias(f"n_{s}"))
-    longer = F.greatest("size_other", "size_train")
-    met = side("in_other", "other").join(side("in_train", "train"), "chunk").where((F.col("other") != F.col("train")) & (F.least("size_other", "size_train") >= overlap * longer))
-    met = met.groupBy("other", "train").agg(F.sum(F.least("n_other", "n_train")).alias("shared"), F.first(longer).alias("longer"))
-    met = cut(met.where(F.col("shared") >= (overlap - tail) * F.col("longer")).select("other", "train"))
-    arrays = lists.select("rec", "size", F.expr("transform(c, x -> named_struct('chunk', x.chunk, 'n', x.n))").alias("c")).join(records.select("rec", "p", "o"), "rec")
-    both = met.join(arrays.selectExpr("rec as other", "size as size_a", "c as ca", "p as pa", "o as oa"), "other").join(arrays.selectExpr("rec as train", "size as size_b", "c as cb", "p as pb", "o as ob"), "train")
+            digests = [xxhash.xxh128_digest(f"{a}\n{b}") for a, b in zip(p, o)]
+            yield pd.DataFrame({"key": f["key"], "is_train": f["is_train"], "split": f["split"], "rec": digests, "p": p, "o": o})
+
+    tidied = cut(widen(src).mapInPandas(tidy, f"key {kind}, is_train boolean, split string, rec binary, p string, o string").where("p <> '' or o <> ''"))
+    records = tidied.groupBy("rec").agg(F.first("p").alias("p"), F.first("o").alias("o"), F.bool_or("is_train").alias("in_train"), F.bool_or(~F.col("is_train")).alias("in_other"))
+    # the id of the join is half the digest: should two records share it, both are checked by their texts
+    records = records.withColumns({"id": F.xxhash64("rec"), "size": F.length("p") + F.length("o")})
+    both_sides = cut(records)
+
+    @F.pandas_udf("array<struct<chunk: bigint, n: int>>")
+    def cut_up(p: pd.Series, o: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(p, o):
+            c: Counter = Counter()
+            for d, n in chunks(a + b):
+                c[d] += n
+            out.append([{"chunk": d, "n": n} for d, n in c.items()])
+        return pd.Series(out)
+
+    parts = lambda flag: both_sides.where(flag).select("id", "size", F.inline(cut_up("p", "o")))
+    others, trains = cut(parts("in_other")), cut(parts("in_train").select("id", "chunk", "n"))
+    # how many training records have each chunk of the others; what none has can't be shared, but stands for length not shared
+    wanted = others.select("chunk").distinct()
+    common = cut(trains.join(wanted, "chunk", "left_semi"))
+    df = common.groupBy("chunk").agg(F.count("*").alias("df"))
+    ranked = others.join(df, "chunk", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    before = F.sum("n").over(Window.partitionBy("id").orderBy("df", "chunk").rowsBetween(Window.unboundedPreceding, -1))
+    heads = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") <= (1 - tail) * F.col("size")) & (F.col("df") > 0))
+    sizes = both_sides.where("in_train").select(F.col("id").alias("train"), F.col("size").alias("size_b"))
+    met = heads.select(F.col("id").alias("other"), F.col("size").alias("size_a"), "chunk", F.col("n").alias("n_a")).join(common.select(F.col("id").alias("train"), "chunk", F.col("n").alias("n_b")), "chunk").where("other <> train")
+    met = met.groupBy("other", "train").agg(F.sum(F.least("n_a", "n_b")).alias("shared"), F.first("size_a").alias("size_a")).where(F.col("shared") >= (overlap - tail) * F.col("size_a"))
+    longer, shorter = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
+    met = met.join(sizes, "train").where((shorter >= overlap * longer) & (F.col("shared") >= (overlap - tail) * longer)).select("other", "train")
+    texts = both_sides.select("id", "rec", "p", "o", "size")
+    both = met.join(texts.selectExpr("id as other", "rec as rec_a", "p as pa", "o as oa", "size as size_a"), "other").join(texts.selectExpr("id as train", "rec as rec_b", "p as pb", "o as ob", "size as size_b"), "train")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for x in f.itertuples(index=False):
-                here = {c["chunk"]: c["n"] for c in x.ca}
-                shared = sum(min(here[c["chunk"]], c["n"]) for c in x.cb if c["chunk"] in here)
-                part = shared / max(x.size_a, x.size_b)
-                if part >= overlap and is_copy(x.pa, x.oa, x.pb, x.ob):
-                    out.append((x.other, x.train, part))
+            for a, b, pa, oa, pb, ob in zip(f["rec_a"], f["rec_b"], f["pa"], f["oa"], f["pb"], f["ob"]):
+                if a != b and is_copy(pa, oa, pb, ob):
+                    here, there = Counter(), Counter()
+                    for c, text in ((here, pa + oa), (there, pb + ob)):
+                        for d, n in chunks(text):
+                            c[d] += n
+                    part = sum((here & there).values()) / max(len(pa) + len(oa), len(pb) + len(ob))
+                    if part >= overlap:
+                        out.append((a, b, part))
             yield pd.DataFrame(out, columns=["other", "train", "overlap"])
 
-    near = spread(both).mapInPandas(check, "other string, train string, overlap double")
-    same = records.where("in_train and in_other").select(F.col("rec").alias("other"), F.col("rec").alias("train"), F.lit(1.0).alias("overlap"))
-    linked = cut(near.unionByName(same))
+    near = spread(both).mapInPandas(check, "other binary, train binary, overlap double")
+    same = both_sides.where("in_train and in_other").select(F.col("rec").alias("other"), F.col("rec").alias("train"), F.lit(1.0).alias("overlap"))
+    return tidied.select("key", "is_train", "split", "rec"), cut(near.unionByName(same))
+
+
+def cross_split_copies(rows: DataFrame, key: str, prompt: list[str], output: str, split: str, train: str = "train", overlap: float = OVERLAP, tail: float = TAIL) -> DataFrame:
+    """(key_a, key_b, key_train, key_other, split, overlap): copies between train and any other split.
+
+    overlap is the shared chunk length over the longer record's length. Null fields are empty;
+    records empty in all fields have no copies; rows of a null split take no part. Repeated rows
+    are paired each (`copy_classes` has them without pairs); an empty table gives an empty result.
+    """
+    tidied, linked = _linked(rows, key, prompt, output, split, train, overlap, tail)
     others = tidied.where("not is_train").select(F.col("key").alias("ko"), "split", F.col("rec").alias("other"))
     trains = tidied.where("is_train").select(F.col("key").alias("kt"), F.col("rec").alias("train"))
     return linked.join(others, "other").join(trains, "train").select(F.least("ko", "kt").alias(f"{key}_a"), F.greatest("ko", "kt").alias(f"{key}_b"), F.col("kt").alias(f"{key}_train"), F.col("ko").alias(f"{key}_other"), "split", F.round("overlap", 6).alias("overlap"))
 
 
+def copy_classes(rows: DataFrame, key: str, prompt: list[str], output: str, split: str, train: str = "train", overlap: float = OVERLAP, tail: float = TAIL) -> DataFrame:
+    """(key, split, class, links): each row that occurs in train and another split, with the class of records linked, and its number of copies on the other side.
+
+    The class is the smallest key of its rows. Linear in the rows however often a record is repeated.
+    """
+    tidied, linked = _linked(rows, key, prompt, output, split, train, overlap, tail)
+    links = linked.select(F.xxhash64("other").alias("a"), F.xxhash64("train").alias("b"))
+    label = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).distinct().join(classes(links).withColumnRenamed("key", "rid"), "rid", "left").select("rid", F.coalesce("class", "rid").alias("c"))
+    per = cut(tidied.groupBy(F.xxhash64("rec").alias("rid")).agg(F.count_if("is_train").alias("n_train"), F.count_if(~F.col("is_train")).alias("n_other"), F.min("key").alias("least")))
+    over = links.join(per.select(F.col("rid").alias("b"), "n_train"), "b").groupBy(F.col("a").alias("rid")).agg(F.sum("n_train").alias("of_other"))
+    back = links.join(per.select(F.col("rid").alias("a"), "n_other"), "a").groupBy(F.col("b").alias("rid")).agg(F.sum("n_other").alias("of_train"))
+    found = label.join(per, "rid").join(over, "rid", "left").join(back, "rid", "left")
+    least = found.groupBy("c").agg(F.min("least").alias("class"))
+    found = found.join(least, "c").select("rid", "class", "of_other", "of_train")
+    out = tidied.withColumn("rid", F.xxhash64("rec")).join(found, "rid")
+    return out.select(F.col("key").alias(key), "split", "class", F.coalesce(F.when(F.col("is_train"), F.col("of_train")).otherwise(F.col("of_other")), F.lit(0)).alias("links"))
+
+
 def overlap_report(copies: DataFrame, rows: DataFrame, key: str, split: str, source: str) -> DataFrame:
     """(split_name, source, records, copied): records of each split but train, and how many have a copy there."""
     found = copies.select(F.col(f"{key}_other").alias(key)).distinct().withColumn("hit", F.lit(1))

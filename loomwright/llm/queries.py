@@ -41,6 +41,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _copies(spark, d).select("sft_id_a", "sft_id_b")
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each record found in train and in val or test, with its class and its number of copies on the other side."""
+    return leaks.copy_classes(table(spark, d, "sft"), "sft_id", ["instruction", "input"], "output", "split_name")
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Records of each split and source, and how many of them occur in train."""
     return leaks.overlap_report(_copies(spark, d), table(spark, d, "sft"), "sft_id", "split_name", "source")
@@ -133,5 +138,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_defects, p3_found, p3_unmatched, p4_found, p4_report, p5_found, p5_classes, p6_found, p6_sample, p6_report, p7_found, p7_forms, p8_ids, build_batches_sft, p9_packed, p9_report, p10_found]
+    found = [p1_found, p1_defects, p3_found, p3_unmatched, p4_found, p4_classes, p4_report, p5_found, p5_classes, p6_found, p6_sample, p6_report, p7_found, p7_forms, p8_ids, build_batches_sft, p9_packed, p9_report, p10_found]
     return {f.__name__: f for f in found}

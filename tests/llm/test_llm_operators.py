@@ -263,6 +263,23 @@ def test_copies_equal_brute_force(spark, folder):
     want = {tuple(sorted((a, b))) for a in form for b in form if form[a][2] == "train" != form[b][2] and "".join(form[a][:2]) and leaks.is_copy(*form[a][:2], *form[b][:2])}
     got = {(x[0], x[1]) for x in leaks.cross_split_copies(df, "sft_id", ["instruction", "input"], "output", "split_name").select("sft_id_a", "sft_id_b").collect()}
     assert got == want
+    links = {}
+    for a, b in want:
+        links[a] = links.get(a, 0) + 1
+        links[b] = links.get(b, 0) + 1
+    rows = leaks.copy_classes(df, "sft_id", ["instruction", "input"], "output", "split_name").collect()
+    assert {r["sft_id"]: r["links"] for r in rows} == links and len(rows) == len(links)
+    cls = {r["sft_id"]: r["class"] for r in rows}
+    assert all(cls[a] == cls[b] <= min(a, b) for a, b in want)
+
+
+def test_short_and_periodic_outputs():
+    prompt = "请用一个短语说明该公司的主营方向并给出理由"
+    assert leaks.is_copy(prompt, "高端温控阀门研发", prompt, "高端温控阀门研发商")
+    assert not leaks.is_copy(prompt, "产能约十二月3日", prompt, "产能约十二月4日")
+    assert not leaks.is_copy(prompt, "是", prompt, "否")
+    text = "ab" * 5000
+    assert sum(n for _, n in leaks.chunks(text)) == len(text)
 
 
 # -- names -------------------------------------------------------------------------------------------------------------
