@@ -2,14 +2,16 @@
 
 Hierarchical residual packing. Each partition packs its own items best-fit, largest first, and
 closes the bins that are nearly full. What stays open goes on as items of the next round, where
-`fan_in` neighbouring partitions meet in one task, until one partition is left. At most
-`carry` open bins of a task go on (the emptiest, which can still take most); fuller ones are
-closed as they are. So the last task holds fan_in * carry bins, whatever the corpus holds.
+`fan_in` neighbouring partitions meet in one task, until one partition is left. If more than
+`carry` bins a task stay open, fewer partitions meet, so that no task holds more, and the open bins are
+dealt out anew for each round; rounds end when one saves no bin. So no task grows with the corpus, and
+no bin is closed before it has met others in vain.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +26,7 @@ CAPACITY = 2048
 #: A bin with at most this share of room left is closed.
 SLACK = 0.005
 FAN_IN = 8
+#: Most open bins a task is given.
 CARRY = 20_000
 
 _counters: dict[str, object] = {}
@@ -55,26 +58,37 @@ def token_sizes(
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item positions, by best fit with the largest item first; ties by position."""
+    """Bins of item positions, by best fit with the largest item first; ties by position, equal rooms first come, first filled.
+
+    Bins stand in queues by the room they have left, at most `capacity` of them, so a step costs the same however many bins there are.
+    """
     bins: list[list[int]] = []
-    room: list[tuple[int, int]] = []  # (room left, bin), ascending
+    queues: dict[int, deque] = {}
+    rooms: list[int] = []  # those with a bin, ascending
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        at = bisect_left(room, (sizes[i], -1))
-        if at < len(room):
-            left, b = room.pop(at)
+        at = bisect_left(rooms, sizes[i])
+        if at < len(rooms):
+            left = rooms[at]
+            b = queues[left].popleft()
+            if not queues[left]:
+                del rooms[at], queues[left]
             bins[b].append(i)
         else:
             left, b = capacity, len(bins)
             bins.append([i])
         if left > sizes[i]:
-            insort(room, (left - sizes[i], b))
+            left -= sizes[i]
+            if left not in queues:
+                queues[left] = deque()
+                insort(rooms, left)
+            queues[left].append(b)
     return bins
 
 
 _PART = "struct<doc:{kind},piece:int,token_start:long,token_end:long>"
 
 
-def _round(capacity: int, level: int, last: bool, slack: float, carry: int):
+def _round(capacity: int, level: int, last: bool, slack: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -90,9 +104,6 @@ def _round(capacity: int, level: int, last: bool, slack: float, carry: int):
         for n, b in enumerate(best_fit([x[0] for x in sized], capacity)):
             fill = sum(sized[i][0] for i in b)
             rows.append([(level << 56) | (task << 32) | n, fill, last or capacity - fill <= slack * capacity, [p for i in b for p in sized[i][3]]])
-        left = sorted((r for r in rows if not r[2]), key=lambda r: (r[1], r[0]))
-        for r in left[carry:]:
-            r[2] = True
         for at in range(0, len(rows), 5000):
             yield pd.DataFrame(rows[at : at + 5000], columns=["container_id", "fill", "closed", "parts"])
 
@@ -127,19 +138,24 @@ def pack(
     )
     schema = f"container_id long, fill long, closed boolean, parts array<{part}>"
     parts = max(1, open_items.rdd.getNumPartitions())
-    level, closed = 0, []
+    level, closed, before = 0, [], None
     while True:
         last = parts == 1
-        bins = open_items.mapInPandas(_round(capacity, level, last, slack, carry), schema)
+        bins = open_items.mapInPandas(_round(capacity, level, last, slack), schema)
         if last:
             closed.append(bins)
             break
         bins = cut(bins.withColumn("part", F.spark_partition_id()))
+        n_open = bins.where("not closed").count()
+        fewer = max(1, -(-parts // fan_in), -(-n_open // carry))
+        if not n_open or fewer >= parts and before is not None and n_open >= before:  # this round saved no bin
+            closed.append(bins.drop("part"))
+            break
         closed.append(bins.where("closed").drop("part"))
-        parts = -(-parts // fan_in)
-        to = (F.col("part") / fan_in).cast("int")
-        open_items = _to_partition(bins.where("not closed").select("parts", to.alias("to")), parts)
-        level += 1
+        # neighbours meet; where bins are too many for that, they are dealt out by their digest, anew in each round
+        to = F.least((F.col("part") * fewer / parts).cast("int"), F.lit(fewer - 1)) if fewer <= -(-parts // fan_in) else F.pmod(F.xxhash64("container_id", F.lit(level)), F.lit(fewer)).cast("int")
+        open_items = bins.where("not closed").select("parts", to.alias("to")).repartitionById(fewer, "to").select("parts")
+        parts, before, level = fewer, n_open, level + 1
     binned = closed[0]
     for c in closed[1:]:
         binned = binned.unionByName(c)
@@ -153,11 +169,6 @@ def pack(
     return out.unionByName(own).unionByName(none)
 
 
-def _to_partition(df: DataFrame, n: int) -> DataFrame:
-    """df in exactly n partitions, rows with equal `to` together."""
-    return df.repartition(n, "to").select("parts")
-
-
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """Texts as training sequences of at most `capacity` tokens; see pack."""
     return pack(cut(token_sizes(docs, key, text, vocabulary, tokenizer_dir)), key, "n_tokens", capacity)
