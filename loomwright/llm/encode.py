@@ -6,7 +6,8 @@ of the path so far, so the encoding of a shared prefix is worked out once. The l
 byte is the only token that ends there and fits behind the last token of the path before it;
 two tokens fit if BPE applied to their joined bytes gives just these two again.
 
-Nothing is shuffled: each task holds the distinct words of one Arrow batch at a time.
+Nothing is shuffled: each task holds the distinct words of one Arrow batch at a time, and the words
+its worker met before, of which the memory is bounded.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from loomwright.session import widen
 #: Where the vocabulary files lie; a parameter of every function below.
 TOKENIZER_DIR = "/opt/tokenizers"
 
+#: Words a worker remembers the encoding of; beyond it the memory starts anew, the result stays the same.
+KNOWN_WORDS = 500_000
+
 # Fixed value: the published pre-tokenisation pattern of this vocabulary.
 WORD_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -42,6 +46,7 @@ class TrieEncoder:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self._build_automaton()
         self.fits: dict[int, bool] = {}
+        self.known: dict[str, list[int]] = {}
         self.whole: dict[int, bool] = {}
 
     def _build_automaton(self) -> None:
@@ -168,7 +173,11 @@ def encode_texts(texts: list[str | None], enc: TrieEncoder) -> list[list[int]]:
 
     split = regex.compile(WORD_PATTERN).findall
     rows = [split(t) if t else [] for t in texts]
-    ids = enc.encode_words(w for r in rows for w in r)
+    words = {w for r in rows for w in r}
+    if len(enc.known) + len(words) > KNOWN_WORDS:
+        enc.known.clear()
+    ids = enc.known
+    ids |= enc.encode_words(words - ids.keys())
     return [[i for w in r for i in ids[w]] for r in rows]
 
 
