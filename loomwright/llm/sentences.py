@@ -42,8 +42,6 @@ _THAI = re.compile(r"[฀-๿]")
 _ENTRY = re.compile(r"\s*(?:[-–—*•·▪●○◦■□◆►▶※+](?=\s|[^\W\d_])|#{1,6}\s|[(（]\s*(?:\d{1,3}|[一二三四五六七八九十]{1,3}|[a-zA-Z]|[ivx]{1,4})\s*[)）]|\d{1,3}(?:\.\d{1,3})+\.?(?=\s)|\d{1,3}\s*[.)）．、](?!\d)|[①-⑳❶-❿]|[一二三四五六七八九十]{1,3}、|第[\d一二三四五六七八九十百]+[章节条部分篇]|[QA]\d*[.:：]\s|【[^】\n]{1,20}】\s*$)")
 _HEADING = re.compile(r"\s*(?:#{1,6}\s|第[\d一二三四五六七八九十百]+[章节部篇]|\d{1,3}(?:\.\d{1,3})+\.?\s|[(（][一二三四五六七八九十]{1,3}[)）]|[一二三四五六七八九十]{1,3}、|[QA]\d+[.:：]\s)")
 _MARK_ONLY = re.compile(r"[A-Z]?\d{1,3}(?:\.\d{1,3})*|[A-Za-z]|[一二三四五六七八九十]{1,3}")
-#: Straight quotes further apart than this must look like an opening and a closing one: others may be inches or strays.
-LOOSE_QUOTE = 400
 
 
 def _opens(s: str, i: int) -> bool:
@@ -54,30 +52,39 @@ def _closes(s: str, i: int) -> bool:
     return not s[i - 1].isspace() and not (s[i + 1 : i + 2].isalnum() and not _IS_CJK.match(s[i + 1]))
 
 
+_BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
+_PAIRED = re.compile("[" + re.escape("".join({*_PAIRS, *_PAIRS.values(), '"', "’"})) + "]")
+
+
 def protected(text: str) -> list[tuple[int, int]]:
-    """Outermost quoted, bracketed and titled passages (start, end) of any length; none crosses a blank line."""
+    """Outermost quoted, bracketed and titled passages (start, end) of any length; none crosses a blank line.
+
+    Straight quotes must look like an opening and a closing one: others may be inches or strays.
+    """
     spans: list[tuple[int, int]] = []
-    base = 0
-    for para in re.split(r"(\n[^\S\n]*\n\s*)", text):
+    bounds = [0, *(x for m in _BLANK_LINE.finditer(text) for x in m.span()), len(text)]
+    for base, top in zip(bounds[::2], bounds[1::2]):
         stack: list[tuple[str, int]] = []
         awaited: Counter = Counter()
         quote = -1
         found: list[tuple[int, int]] = []
-        for i, c in enumerate(para):
-            if c == "’" and i and para[i - 1].isalpha() and not _closes(para, i):
+        for m in _PAIRED.finditer(text, base, top):
+            i, c = m.start(), m[0]
+            if c == "’" and i > base and text[i - 1].isalpha() and not _closes(text, i):
                 continue  # an apostrophe
             if c == '"':
                 if quote < 0:
-                    quote = i
-                else:
-                    if i - quote <= LOOSE_QUOTE or _opens(para, quote) and _closes(para, i):
-                        found.append((quote, i + 1))
+                    quote = i if _opens(text, i) else -1
+                elif _closes(text, i):
+                    found.append((quote, i + 1))
                     quote = -1
+                elif _opens(text, i):
+                    quote = i
             elif stack and c == _PAIRS[stack[-1][0]]:
                 awaited[c] -= 1
                 found.append((stack.pop()[1], i + 1))
             elif c in _PAIRS:
-                if c == "‘" and i and para[i - 1].isalnum():
+                if c == "‘" and i > base and text[i - 1].isalnum():
                     continue
                 stack.append((c, i))
                 awaited[_PAIRS[c]] += 1
@@ -87,25 +94,30 @@ def protected(text: str) -> list[tuple[int, int]]:
                 awaited[c] -= 1
                 found.append((stack.pop()[1], i + 1))
         end = -1
-        for a, z in sorted(found, key=lambda x: (x[0], -x[1])):
-            if a >= end:
-                spans.append((base + a, base + z))
+        for x, z in sorted(found, key=lambda x: (x[0], -x[1])):
+            if x >= end:
+                spans.append((x, z))
                 end = z
-        base += len(para)
     return spans
 
 
 def word_before(text: str, at: int, floor: int) -> str:
-    m = re.compile(r"[^\W_](?:[\w.'’-]*[^\W_])?$|[^\W_]$").search(text, max(floor, at - 40), at)
-    return m[0] if m else ""
+    """The word, number or abbreviation that ends at `at`, however long."""
+    i = at
+    while i > floor and (text[i - 1].isalnum() or text[i - 1] in "_.'’-"):
+        i -= 1
+    while i < at and not text[i].isalnum():
+        i += 1
+    return text[i:at] if at > floor and text[at - 1].isalnum() else ""
+
+
+_TOKEN = re.compile(rf"(?:(?![{_CJK}฀-๿])[^\W\d_])+|\d+")
 
 
 def word_after(text: str, at: int) -> str:
     """The token that decides how a sentence begins: a Latin word, else two characters."""
-    m = re.compile(r"[^\W\d_]+|\d+").match(text, at)
-    if m and not _IS_CJK.match(m[0]) and not _THAI.match(m[0]):
-        return re.match(rf"[^{_CJK}฀-๿]+", m[0])[0][:24]
-    return text[at : at + 2]
+    m = _TOKEN.match(text, at)
+    return m[0] if m else text[at : at + 2]
 
 
 def _line_units(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -151,14 +163,22 @@ def _wrapped(text: str, s: int, e: int, nxt: tuple[int, int], width: int, first:
     return latin and (after[:1].islower() or full)
 
 
-FEATURES = 18
+#: Neighbours that speak for (1) or against (-1) a boundary by themselves; each is a feature of its own, and this its weight's sign before training.
+SIGNS = {"last": 1, "closed": -1, "comma": -1, "decimal": -1, "numbering": -1, "joined": -1, "small": -1, "full width": 1, "own bracket": 1, "mark only": -1}
+BASE = 18
+FEATURES = BASE + len(SIGNS)
+_AT = {name: BASE + i for i, name in enumerate(SIGNS)}
+PRIOR = 4.0
+
+
+_SPACES = re.compile(r"\s*")
 
 
-def features(text: str, a: int, b: int, e: int, floor: int, quoted: bool, stats: dict[str, tuple[float, float]]) -> np.ndarray:
-    """Of the candidate with marks text[a:b] that would end at e."""
-    x = np.zeros(FEATURES)
+def features(text: str, a: int, b: int, e: int, floor: int, quoted: bool, stats: dict[str, tuple[float, float]]) -> list[float]:
+    """Of the candidate with marks text[a:b] that would end at e, where no neighbour tells by itself."""
+    x = [0.0] * FEATURES
     prev = word_before(text, a, floor)
-    nxt = re.compile(r"\s*").match(text, e).end()
+    nxt = _SPACES.match(text, e).end()
     after = text[nxt : nxt + 1]
     word = word_after(text, nxt) if nxt < len(text) else ""
     cjk_before = bool(_IS_CJK.match(text[a - 1 : a] or " "))
@@ -208,33 +228,34 @@ def candidates(text: str, s: int, z: int, spans: list[tuple[int, int]]) -> Itera
         yield a, b, e, False
 
 
-def certain(text: str, a: int, b: int, e: int, z: int, floor: int, quoted: bool) -> bool | None:
-    """True or False where the neighbours leave no doubt."""
-    rest = text[e:z]
-    if not rest.strip():
-        return True
-    mark, c, n = text[a:b], rest[0], rest.lstrip()[:1]
+_HEAD_NUMBER = re.compile(r"(?:^|[\s;；:：,，、(（。])\d{1,3}$")
+
+
+def telling(text: str, a: int, b: int, e: int, z: int, floor: int, quoted: bool) -> str | None:
+    """The neighbour (a key of SIGNS) that by itself tells of the candidate with marks text[a:b] that would end at e, or None."""
+    t = e
+    while t < z and text[t].isspace():
+        t += 1
+    if t >= z:
+        return "last"
+    mark, c, n = text[a:b], text[e], text[t]
     if c in "，,、；;：:)）】」』”》" or quoted and _MARKS.match(c):
-        return False
-    if n and n in "，,、；;：:":
-        return False
+        return "closed"
+    if n in "，,、；;：:":
+        return "comma"
     before = text[a - 1 : a]
-    cjk = bool(_IS_CJK.match(before))
     if mark in (".", "．"):
         if before.isdigit() and c.isdigit():
-            return False
-        if before.isdigit() and not c.isspace():
-            head = re.search(r"(?:^|[\s;；:：,，、(（。])\d{1,3}$", text[max(floor, a - 6) : a])
-            if head:
-                return False
-        if before.isalnum() and c.isalnum() and not cjk and not _IS_CJK.match(c):
+            return "decimal"
+        if before.isdigit() and not c.isspace() and _HEAD_NUMBER.search(text[max(floor, a - 6) : a]):
+            return "numbering"
+        if before.isalnum() and c.isalnum() and not _IS_CJK.match(before) and not _IS_CJK.match(c):
             # no space: only a small letter before a capital can be a boundary
-            return None if before.islower() and c.isupper() and len(word_before(text, a, floor)) > 2 else False
-    small = n.islower() and word_after(text, e + len(rest) - len(rest.lstrip())).islower()  # pH begins a sentence as well as any
-    if small and (quoted or mark[0] not in "。｡"):
-        return False
+            return None if before.islower() and c.isupper() and len(word_before(text, a, floor)) > 2 else "joined"
+    if n.islower() and (quoted or mark[0] not in "。｡") and word_after(text, t).islower():  # pH begins a sentence as well as any
+        return "small"
     if not quoted and any(x in "。！？｡" for x in mark):
-        return True
+        return "full width"
     return None
 
 
@@ -243,19 +264,23 @@ def split_text(text: str, model: np.ndarray, stats: dict[str, tuple[float, float
     spans = protected(text)
     cuts: list[tuple[int, int]] = []
     unmarked = not re.search(r"[。！？!?｡]|\.(?!\d)", text)
+    weights = model.tolist()
     for s, z in _line_units(text, spans):
         at = s
         for a, b, e, quoted in candidates(text, s, z, spans):
             if e <= at or e > z:
                 continue
-            sure = certain(text, a, b, e, z, s, quoted)
-            if quoted and sure is not True and text[at:z].lstrip()[:1] in ("(", "（") and text[at:a].rfind(text[at:z].lstrip()[0]) == len(text[at:z]) - len(text[at:z].lstrip()) and text[e : e + 1].isspace():
-                sure = True  # a bracketed passage that is a sentence of its own
-            if sure is not False and text[a:b] in (".", "．") and _MARK_ONLY.fullmatch(text[at:a].strip()):
-                sure = False  # the mark of an entry or heading within the line
-            if sure is None:
-                sure = float(features(text, a, b, e, s, quoted, stats) @ model) > 0
-            if sure:
+            told = telling(text, a, b, e, z, s, quoted)
+            if quoted and (told is None or SIGNS[told] < 0) and text[e : e + 1].isspace():
+                first = at
+                while text[first].isspace():
+                    first += 1
+                if text[first] in "(（" and text.rfind(text[first], at, a) == first:
+                    told = "own bracket"  # a bracketed passage that is a sentence of its own
+            if (told is None or SIGNS[told] > 0) and text[a:b] in (".", "．") and _MARK_ONLY.fullmatch(text[at:a].strip()):
+                told = "mark only"  # the mark of an entry or heading within the line
+            score = weights[0] + weights[_AT[told]] if told else sum(x * w for x, w in zip(features(text, a, b, e, s, quoted, stats), weights) if x)
+            if score > 0:
                 cuts += _spaced(text, at, e, spans, unmarked, stats)
                 at = e
         cuts += _spaced(text, at, z, spans, unmarked, stats)
@@ -269,14 +294,22 @@ def split_text(text: str, model: np.ndarray, stats: dict[str, tuple[float, float
     return out
 
 
+_UNSPACED = re.compile(f"[{_CJK}฀-๿]")
+_BLANKS = re.compile(r"[^\S\n]+")
+
+
 def _spaced(text: str, s: int, z: int, spans: list[tuple[int, int]], unmarked: bool, stats: dict) -> list[tuple[int, int]]:
     """text[s:z] divided at spaces between sentences: Thai, and CJK stretches without end marks."""
     out, at = [], s
-    for m in re.compile(r"[^\S\n]+").finditer(text, s, z):
+    if not _UNSPACED.search(text, s, z):
+        return [(s, z)]
+    for m in _BLANKS.finditer(text, s, z):
         p, q = m.span()
-        if p == at or q >= z or any(a < p < b for a, b in spans):
+        if p == at or q >= z:
             continue
         x, y = text[p - 1], text[q]
+        if x.isascii() and y.isascii() or any(a < p < b for a, b in spans):
+            continue
         if _THAI.match(x) and _THAI.match(y):
             pass
         elif (_IS_CJK.match(x) or x in "%％）)”」") and (_IS_CJK.match(y) or y in "“「《【"):
@@ -294,19 +327,24 @@ def _spaced(text: str, s: int, z: int, spans: list[tuple[int, int]], unmarked: b
     return [*out, (at, z)]
 
 
+_WORD = re.compile(r"[A-Za-zÀ-ɏ][\w'’-]*(?:\.[A-Za-zÀ-ɏ]+)*(\.?)")
+_LINE = re.compile(r"[^\n]+")
+_BEGINS = re.compile(r"([。！？!?]\s*)|([，,、：:；;”」』)）]\s*)|(?<=[^\W\d_]{4}\.)\s+(?=\w)|((?<![^\W\d_]{4})\.\s+)|(?<=[A-Za-z])\s+(?=[A-Z])")
+
+
 def _count(text: str, words: Counter) -> None:
     """w:word with a period or without; c:word with a period, going on or not; b:token beginning a sentence or not."""
-    for m in re.finditer(r"[A-Za-zÀ-ɏ][\w'’-]*(?:\.[A-Za-zÀ-ɏ]+)*(\.?)", text):
-        word = m[0].rstrip(".").casefold()[:24]
+    for m in _WORD.finditer(text):
+        word = m[0].rstrip(".").casefold()
         words[("w:" + word, 1 if m[1] else 0)] += 1
         if m[1]:
             rest = text[m.end() : m.end() + 3].lstrip()
             words[("c:" + word, 1 if rest[:1].islower() or rest[:1].isdigit() or rest[:1] in (",", ";", ")") and rest else 0)] += 1
-    for s, e in ((m.start(), m.end()) for m in re.finditer(r"[^\n]+", text)):
-        t = re.compile(r"\s*").match(text, s).end()
+    for s, e in (m.span() for m in _LINE.finditer(text)):
+        t = _SPACES.match(text, s).end()
         if t < e:
             words[("b:" + word_after(text, t), 1)] += 1
-        for m in re.compile(r"([。！？!?]\s*)|([，,、：:；;”」』)）]\s*)|(?<=[^\W\d_]{4}\.)\s+(?=\w)|((?<![^\W\d_]{4})\.\s+)|(?<=[A-Za-z])\s+(?=[A-Z])").finditer(text, s, e):
+        for m in _BEGINS.finditer(text, s, e):
             if m.end() < e:
                 begins = bool(m[1]) or not (m[2] or m[3]) and text[m.start() - 1] == "."
                 words[("b:" + word_after(text, m.end()), int(begins))] += 1
@@ -334,14 +372,23 @@ def word_statistics(docs: DataFrame, text: str = "text") -> dict[str, tuple[floa
     return out
 
 
-def _labelled(text: str, stats: dict) -> list[tuple[int, np.ndarray]]:
+def told_by(name: str) -> list[float]:
+    x = [0.0] * FEATURES
+    x[0] = x[_AT[name]] = 1.0
+    return x
+
+
+def _labelled(text: str, stats: dict) -> list[tuple[int, list[float]]]:
     """Reliable candidates: (1 or 0, features)."""
     spans = protected(text)
     out = []
     for s, z in _line_units(text, spans):
         for a, b, e, quoted in candidates(text, s, z, spans):
-            sure = certain(text, a, b, e, z, s, quoted)
+            told = telling(text, a, b, e, z, s, quoted)
+            if told:
+                out.append((int(SIGNS[told] > 0), told_by(told)))
             x = features(text, a, b, e, s, quoted, stats)
+            sure = SIGNS[told] > 0 if told else None
             if sure is None and text[a:b] == "." and not quoted and not x[13]:
                 if x[2] > 1.5 and (x[4] or x[5]) and not x[7] and not x[8]:
                     sure = True  # an ordinary word before a capital or a number
@@ -357,14 +404,16 @@ def _labelled(text: str, stats: dict) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def fit(rows: list[tuple[int, np.ndarray, int]], rounds: int = 3000, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
+def fit(rows: list[tuple[int, list[float], float]], rounds: int = 3000, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
     """Weights of the maximum-entropy model, by gradient descent on the mean log-likelihood of (class, features, count)."""
     w = np.zeros(FEATURES)
-    w[1], w[2] = 1.0, 0.5  # without any rows: by what follows and what precedes
+    w[1], w[2] = 1.0, 0.5  # without any rows: by what follows, what precedes, and the neighbours that tell by themselves
+    for name, sign in SIGNS.items():
+        w[_AT[name]] = PRIOR * sign
     if not rows:
         return w
     y = np.array([r[0] for r in rows], float)
-    x = np.stack([r[1] for r in rows])
+    x = np.array([r[1] for r in rows], float)
     n = np.array([r[2] for r in rows], float)
     weight = np.where(y > 0, 0.5 * n / max(1, (y * n).sum()), 0.5 * n / max(1, ((1 - y) * n).sum()))
     for _ in range(rounds):
@@ -378,7 +427,7 @@ def train(docs: DataFrame, stats: dict, key: str = "doc_id", text: str = "text",
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(y, x.tolist()) for t in f["t"] for y, x in _labelled(t, stats)]
+            rows = [(y, x) for t in f["t"] for y, x in _labelled(t, stats)]
             got = pd.DataFrame(rows, columns=["y", "x"])
             if len(got):  # equal rows weigh by their number
                 got["x"] = got["x"].map(tuple)
@@ -387,7 +436,7 @@ def train(docs: DataFrame, stats: dict, key: str = "doc_id", text: str = "text",
                 yield g.astype({"y": "int32", "n": "int64"})
 
     got = spread(chosen).mapInPandas(run, "y int, x array<double>, n long").groupBy("y", "x").agg(F.sum("n").alias("n")).orderBy("y", "x").collect()
-    return fit([(r.y, np.array(r.x), min(int(r.n), 50)) for r in got])
+    return fit([(r.y, r.x, r.n**0.5) for r in got])
 
 
 def sentence_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
