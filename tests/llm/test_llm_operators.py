@@ -409,6 +409,20 @@ def test_rules(spark, i, n, o, want):
     assert (list(got[0]["defects"])[:1] if got else []) == want
 
 
+def test_rules_know_no_lengths():
+    assert defects.broken_off("说明（" + "该装置运行平稳" * 50)[0] is True
+    assert defects.is_refusal("抱歉，我无法回答这个问题。" * 3 + "我不便提供相关信息。" * 4)
+    assert not defects.is_refusal("抱歉，我无法回答这个问题。" + "水泵的工作压力为三十巴，寿命约十年。" * 6)
+    assert defects.is_empty(f'<p class="{"x" * 400}"></p>')
+
+
+@pytest.mark.parametrize("o", [
+    "Désolé, je ne peux pas répondre à cette question.", "Lo siento, no puedo ayudar con eso.", "죄송하지만 답변을 제공할 수 없습니다.", "К сожалению, я не могу ответить на этот вопрос.", "Sinto muito, não posso responder.", "Mi dispiace, non posso rispondere.", "ขออภัย ไม่สามารถตอบคำถามนี้ได้",
+])
+def test_refusals_of_further_languages(o):
+    assert defects.is_refusal(o)
+
+
 def test_breaking_off_is_judged_by_the_corpus(spark):
     full = [(i, "请说明原理。", "", f"核心部件采用多孔夹具{i}，流量由自研算法控制。该成果适用于城市排水。") for i in range(60)]
     rows = [*full, (100, "请说明原理。", "", "该成果适用于城市排水。核心部件采用多孔夹具1，流量由自研算法控制"), (101, "请说明原理。", "", "该成果适用于城市排水。核心部件采用多孔夹具1，流量由自研算"), (102, "请说明原理。", "", "长" * 200_000 + "。")]
