@@ -225,6 +225,11 @@ def full_width_marks(c: Column) -> Column:
     return F.translate(c, ",;", "，；")
 
 
+def replace_value(c: Column, old: str, new: str) -> Column:
+    """new where the whole value is old."""
+    return F.when(c == old, F.lit(new)).otherwise(c)
+
+
 def safe_name(c: Column) -> Column:
     return sub(c, "[^0-9A-Za-z]+", "_")
 

@@ -66,6 +66,14 @@ def ema(values: Column, beta: float) -> Column:
     return F.aggregate(F.slice(values, 2, 2_000_000_000), F.get(values, F.lit(0)), lambda acc, x: beta * acc + (1 - beta) * x)
 
 
+def greedy_match(predicted: Column, reference: Column) -> Column:
+    """Struct (precision, recall, f1) of two arrays of token vectors: each token by its nearest of the other side; nulls and empty sides give 0."""
+    near = lambda xs, ys: F.aggregate(F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: cosine(x, y)))), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) / F.size(xs)
+    ok = (F.coalesce(F.size(predicted), F.lit(0)) > 0) & (F.coalesce(F.size(reference), F.lit(0)) > 0)
+    p, r = F.when(ok, near(predicted, reference)).otherwise(0.0), F.when(ok, near(reference, predicted)).otherwise(0.0)
+    return F.struct(p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+
+
 def perplexity(mean_loss: Column) -> Column:
     return F.exp(mean_loss)
 

@@ -24,8 +24,16 @@ def title_and_text(title: Column, text: Column) -> Column:
 
 
 def numbered_achievements(items: Column) -> Column:
-    """成果1：title————text… of a sorted set of 'title：text'."""
-    one = lambda x, i: F.concat(F.lit("成果"), (i + 1).cast("string"), F.lit("："), F.regexp_replace(x, "^([^：]*)：", "$1————"))
+    """成果1：title————text… of a sorted set of 'title：text'; parted at the first '：', else at the first ':', and trimmed."""
+
+    def one(x: Column, i: Column) -> Column:
+        mark = F.when(x.contains("："), "：").when(x.contains(":"), ":")
+        at = F.instr(x, F.coalesce(mark, F.lit("：")))
+        title = tx.blank_trim(F.when(at > 0, F.substring(x, F.lit(1), at - 1)).otherwise(x))
+        text = tx.blank_trim(F.when(at > 0, F.substring(x, at + 1, F.length(x))).otherwise(""))
+        both = F.concat_ws("————", F.nullif(title, F.lit("")), F.nullif(text, F.lit("")))
+        return F.when(both == "", "").otherwise(F.concat(F.lit("成果"), (i + 1).cast("string"), F.lit("："), both))
+
     return F.array_join(F.transform(items, one), "")
 
 
@@ -74,6 +82,34 @@ def preference_to_sft(df: DataFrame, system: str) -> DataFrame:
     return df.where("chosen is not null").select(*[tx.filled(F.col(c)).alias(a) for c, a in (("instruction", "instruction"), ("input", "input"), ("chosen", "output"))], F.lit(system).alias("system"))
 
 
+def eval_rows(df: DataFrame) -> DataFrame:
+    """(instruction, input, label, system) of records to evaluate: the output is the label, what is missing is ''."""
+    return df.select(*[(tx.filled(F.col(c)) if c in df.columns else F.lit("")).alias(a) for c, a in (("instruction", "instruction"), ("input", "input"), ("output", "label"), ("system", "system"))])
+
+
+def trainable(df: DataFrame, output: str = "output") -> DataFrame:
+    """Records with an output that is not blank."""
+    return df.where(~tx.is_blank(F.col(output)))
+
+
+def both_present(df: DataFrame, first: str, second: str) -> DataFrame:
+    """Rows with both of two gathered texts."""
+    return df.where((tx.filled(F.col(first)) != "") & (tx.filled(F.col(second)) != ""))
+
+
+def match_items(payload: Column) -> Column:
+    """Array of the matches in a record's JSON text: under `matches`, under `match`, or the record itself; one match alone is an array of one."""
+    inner = F.coalesce(F.get_json_object(payload, "$.matches"), F.get_json_object(payload, "$.match"), payload)
+    return F.when(tx.blank_trim(inner).startswith("["), F.from_json(inner, "array<string>")).when(tx.is_blank(inner), F.array().cast("array<string>")).otherwise(F.array(inner))
+
+
+def match_text(item: Column, entity: str, fields: list[str], sep: str = "：") -> Column:
+    """The text of a match: the fields of its entity (an object, or a text), or the match itself if it is a text."""
+    own = F.coalesce(F.get_json_object(item, f"$.{entity}"), item)
+    parts = [tx.non_blank(F.get_json_object(own, f"$.{f}")) for f in fields]
+    return F.when(tx.blank_trim(own).startswith("{"), F.concat_ws(sep, *parts)).otherwise(tx.filled(tx.non_blank(own)))
+
+
 def preference_records(df: DataFrame, answer: str, first: str, second: str) -> DataFrame:
     """(instruction, input, chosen, rejected): a joint answer cut at its two labels."""
     chosen, rejected = tx.between_labels(F.col(answer), first, second)

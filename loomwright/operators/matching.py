@@ -8,7 +8,7 @@ the best k of its block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.window import Window
 
+from loomwright.functions import text as tx
 from loomwright.functions import vectors as vx
+from loomwright.session import widen
 
 BLOCK = 4096
 
@@ -36,35 +38,61 @@ def _blocked(q: DataFrame, t: DataFrame, block: int) -> PandasCogroupedOps:
     return q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb"))
 
 
+#: Numbers (of 8 bytes) that the queries' vectors may hold to be sent along with the items' scan.
+SENT_NUMBERS = 4_000_000
+
+
+def _best(keys: np.ndarray, right: np.ndarray, own: np.ndarray, left: np.ndarray, k: int, least: float) -> Iterator[tuple]:
+    """(query, item, score) of the best k items of each query, items sorted by key."""
+    for at in range(0, len(own), 512):
+        part = own[at : at + 512]
+        s = left[at : at + 512] @ right.T
+        s[s < least] = -2
+        s[part[:, None] == keys[None, :]] = -2
+        n = min(k, s.shape[1])
+        for i, row in enumerate(s):
+            kth = np.partition(row, -n)[-n]
+            hits = np.flatnonzero(row >= max(kth, -1))
+            hits = hits[np.argsort(-row[hits], kind="stable")][:n]
+            for j in hits:
+                yield part[i], keys[j], float(row[j])
+
+
 def cosine_candidates(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, vector: str, k: int, least: float, block: int = BLOCK) -> DataFrame:
     """(query_key, match_id, score): of each query its k nearest items with a cosine of `least` or more.
 
     An item with the query's own key is no match of it. Ties go to the smaller key. Rows with a null
-    vector take no part.
+    vector take no part. Queries of at most SENT_NUMBERS numbers, as measured, go to the tasks that scan the items, which
+    are neither shuffled nor repeated; more of them meet the items in blocks.
     """
     q = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
     t = items.where(F.col(vector).isNotNull()).select(F.col(item_key).alias("t"), F.col(vector).cast("array<double>").alias("v"))
     kind = queries.schema[query_key].dataType.simpleString()
-
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(a) and len(b):
-            b = b.sort_values("t", kind="stable").reset_index(drop=True)
-            keys, right = b["t"].to_numpy(), _unit(b["v"])
-            for at in range(0, len(a), 512):
-                part = a.iloc[at : at + 512]
-                s = _unit(part["v"]) @ right.T
-                s[s < least] = -2
-                s[part["q"].to_numpy()[:, None] == keys[None, :]] = -2
-                n = min(k, s.shape[1])
-                for i, row in enumerate(s):
-                    kth = np.partition(row, -n)[-n]
-                    hits = np.flatnonzero(row >= max(kth, -1))
-                    hits = hits[np.argsort(-row[hits], kind="stable")][:n]
-                    out += [(part["q"].iat[i], keys[j], float(row[j])) for j in hits]
-        return pd.DataFrame(out, columns=[query_key, "match_id", "score"])
-
-    near = _blocked(q, t, block).applyInPandas(score, f"{query_key} {kind}, match_id {kind}, score double")
+    item_kind = items.schema[item_key].dataType.simpleString()
+    schema = f"{query_key} {kind}, match_id {item_kind}, score double"
+    width = q.agg(F.sum(F.size("v") + 2)).first()[0] or 0
+    if width <= SENT_NUMBERS:
+        sent = q.toPandas()
+        if not len(sent):
+            return q.sparkSession.createDataFrame([], schema + ", rank int")
+        own, left = sent["q"].to_numpy(), _unit(sent["v"])
+
+        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in frames:
+                if len(b):
+                    b = b.sort_values("t", kind="stable")
+                    yield pd.DataFrame(_best(b["t"].to_numpy(), _unit(b["v"]), own, left, k, least), columns=[query_key, "match_id", "score"])
+
+        near = widen(t).mapInPandas(scan, schema)
+    else:
+
+        def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame([], columns=[query_key, "match_id", "score"])
+            b = b.sort_values("t", kind="stable")
+            return pd.DataFrame(_best(b["t"].to_numpy(), _unit(b["v"]), a["q"].to_numpy(), _unit(a["v"]), k, least), columns=[query_key, "match_id", "score"])
+
+        near = _blocked(q, t, block).applyInPandas(score, schema)
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), "match_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -205,6 +233,33 @@ def impute_tags(scored: DataFrame, row: str, part: str, tag: str, score: str, ti
     return per.groupBy(row).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), F.col(tag).alias("t")))), lambda x: x["t"]), "；").alias("tags"))
 
 
+def fill_tags(rows: DataFrame, key: str, field: str, tags: str, encode: Callable[[Column], Column], tiers: tuple[float, float, float] = (0.78, 0.70, 0.65), k: int = 3) -> DataFrame:
+    """(key, tags): tags for the rows that have none, by the similarity of their field to the tags of the others.
+
+    A field is taken in parts (at list marks) and as a whole; each takes its best k tags of the first tier, else of the
+    second, else its best of the third. A tag found again keeps the score it was first found with; tags come out from best to worst.
+    `encode` turns texts into vectors. Texts and tags are encoded once each. Rows for which nothing is found don't come out.
+    """
+    vocabulary = rows.select(F.explode(F.split(F.col(tags), "[;；]+")).alias("t")).select(tx.non_blank(F.col("t")).alias("tag")).where("tag is not null").distinct()
+    empty = rows.where(tx.is_blank(F.col(tags)) & ~tx.is_blank(F.col(field)))
+    parts = F.filter(F.transform(F.split(F.col(field), r"[;；,，/、\\|]+"), tx.blank_trim), lambda x: x != "")
+    asked = empty.select(key, F.posexplode(F.concat(parts, F.array(field))).alias("pos", "x")).select(key, "pos", tx.normalize_words(F.col("x")).alias("text")).where("text <> ''")
+    texts = asked.select("text").distinct().select(F.concat(F.lit("q:"), "text").alias("q"), encode(F.col("text")).alias("v"))
+    items = vocabulary.select(F.concat(F.lit("t:"), "tag").alias("t"), encode(tx.normalize_words(F.col("tag"))).alias("v"))
+    near = cosine_candidates(texts, items, "q", "t", "v", k, tiers[2])
+    best = F.max("score").over(Window.partitionBy("q"))
+    ok = F.when(F.col("best") >= tiers[0], F.col("score") >= tiers[0]).when(F.col("best") >= tiers[1], F.col("score") >= tiers[1]).otherwise(F.col("rank") == 1)
+    chosen = near.withColumn("best", best).where(ok).select(F.substring("q", 3, 2_000_000_000).alias("text"), F.substring("match_id", 3, 2_000_000_000).alias("tag"), "rank", "score")
+    first = asked.join(chosen, "text").groupBy(key, "tag").agg(F.min(F.struct("pos", "rank", "score")).alias("x"))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("x.score")).alias("s"), F.col("x.pos").alias("p"), F.col("x.rank").alias("r"), F.col("tag").alias("t"))))
+    return first.groupBy(key).agg(F.array_join(F.transform(order, lambda x: x["t"]), "；").alias("tags"))
+
+
+def term_export(idf: DataFrame) -> DataFrame:
+    """(term, idf) of the terms in Han script only, rarest first."""
+    return idf.where(F.col("term").rlike("^[一-鿿]+$")).select("term", "idf").orderBy(F.desc("idf"), "term")
+
+
 def contains_search(df: DataFrame, columns: list[str], needle: str) -> DataFrame:
     """Rows of which a column holds the needle, case aside."""
     hit = F.lit(False)

@@ -128,3 +128,8 @@ def positional_lookup(keys: DataFrame, key: str, order: str, df: DataFrame, posi
 def semi_first(df: DataFrame, key: str, order: str, wanted: DataFrame) -> DataFrame:
     """Of each wanted key its first row."""
     return keep_first(df.join(wanted.select(key).distinct(), key, "left_semi"), [key], order)
+
+
+def first_rows(df: DataFrame, order: str, n: int | None) -> DataFrame:
+    """The first n rows in input order (None: all), those of least position."""
+    return df if n is None else df.orderBy(order).limit(n)

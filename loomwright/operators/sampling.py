@@ -32,20 +32,29 @@ def allocate(df: DataFrame, stratum: str, fraction: float) -> DataFrame:
     return c.select(stratum, "n", quota.cast("long").alias("quota"))
 
 
+#: Hexadecimal digits of the permuted key that name a range of it.
+RANGE_DIGITS = 4
+
+
 def ranked(df: DataFrame, groups: list[str], key: str, seed: int, name: str = "rank") -> DataFrame:
     """df with the 1-based rank of each row in its group by the permuted key.
 
-    Two levels: rows fall into 256 ranges of the permuted key, ranked within (group, range); the
-    sizes of the ranges before give the offset. A group of a third of all rows is 256 tasks' work.
+    Two levels: rows fall into 65,536 ranges of the permuted key, ranked within (group, range); the
+    sizes of the ranges before give the offset. So the largest part ranked by itself is that share of a group.
     """
     p = permuted(F.col(key), seed)
-    t = df.withColumns({"__p": p, "__b": F.substring(p, 1, 2)})
+    t = df.withColumns({"__p": p, "__b": F.substring(p, 1, RANGE_DIGITS)})
     sizes = t.groupBy(*groups, "__b").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    # offsets in two steps as well: ranges within their first digits, then the first digits
+    coarse = F.substring("__b", 1, 1)
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    heads = sizes.groupBy(*groups, coarse.alias("__c")).agg(F.sum("__n").alias("__m"))
+    heads = heads.withColumn("__far", F.coalesce(F.sum("__m").over(up_to(Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__c"))), F.lit(0))).drop("__m")
+    near = F.sum("__n").over(up_to(Window.partitionBy(*groups, "__c").orderBy("__b")))
+    sizes = sizes.withColumn("__c", coarse).withColumn("__near", F.coalesce(near, F.lit(0))).join(heads, [*groups, "__c"])
+    sizes = sizes.select(*groups, "__b", (F.col("__near") + F.col("__far")).alias("__before"))
     inner = F.row_number().over(Window.partitionBy(*groups, "__b").orderBy("__p", key))
-    joined = t.join(sizes, [*groups, "__b"])
-    return joined.withColumn(name, F.col("__before") + inner).drop("__p", "__b", "__before")
+    return t.join(sizes, [*groups, "__b"]).withColumn(name, F.col("__before") + inner).drop("__p", "__b", "__before")
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, fraction: float, seed: int = 42) -> DataFrame:

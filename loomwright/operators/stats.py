@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import base64
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwright.functions import text as tx
+from loomwright.functions import vectors as vx
+from loomwright.operators.rows import range_bounds, range_of
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,11 +40,43 @@ def vocabulary(df: DataFrame, column: str, separators: str = "[;；]+") -> DataF
 
 
 def top_and_other(df: DataFrame, column: str, top: int = 5, other: str = "其他") -> DataFrame:
-    """(label, n, share): the most frequent labels, the rest in one; ranking sees only the counts."""
+    """(label, n, share): the most frequent labels, the rest in one: the best `top` counts and the total, no ranking of all labels."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "label")))
-    merged = ranked.groupBy(F.when(F.col("r") <= top, F.col("label")).otherwise(other).alias("label")).agg(F.sum("n").alias("n"))
-    return merged.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
+    best = counts.orderBy(F.desc("n"), "label").limit(top)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    rest = total.crossJoin(best.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("known"))).select(F.lit(other).alias("label"), (F.col("total") - F.col("known")).alias("n")).where("n > 0")
+    merged = best.unionByName(rest).groupBy("label").agg(F.sum("n").alias("n"))
+    return merged.crossJoin(F.broadcast(total)).select("label", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+def ema_by_key(df: DataFrame, key: str, order: str, value: str, beta: float) -> DataFrame:
+    """(key, ema): exponential mean of a key's values in order, from its first; nulls are left out.
+
+    A key's history is cut into ranges of the order, each is one partial result (factor, sum), and these are
+    combined in order: no array holds all of a hot key's values.
+    """
+    d = df.where(F.col(value).isNotNull())
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = d.select(key, order, value, range_of(F.col(order), range_bounds(d, order, parts)).alias("__p"))
+    h = d.groupBy(key, "__p").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("h"))
+    values = F.transform("h", lambda x: x["v"])
+    part = F.struct(F.col("__p").alias("p"), F.pow(F.lit(beta), F.size("h")).alias("factor"), F.aggregate(values, F.lit(0.0), lambda a, x: beta * a + (1 - beta) * x).alias("sum"), vx.ema(values, beta).alias("own"))
+    per = h.select(key, part.alias("part")).groupBy(key).agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return per.select(key, F.aggregate(F.slice("parts", 2, 2_000_000_000), F.get("parts", F.lit(0))["own"], lambda a, x: x["factor"] * a + x["sum"]).alias("ema"))
+
+
+def metric_means(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row: the mean of each metric over the records that have it; null where none has."""
+    return df.agg(*[F.round(F.avg(m), 6).alias(f"{m}_mean") for m in metrics])
+
+
+def sequence_perplexity(tokens: DataFrame, key: str, position: str, loss: str, prompt_length: int | Column, label: str | None = None) -> DataFrame:
+    """(key, ppl): exp of the mean loss of the tokens behind the prompt; null for a blank label, or a sequence shorter than its prompt or ending with it."""
+    n = F.lit(prompt_length) if isinstance(prompt_length, int) else prompt_length
+    t = tokens.withColumn("__own", F.when(F.col(position) > n, F.col(loss)))
+    has = F.lit(True) if label is None else ~tx.is_blank(F.first(F.col(label)))
+    return t.groupBy(key).agg(F.when(has, F.round(F.exp(F.avg("__own")), 6)).alias("ppl"))
 
 
 def percent(n: Column, d: Column) -> Column:
@@ -81,15 +119,36 @@ def simple_tokens(c: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"), 0)), F.lit(0))
 
 
+def bpe_tokens(c: Column, vocabulary: str, pattern: str) -> Column:
+    """Tokens of a text by a byte-level BPE vocabulary file, without special tokens; 0 for null and empty texts."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        enc = _encoding(vocabulary, pattern)
+        return texts.map(lambda t: len(enc.encode_ordinary(t)) if t else 0)
+
+    return count(c)
+
+
+@lru_cache(4)
+def _encoding(vocabulary: str, pattern: str):
+    import tiktoken
+
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def group_means(df: DataFrame, group: str, batch: str, value: str) -> DataFrame:
     """(group, mean_of_means): the mean of batch means, which is not the mean of rows."""
     per = df.groupBy(group, batch).agg(F.avg(value).alias("m"))
     return per.groupBy(group).agg(F.round(F.avg("m"), 6).alias("mean_of_means"))
 
 
-def success_rate(df: DataFrame, group: str, score: str, threshold: float) -> DataFrame:
-    """(group, n, rate, avg_score): share of rows below a similarity."""
-    return df.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg((F.col(score) < threshold).cast("double")), 6).alias("rate"), F.round(F.avg(score), 6).alias("avg_score"))
+def success_rate(df: DataFrame, group: str, score: str, threshold: float, queries: str | None = None) -> DataFrame:
+    """(group, n, rate, avg_score, avg_queries): share of attacks that end below a similarity, and the mean of their queries if given."""
+    more = [F.round(F.avg(queries), 6).alias("avg_queries")] if queries else []
+    return df.groupBy(group).agg(*more, F.count("*").alias("n"), F.round(F.avg((F.col(score) < threshold).cast("double")), 6).alias("rate"), F.round(F.avg(score), 6).alias("avg_score"))
 
 
 def deltas(pre: DataFrame, post: DataFrame, key: str, value: str) -> DataFrame:

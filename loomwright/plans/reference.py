@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,10 @@ from loomwright.plans import sql as q
 from loomwright.session import table
 from loomwright.streaming.cleaning import windowed_counts
 
+#: Vocabulary file and published pre-tokenisation pattern of the tokenizer whose tokens are counted.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+BPE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -218,6 +223,22 @@ def stats_presence_by_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n_lines"), F.count_if(hit).alias("n_hit"), F.bool_or(hit).alias("any_hit"))
 
 
+@query("select row_idx, case when pub = 'arXiv e-prints' then 'arXiv' else pub end as pub from papers")
+def rows_replaced(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "papers").select("row_idx", tx.replace_value(F.col("pub"), "arXiv e-prints", "arXiv").alias("pub"))
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_orderkey limit 500")
+def rows_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first rows in input order: a limit is what is asked for."""
+    return ro.first_rows(table(spark, d, "orders"), "o_orderkey", 500).select("o_orderkey", "o_totalprice")
+
+
+@query("select row_idx, page from papers cross join (select unnest([1, 2]) as page) where (contains(lower(coalesce(title, '')), 'system') or contains(lower(coalesce(abstract, '')), 'system')) and year(submitted_at) between 2015 and 2030")
+def rows_search(spark: SparkSession, d: str) -> DataFrame:
+    return vn.search(table(spark, d, "papers"), "system", ["title", "abstract"], F.year("submitted_at"), 2015, 2030, 2).select("row_idx", "page")
+
+
 # -- counts and summaries --------------------------------------------------------------------------------------------
 @query(" union all ".join(f"select '{c}' as column_name, {c} as label, count(*) as n from enterprises_full where {c} is not null group by {c}" for c in ("category", "scale", "category_big")))
 def stats_value_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -289,9 +310,9 @@ def stats_batch_means(spark: SparkSession, d: str) -> DataFrame:
     return ss.group_means(table(spark, d, "lineitem"), "l_returnflag", "l_linenumber", "l_quantity")
 
 
-@query("select event_type, count(*) as n, round(avg((value < 50)::INT), 6) as rate, round(avg(value), 6) as avg_score from events group by 1")
+@query("select event_type, count(*) as n, round(avg((value < 50)::INT), 6) as rate, round(avg(value), 6) as avg_score, round(avg(user_id), 6) as avg_queries from events group by 1")
 def stats_success_rate(spark: SparkSession, d: str) -> DataFrame:
-    return ss.success_rate(table(spark, d, "events"), "event_type", "value", 50)
+    return ss.success_rate(table(spark, d, "events"), "event_type", "value", 50, "user_id")
 
 
 @query("with a as (select l_returnflag as k, avg(l_discount) as v from lineitem group by 1), b as (select l_linestatus as k, avg(l_discount) as v from lineitem group by 1) select coalesce(a.k, b.k) as k, round(coalesce(a.v, 0.0), 6) as pre, round(coalesce(b.v, 0.0), 6) as post, round(coalesce(b.v, 0.0) - coalesce(a.v, 0.0), 6) as delta from a full join b on a.k = b.k")
@@ -309,8 +330,7 @@ def stats_running_best(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select user_id, round(list_reduce(list(value order by event_id), lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x), 6) as ema from events where value is not null group by 1")
 def stats_ema(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("value is not null").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("h"))
-    return e.select("user_id", F.round(F.aggregate(F.slice("h", 2, 2_000_000_000), F.get(F.col("h"), F.lit(0))["value"], lambda a, x: 0.9 * a + (1 - 0.9) * x["value"]), 6).alias("ema"))
+    return ss.ema_by_key(table(spark, d, "events"), "user_id", "event_id", "value", 0.9).select("user_id", F.round("ema", 6).alias("ema"))
 
 
 @query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events where ts is not null group by 1, 2")
@@ -339,7 +359,7 @@ def build_attached(spark: SparkSession, d: str) -> DataFrame:
     return asm.attach(e, asm.group_set_concat(e.where("btype_name is not null"), "btype_name", "application"), "btype_name", "tags").select("row_idx", "tags")
 
 
-@query(f"with t as (select distinct lower(left(arxiv_id, 4)) as k, concat_ws('：', {q.non_blank('title')}, {q.non_blank('journal_level')}) as item from papers where arxiv_id is not null), n as (select k, item, row_number() over (partition by k order by item) as i from t where item <> '') select k, md5(string_agg('成果' || i || '：' || regexp_replace(item, '^([^：]*)：', '\\1————'), '' order by i)) as achievements from n group by k")
+@query(f"with t as (select distinct lower(left(arxiv_id, 4)) as k, concat_ws('：', {q.non_blank('title')}, {q.non_blank('journal_level')}) as item from papers where arxiv_id is not null), m as (select k, item, row_number() over (partition by k order by item) as i, case when contains(item, '：') then strpos(item, '：') else strpos(item, ':') end as mark from t where item <> ''), n as (select k, i, concat_ws('————', nullif({q.trim("case when mark > 0 then left(item, mark - 1) else item end")}, ''), nullif({q.trim("case when mark > 0 then substr(item, mark + 1) else '' end")}, '')) as body from m) select k, md5(string_agg(case when body = '' then '' else '成果' || i || '：' || body end, '' order by i)) as achievements from n group by k")
 def build_numbered(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "papers").where("arxiv_id is not null").withColumn("k", F.lower(F.substring("arxiv_id", 1, 4)))
     return asm.group_numbered(p, "k", "title", "journal_level").select("k", F.md5("achievements").alias("achievements"))
@@ -381,6 +401,25 @@ def build_batches(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", "batch", *[F.concat_ws(" ", F.col(c).cast("array<string>")).alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
+@query("select coalesce(instruction, '') as instruction, coalesce(input, '') as input, coalesce(output, '') as label, coalesce(system, '') as system from sft")
+def build_eval_rows(spark: SparkSession, d: str) -> DataFrame:
+    return asm.eval_rows(table(spark, d, "sft"))
+
+
+@query(f"select sft_id from sft where not {q.is_blank('output')}")
+def build_trainable(spark: SparkSession, d: str) -> DataFrame:
+    return asm.trainable(table(spark, d, "sft")).select("sft_id")
+
+
+@query(f"with s as ({_SETS}), n as (select btype_name, count(*)::VARCHAR as people from experts_full where btype_name is not null and college is not null group by 1) select row_idx, tags, people from experts_full join s using (btype_name) join n using (btype_name) where tags <> ''")
+def build_both_present(spark: SparkSession, d: str) -> DataFrame:
+    """Experts of types with both gathered tags and people of a college."""
+    e = table(spark, d, "experts_full").where("btype_name is not null")
+    people = e.where("college is not null").groupBy("btype_name").agg(F.count("*").cast("string").alias("people"))
+    both = asm.attach(asm.attach(e, asm.group_set_concat(e, "btype_name", "application"), "btype_name", "tags"), people, "btype_name", "people")
+    return asm.both_present(both, "tags", "people").select("row_idx", "tags", "people")
+
+
 # -- sampling --------------------------------------------------------------------------------------------------------
 _ALLOC = """select source, n, case when total <= goal then n when sum_a > goal then a - greatest(0, least(a - 1, sum_a - goal - coalesce(sum(a - 1) over (order by a desc, source rows between unbounded preceding and 1 preceding), 0)))
  else a + greatest(0, least(n - a, goal - sum_a - coalesce(sum(n - a) over (order by n - a desc, source rows between unbounded preceding and 1 preceding), 0))) end::BIGINT as quota
@@ -459,51 +498,50 @@ def match_tfidf_all(spark: SparkSession, d: str) -> DataFrame:
     return mt.tfidf(table(spark, d, "documents"), "doc_id", enc.script_terms(F.col("text"))).withColumn("w", F.round("w", 6))
 
 
-_HYBRID = f"""with w as materialized ({_TFIDF}), n as ({_NEAR}), s as (select n.vec_id, n.match_id, n.s, coalesce(sum(a.w * b.w), 0) as t from n left join w a on a.doc_id = n.vec_id left join w b on b.doc_id = n.match_id and b.term = a.term group by 1, 2, 3),
-f as (select vec_id, match_id, (1 - 0.2::DOUBLE) * (s + 1) / 2 + 0.2::DOUBLE * greatest(0.0, least(1.0, t)) as score from s)
+_HYBRID = """with w as materialized ({w}), p as ({p}), t as (select a.doc_id as vec_id, b.doc_id as match_id, sum(a.w * b.w) as t from w a join w b using (term) where a.doc_id % 50 = 0 group by 1, 2),
+f as (select vec_id, match_id, (1 - 0.2::DOUBLE) * (s + 1) / 2 + 0.2::DOUBLE * greatest(0.0, least(1.0, coalesce(t, 0))) as score from p left join t using (vec_id, match_id))
 select vec_id, row_number() over (partition by vec_id order by score desc, match_id) as rank, match_id, round(score, 6) as score from f where score >= 0.5 qualify rank <= 2"""
 
 
-@query(_HYBRID)
+def _hybrid(spark: SparkSession, d: str, terms: F.Column) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return mt.hybrid_search(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding", mt.tfidf(table(spark, d, "documents"), "doc_id", terms), "doc_id", 2, 0.5, 0.2)
+
+
+@query(_HYBRID.format(w=_TFIDF, p=_PAIRS))
 def match_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """The dense candidates re-scored with the sparse score of the texts of the same ids."""
-    near = _near(spark, d)[1].select("vec_id", "match_id", "score")
-    w = mt.tfidf(table(spark, d, "documents"), "doc_id", _terms())
-    a = near.join(w.withColumnRenamed("doc_id", "vec_id").withColumnRenamed("w", "wa"), "vec_id")
-    sparse = a.join(w.select(F.col("doc_id").alias("match_id"), "term", F.col("w").alias("wb")), ["match_id", "term"]).groupBy("vec_id", "match_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("t"))
-    return mt.hybrid_topk(near.join(sparse, ["vec_id", "match_id"], "left"), "vec_id", "match_id", "score", "t", 2, 0.5, 0.2)
-
-
-@query(f"""with s as (select n.vec_id, n.match_id, e.label::VARCHAR as tag, n.s from ({_NEAR}) n join embeddings e on e.vec_id = n.match_id),
-t as (select *, row_number() over (partition by vec_id order by s desc, tag) as r, max(s) over (partition by vec_id) as best from s),
-o as (select vec_id, tag, max(s) as s from t where (best >= 0.4 and s >= 0.4) or (best < 0.4 and best >= 0.35 and s >= 0.35) or (best < 0.35 and r = 1) group by 1, 2)
-select vec_id, string_agg(tag, '；' order by s desc, tag) as tags from o group by 1""")
-def match_imputed_tags(spark: SparkSession, d: str) -> DataFrame:
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("match_id"), F.col("label").cast("string").alias("tag"))
-    scored = _near(spark, d)[1].join(labels, "match_id").withColumn("part", F.lit(0))
-    return mt.impute_tags(scored, "vec_id", "part", "tag", "score", (0.4, 0.35, 0.3))
+    """Dense and sparse scores fused over all items, then cut."""
+    return _hybrid(spark, d, _terms())
 
 
-@query(f"""with w as materialized ({_ALL_TFIDF}), p as ({_PAIRS}), t as (select a.doc_id as vec_id, b.doc_id as match_id, sum(a.w * b.w) as t from w a join w b using (term) where a.doc_id % 50 = 0 group by 1, 2),
-f as (select vec_id, match_id, (1 - 0.2::DOUBLE) * (s + 1) / 2 + 0.2::DOUBLE * greatest(0.0, least(1.0, coalesce(t, 0))) as score from p left join t using (vec_id, match_id))
-select vec_id, row_number() over (partition by vec_id order by score desc, match_id) as rank, match_id, round(score, 6) as score from f where score >= 0.5 qualify rank <= 2""")
+@query(_HYBRID.format(w=_ALL_TFIDF, p=_PAIRS))
 def match_hybrid_all(spark: SparkSession, d: str) -> DataFrame:
-    """Dense and sparse scores fused over all items, then cut, over the terms of every script: what match_hybrid gives of its dense candidates only."""
-    e = table(spark, d, "embeddings")
-    w = mt.tfidf(table(spark, d, "documents"), "doc_id", enc.script_terms(F.col("text")))
-    return mt.hybrid_search(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding", w, "doc_id", 2, 0.5, 0.2)
+    """As match_hybrid, over the terms of every script."""
+    return _hybrid(spark, d, enc.script_terms(F.col("text")))
 
 
 @query(f"""with s as (select p.vec_id, e.label::VARCHAR as tag, max(p.s) as s from ({_PAIRS}) p join embeddings e on e.vec_id = p.match_id where p.s >= 0.3 group by 1, 2),
 t as (select *, row_number() over (partition by vec_id order by s desc, tag) as r, max(s) over (partition by vec_id) as best from s qualify r <= 3)
 select vec_id, string_agg(tag, '；' order by s desc, tag) as tags from t where (best >= 0.4 and s >= 0.4) or (best < 0.4 and best >= 0.35 and s >= 0.35) or (best < 0.35 and r = 1) group by 1""")
-def match_imputed_tags_all(spark: SparkSession, d: str) -> DataFrame:
-    """The three best tags of all items, where match_imputed_tags has those of the three nearest items only."""
+def match_imputed_tags(spark: SparkSession, d: str) -> DataFrame:
+    """The three best tags of all items, by tiers."""
     e = table(spark, d, "embeddings").withColumn("tag", F.col("label").cast("string"))
     scored = mt.tag_candidates(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding", "tag", 3, 0.3).withColumn("part", F.lit(0))
     return mt.impute_tags(scored, "vec_id", "part", "tag", "score", (0.4, 0.35, 0.3))
 
 
+@query()
+def match_filled_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags for experts without any, by their fields, in parts and whole, against the tags of all others; hashed vectors stand in for a model."""
+    return mt.fill_tags(table(spark, d, "experts_full"), "row_idx", "research_field", "application", enc.hashed_vector)
+
+
+@query(f"select term, round(idf, 6) as idf from ({_ALL_IDF}) where regexp_full_match(term, '[一-鿿]+')")
+def match_term_export(spark: SparkSession, d: str) -> DataFrame:
+    """Terms in Han script with their weights, for a dictionary."""
+    return mt.term_export(match_idf_all(spark, d))
+
+
 @query("select ccf_id, full_name from ccf_mapping where contains(upper(coalesce(short_name, '')), 'SENSING') or contains(upper(coalesce(full_name, '')), 'SENSING')")
 def match_contains(spark: SparkSession, d: str) -> DataFrame:
     return mt.contains_search(table(spark, d, "ccf_mapping"), ["short_name", "full_name"], "sensing").select("ccf_id", "full_name")
@@ -574,31 +612,66 @@ def metric_perplexity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where("value is not null").groupBy("event_type").agg(F.round(vx.perplexity(F.avg(F.col("value") / 100)), 6).alias("ppl"))
 
 
+@query("select round(avg(rouge_1), 6) as rouge_1_mean, round(avg(rouge_2), 6) as rouge_2_mean from (" + SQL["metric_rouge"] + ")")
+def metric_summary(spark: SparkSession, d: str) -> DataFrame:
+    return ss.metric_means(metric_rouge(spark, d), ["rouge_1", "rouge_2"])
+
+
+@query("select l_orderkey, round(exp(avg(l_discount) filter (l_linenumber > 2)), 6) as ppl from lineitem group by 1")
+def metric_sequence_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    """Of each order's lines as tokens, the first two as the prompt; an order of two lines or less has none."""
+    return ss.sequence_perplexity(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_discount", 2)
+
+
+_TOKEN_VECTORS = "list_transform(range(0, 8), lambda i: {0}.embedding[i * 8 + 1:i * 8 + 8]::DOUBLE[])"
+_NEAREST = "list_avg(list_transform({0}, lambda x: list_max(list_transform({1}, lambda y: list_dot_product(x, y) / (greatest(sqrt(list_dot_product(x, x)), 1e-9) * greatest(sqrt(list_dot_product(y, y)), 1e-9))))))"
+
+
+@query(f"with v as (select a.vec_id, {_TOKEN_VECTORS.format('a')} as p, {_TOKEN_VECTORS.format('b')} as r from embeddings a join embeddings b on b.vec_id = a.vec_id + 1), m as (select vec_id, {_NEAREST.format('p', 'r')} as p, {_NEAREST.format('r', 'p')} as r from v) select vec_id, round(p, 6) as precision, round(r, 6) as recall, round(2 * p * r / nullif(p + r, 0), 6) as f1 from m")
+def metric_greedy_match(spark: SparkSession, d: str) -> DataFrame:
+    """Token vectors of neighbours (an embedding as eight vectors of eight numbers) matched greedily."""
+    e = table(spark, d, "embeddings")
+    tokens = lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(c, i * 8 + 1, 8))
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    m = e.join(b, "vec_id").select("vec_id", vx.greedy_match(tokens(F.col("embedding")), tokens(F.col("other"))).alias("m"))
+    return m.select("vec_id", *[F.round(f"m.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query()
+def stats_tokens_bpe(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts by the tokenizer's own vocabulary file."""
+    t = lambda *cs: reduce(lambda a, b: a + b, [ss.bpe_tokens(F.col(c), VOCABULARY, BPE_PATTERN) for c in cs])
+    return ss.token_stats(table(spark, d, "sft").select(t("instruction", "input").alias("i"), t("output").alias("o")), "i", "o")
+
+
 # -- venues ----------------------------------------------------------------------------------------------------------
 @query(f"""with v as (select row_idx, upper({q.translate(q.trim('pub'), chr(13) + chr(10), '')}) as v from papers),
-s as (select upper({q.trim('short_name')}) as v, max(category) as c from ccf_mapping where {q.trim('short_name')} <> '' group by 1), f as (select upper({q.trim('full_name')}) as v, max(category) as c from ccf_mapping group by 1)
-select row_idx, coalesce(nullif(concat_ws(';', s.c, case when f.c is distinct from s.c then f.c end), ''), '未找到') as venue_rank from v left join s using (v) left join f using (v)""")
+s as (select upper({q.trim('short_name')}) as v, arg_max(category, ccf_id) as c from ccf_mapping where {q.trim('short_name')} <> '' group by 1), f as (select upper({q.trim('full_name')}) as v, arg_max(category, ccf_id) as c from ccf_mapping group by 1),
+x as (select upper({q.trim('pub')}) as v, arg_max(journal_level, row_idx) as c from papers where journal_level is not null and {q.trim('pub')} <> '' group by 1)
+select row_idx, coalesce(nullif(concat_ws(';', x.c, case when coalesce(s.c, f.c) is distinct from x.c then coalesce(s.c, f.c) end), ''), '未找到') as venue_rank from v left join x using (v) left join s using (v) left join f using (v)""")
 def venue_ranks(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "ccf_mapping")
-    return vn.venue_rank(table(spark, d, "papers"), "pub", [(c, "short_name", "category"), (c, "full_name", "category")]).select("row_idx", "venue_rank")
+    """Levels known of papers of the venue, and the list's by its short, else its full name."""
+    p, c = table(spark, d, "papers"), table(spark, d, "ccf_mapping")
+    known = (p.where("journal_level is not null"), "pub", "journal_level", "row_idx")
+    return vn.venue_rank(p, "pub", [known, [(c, "short_name", "category", "ccf_id"), (c, "full_name", "category", "ccf_id")]]).select("row_idx", "venue_rank")
 
 
 _NAMES = [("cs.LG", "Machine learning"), ("cs.CL", "Language"), ("cs.CV", "Vision"), ("cs.AI", "Artificial intelligence"), ("stat.ML", "Statistics")]
 _NAMES_SQL = ", ".join(f"('{a}', '{b}')" for a, b in _NAMES)
 
 
-@query(f"with n(code, name) as (values {_NAMES_SQL}), p as (select row_idx, unnest(string_split(categories, ';')) as c, generate_subscripts(string_split(categories, ';'), 1) as i from papers) select row_idx, string_agg(coalesce(name, {q.trim('c')}), ';' order by i) as translated from p left join n on n.code = {q.trim('p.c')} where {q.trim('c')} <> '' group by 1")
+@query(f"with n(code, name) as (values {_NAMES_SQL}), p as (select row_idx, unnest(string_split(categories, ';')) as c, generate_subscripts(string_split(categories, ';'), 1) as i from papers), t as (select row_idx, string_agg(coalesce(name, {q.trim('c')}), ';' order by i) as translated from p left join n on n.code = {q.trim('p.c')} where {q.trim('c')} <> '' group by 1) select row_idx, translated from papers left join t using (row_idx)")
 def venue_codes(spark: SparkSession, d: str) -> DataFrame:
     names = spark.createDataFrame(_NAMES, "code string, name string")
     return vn.translate_codes(table(spark, d, "papers"), "row_idx", "categories", names, "code", "name")
 
 
-@query("with f as (select arxiv_id, pub, citations from papers where arxiv_id is not null qualify row_number() over (partition by arxiv_id order by row_idx) = 1), l as (select arxiv_id, pub, citations from papers where arxiv_id is not null qualify row_number() over (partition by arxiv_id order by row_idx desc) = 1) select arxiv_id, case when f.pub is not null then f.pub else l.pub end as pub, case when f.pub is not null then f.citations else l.citations end as citations from f join l using (arxiv_id)")
+@query("with f as (select arxiv_id, pub, citations from papers where arxiv_id is not null qualify row_number() over (partition by arxiv_id order by row_idx) = 1), l as (select arxiv_id, pub, citations from papers where arxiv_id is not null qualify row_number() over (partition by arxiv_id order by row_idx desc) = 1) select arxiv_id, case when f.pub is not null then f.pub else l.pub end as pub, case when f.pub is not null then f.citations when l.pub is not null then l.citations end as citations from f join l using (arxiv_id)")
 def venue_enriched(spark: SparkSession, d: str) -> DataFrame:
     """Venue and citations of the first fetch of a paper, or both of its last one where the first has no venue."""
     p = table(spark, d, "papers").where("arxiv_id is not null")
     both = p.groupBy("arxiv_id").agg(F.min_by(F.struct("pub", "citations"), "row_idx").alias("f"), F.max_by(F.struct("pub", "citations"), "row_idx").alias("l"))
-    pub, cites = vn.enrich_pair((F.col("f.pub"), F.col("f.citations")), (F.col("l.pub"), F.col("l.citations")))
+    pub, cites = vn.enrich_first((F.col("f.pub"), F.col("f.citations")), (F.col("l.pub"), F.col("l.citations")))
     return both.select("arxiv_id", pub.alias("pub"), cites.alias("citations"))
 
 

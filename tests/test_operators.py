@@ -85,7 +85,7 @@ def test_topk_equals_brute_force_with_many_blocks(spark, folder):
 def test_venue_ranks(spark):
     p = spark.createDataFrame([(1, "a"), (2, " A\n"), (3, None), (4, "zz")], "i int, pub string")
     one, two = spark.createDataFrame([("A", "Q1")], "k string, r string"), spark.createDataFrame([("a", "CCF A"), (None, "x")], "k string, r string")
-    got = {r["i"]: r["venue_rank"] for r in vn.venue_rank(p, "pub", [(one, "k", "r"), (two, "k", "r")]).collect()}
+    got = {r["i"]: r["venue_rank"] for r in vn.venue_rank(p, "pub", [(one, "k", "r", "k"), (two, "k", "r", "k")]).collect()}
     assert got == {1: "Q1;CCF A", 2: "Q1;CCF A", 3: "未找到", 4: "未找到"}
 
 
@@ -211,3 +211,139 @@ def test_terms_of_every_script(spark):
     df = spark.createDataFrame([("Café AI模型、データ 東京タワー ภาษาไทย x 模型",), ("",), (None,)], "s string")
     got = [list(r[0]) for r in df.select(enc.script_terms(F.col("s"))).collect()]
     assert got == [["café", "ai", "模型", "データ", "東京", "タワー", "ภาษาไทย", "模型"], [], []]
+
+
+def test_small_and_blocked_queries_agree(spark, folder):
+    e = spark.read.parquet(f"{folder}/embeddings.parquet")
+    q = e.where("vec_id % 50 = 0")
+    rows = lambda: {(r[0], r[1], r["rank"]) for r in mt.cosine_candidates(q, e, "vec_id", "vec_id", "embedding", 3, 0.1, 64).select("vec_id", "match_id", "rank").collect()}
+    small, mt.SENT_NUMBERS = rows(), 0
+    try:
+        assert small == rows() and len(small) > 10
+    finally:
+        mt.SENT_NUMBERS = 4_000_000
+
+
+def test_filled_tags_equal_brute_force(spark):
+    from loomwright.functions import encoders as enc
+
+    rows = [(1, "机器学习；自然语言处理", None), (2, "x", "机器学习"), (3, "y", "自然语言;图像处理"), (4, "海洋", ""), (5, None, None), (6, "图像处理,自然语言", " ")]
+    df = spark.createDataFrame(rows, "id long, f string, t string")
+    got = {r["id"]: r["tags"] for r in mt.fill_tags(df, "id", "f", "t", enc.hashed_vector).collect()}
+    vec = {r["x"]: r["v"] for r in spark.createDataFrame([(x,) for x in ("机器学习", "自然语言处理", "机器学习 自然语言处理", "自然语言", "图像处理", "图像处理 自然语言", "海洋")], "x string").select("x", enc.hashed_vector(F.col("x")).alias("v")).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    for key, asked in ((1, ["机器学习", "自然语言处理", "机器学习 自然语言处理"]), (6, ["图像处理", "自然语言", "图像处理 自然语言"]), (4, ["海洋", "海洋"])):
+        found = {}
+        for x in asked:
+            best = sorted(((cos(vec[x], vec[t]), t) for t in ("机器学习", "自然语言", "图像处理")), key=lambda y: (-y[0], y[1]))
+            for tier in (0.78, 0.70):
+                hits = [b for b in best if b[0] >= tier - 1e-12]
+                if hits:
+                    break
+            for s, t in hits or [b for b in best[:1] if b[0] >= 0.65]:
+                found.setdefault(t, s)
+        want = "；".join(t for t, _ in sorted(found.items(), key=lambda y: -y[1]))
+        assert got.get(key, "") == want
+    assert mt.fill_tags(df.limit(0), "id", "f", "t", enc.hashed_vector).count() == 0
+
+
+def test_venue_lookup_rules(spark):
+    p = spark.createDataFrame([(1, "A", None), (2, "long a", ""), (3, None, "x; ;y"), (4, "b", " ; ")], "i int, pub string, codes string")
+    dim = spark.createDataFrame([(1, "a", "long a", "C1"), (2, "A", "b", "C2"), (3, "zz", "A", "C3")], "o int, s string, f string, r string")
+    got = {r["i"]: r["venue_rank"] for r in vn.venue_rank(p, "pub", [[(dim, "s", "r", "o"), (dim, "f", "r", "o")]]).collect()}
+    assert got == {1: "C2", 2: "C1", 3: "未找到", 4: "C2"}  # the last row of a name; the full name only where no short one fits
+    names = spark.createDataFrame([("x", "X")], "c string, n string")
+    assert {r["i"]: r["translated"] for r in vn.translate_codes(p, "i", "codes", names, "c", "n").collect()} == {1: None, 2: None, 3: "X;y", 4: None}
+    one = spark.createDataFrame([(None, None, "c", 1), (None, 2, None, 3), ("a", None, "c", 1)], "a string, x int, b string, y int")
+    assert [tuple(r) for r in one.select(*vn.enrich_first((F.col("a"), F.col("x")), (F.col("b"), F.col("y")))).collect()] == [("c", 1), (None, None), ("a", None)]
+
+
+def test_match_payloads(spark):
+    from loomwright.operators import assemble as asm
+
+    rows = [('{"matches": [{"expert": {"user_name": "a", "research_field": "b"}}, "c"]}',), ('{"match": {"expert": "d"}}',), ('{"expert": {"user_name": " e "}}',), (None,), ("[]",)]
+    df = spark.createDataFrame(rows, "j string")
+    got = df.select(F.transform(asm.match_items(F.col("j")), lambda x: asm.match_text(x, "expert", ["user_name", "research_field"])).alias("t")).collect()
+    assert [r["t"] for r in got] == [["a：b", "c"], ["d"], ["e"], [], []]
+
+
+def test_generators(spark, tmp_path):
+    from loomwright.operators import generate as gen
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def load():
+        seen = {}
+
+        def client(system, prompt):
+            (calls / f"{abs(hash(prompt))}-{len(list(calls.iterdir()))}").touch()
+            seen[prompt] = seen.get(prompt, 0) + 1
+            if "bad" in prompt or ("once" in prompt and seen[prompt] == 1):
+                raise ValueError(prompt)
+            return f'{system}```json\n["{prompt}", "7", "x"]```'
+
+        return client
+
+    df = spark.createDataFrame([(1, "good one"), (2, "bad one"), (3, "once more"), (4, None), (5, "good one")], "id long, p string")
+    got = {r["id"]: r["answer"] for r in gen.answers(df, "id", F.lit("s"), F.col("p"), load, wait=0.0).collect()}
+    assert got[2] == got[4] == "" and got[1] == got[5] and got[3].startswith("s```json")
+    assert {r["term"] for r in gen.extracted_terms(df, "p", "", load, wait=0.0).collect()} == {"good one", "once more"}
+    kept = lambda: {r["id"]: r["answer"] for r in gen.answers_kept(df, "id", F.lit("s"), F.col("p"), load, str(tmp_path / "kept"), wait=0.0).collect()}
+    first, n = kept(), len(list(calls.iterdir()))
+    assert first == got and kept() == first
+    assert len(list(calls.iterdir())) - n <= 6  # only what failed is asked again
+
+
+def test_workbooks(spark, tmp_path):
+    from loomwright.sources import xlsx
+
+    df = spark.createDataFrame([(1, "甲 <&> \x07", 1.5), (2, None, None), (3, " b ", -2.0)], "n long, s string, x double").coalesce(1)
+    xlsx.write_xlsx(df, str(tmp_path / "w"))
+    assert [tuple(r) for r in xlsx.read_xlsx(spark, str(tmp_path / "w")).orderBy("row_idx").collect()] == [(0, "1", "甲 <&> ", "1.5"), (1, "2", "", ""), (2, "3", " b ", "-2.0")]
+    typed = xlsx.read_xlsx(spark, str(tmp_path / "w"), ["x", "n"], typed=True)
+    assert [f.dataType.simpleString() for f in typed.schema] == ["bigint", "double", "bigint"] and typed.agg(F.sum("n")).first()[0] == 6
+    try:
+        xlsx.read_xlsx(spark, str(tmp_path / "w"), ["absent"])
+        raise AssertionError("a missing column must be an error")
+    except ValueError:
+        pass
+
+
+def test_pages_and_settings(spark, tmp_path):
+    page = '<div class="hideable"><table><tbody><tr class="item"><td>A</td><td> b </td><td>c</td></tr><tr><td>1</td><td>2</td><td>3</td></tr><tr class="item"><td>x</td></tr></tbody></table></div><table><tr class="item"><td>o</td><td>u</td><td>t</td></tr></table>'
+    df = spark.createDataFrame([(1, page), (2, None)], "id long, html string")
+    assert [r["cells"] for r in io.html_selected_rows(df, "id", "html").collect()] == [["A", "b", "c"]]
+    t = spark.createDataFrame([("<h4>cs.LG <span>(Machine learning)</span></h4><h4> cs.CV<span>Vision</span></h4>",)], "html string")
+    assert {tuple(r) for r in io.taxonomy(t, "html").collect()} == {("cs.LG", "Machine learning"), ("cs.CV", "Vision")}
+    text = "# run\nname: 'a: b'  # note\nlr: 3e-5\nsteps: 4\non: true\nnone:\nlist: [1, x]\ndeep:\n  ids:\n  - 1\n  - two\n  more:\n    k: \"v\"\n"
+    assert io.read_settings(text) == {"name": "a: b", "lr": 3e-5, "steps": 4, "on": True, "none": None, "list": [1, "x"], "deep": {"ids": [1, "two"], "more": {"k": "v"}}}
+    assert io.read_settings("") == {}
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "i long, s string").coalesce(1)
+    io.write_json_array(rows, str(tmp_path / "j"))
+    assert {tuple(r) for r in spark.read.schema("i long, s string").json(str(tmp_path / "j"), multiLine=True).collect()} == {(1, "a"), (2, None)}
+
+
+def test_exponential_means_of_a_hot_key(spark):
+    n = 5000
+    df = spark.range(n).select(F.col("id").alias("o"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("k"), (F.col("id") % 17).cast("double").alias("v"))
+    from loomwright.operators import stats as ss
+
+    want = {}
+    for i in range(n):
+        k = "b" if i % 3 else "a"
+        want[k] = i % 17 if k not in want else 0.9 * want[k] + 0.1 * (i % 17)
+    got = {r["k"]: r["ema"] for r in ss.ema_by_key(df, "k", "o", "v", 0.9).collect()}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_bpe_token_counts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    from loomwright.operators import stats as ss
+    from loomwright.plans import reference as ref
+
+    t = Tokenizer.from_file(ref.VOCABULARY.replace(".tiktoken", ".json"))
+    texts = ["", None, "Hello, wörld 12", "企业 简介。\n\n", "ภาษาไทย"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(ss.bpe_tokens(F.col("x"), ref.VOCABULARY, ref.BPE_PATTERN)).collect()]
+    assert got == [len(t.encode(x, add_special_tokens=False).ids) if x else 0 for x in texts]
