@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from loomwright.functions import text as tx
 from loomwright.functions import vectors as vx
-from loomwright.session import widen
+from loomwright.session import cut, widen
 
 BLOCK = 4096
 
@@ -244,9 +244,11 @@ def fill_tags(rows: DataFrame, key: str, field: str, tags: str, encode: Callable
     empty = rows.where(tx.is_blank(F.col(tags)) & ~tx.is_blank(F.col(field)))
     parts = F.filter(F.transform(F.split(F.col(field), r"[;；,，/、\\|]+"), tx.blank_trim), lambda x: x != "")
     asked = empty.select(key, F.posexplode(F.concat(parts, F.array(field))).alias("pos", "x")).select(key, "pos", tx.normalize_words(F.col("x")).alias("text")).where("text <> ''")
+    asked = cut(asked)  # else the encoder would clean a text again for every n-gram
     texts = asked.select("text").distinct().select(F.concat(F.lit("q:"), "text").alias("q"), encode(F.col("text")).alias("v"))
-    items = vocabulary.select(F.concat(F.lit("t:"), "tag").alias("t"), encode(tx.normalize_words(F.col("tag"))).alias("v"))
-    near = cosine_candidates(texts, items, "q", "t", "v", k, tiers[2])
+    named = cut(vocabulary.select("tag", tx.normalize_words(F.col("tag")).alias("text")))
+    items = named.select(F.concat(F.lit("t:"), "tag").alias("t"), encode(F.col("text")).alias("v"))
+    near = cosine_candidates(cut(texts), cut(items), "q", "t", "v", k, tiers[2])
     best = F.max("score").over(Window.partitionBy("q"))
     ok = F.when(F.col("best") >= tiers[0], F.col("score") >= tiers[0]).when(F.col("best") >= tiers[1], F.col("score") >= tiers[1]).otherwise(F.col("rank") == 1)
     chosen = near.withColumn("best", best).where(ok).select(F.substring("q", 3, 2_000_000_000).alias("text"), F.substring("match_id", 3, 2_000_000_000).alias("tag"), "rank", "score")

@@ -205,6 +205,8 @@ def read_settings(text: str) -> dict:
         out: list | dict = [] if listed else {}
         while at < len(lines) and lines[at][0] == indent:
             body = lines[at][1]
+            if listed and body[:1] != "-":  # the list's own mapping goes on
+                break
             if listed:
                 out.append(value(body[1:]))
                 at += 1
