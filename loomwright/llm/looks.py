@@ -13,12 +13,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.session import cut, widen
 
-# Letters of Greek and Cyrillic that have the shape of a Latin letter.
+# Letters of Greek and Cyrillic that have the shape of a Latin letter; those of further scripts come from the published table of confusable characters, see confusables().
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "З": "3", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ї": "Ï", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ғ": "F", "Ӏ": "I", "Һ": "h",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ї": "ï", "ј": "j", "ԛ": "q", "ԝ": "w", "ԁ": "d", "һ": "h", "ү": "y", "ӏ": "l", "ё": "ë", "Ё": "Ë", "ѵ": "v", "ց": "g", "ո": "n", "ս": "u", "օ": "o",
@@ -53,13 +53,42 @@ def _one(c: str) -> str | None:
     return "".join(y if (y := _one(x)) is not None else x for x in to)
 
 
-@lru_cache(1)
-def tables() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
-    """(from, to) of single characters for translate, characters to drop, and longer replacements."""
+_tables_of: dict[str, tuple[tuple[str, str], ...]] = {}
+
+
+def confusables(spark: SparkSession) -> tuple[tuple[str, str], ...]:
+    """(letter, Latin letter) of one shape, by the published table of confusable characters that comes with Spark's ICU library.
+
+    Only letters without a decomposition that the table brings to one ASCII letter. The table has one prototype, l, for the shapes of I and l: a
+    capital letter is an I. ASCII letters themselves stay: I and l, or O and 0, may be told apart by their look. Asked once an application.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _tables_of:
+        # letters of scripts with cases, and of others with letters of Latin shape; no Han, kana or Hangul
+        asked = [
+            c for n in (*range(0x80, 0x3000), *range(0xA000, 0xABC0), *range(0x10280, 0x10600), *range(0x118A0, 0x11900))
+            if unicodedata.category(c := chr(n))[0] == "L" and not unicodedata.decomposition(c)
+        ]
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        forms = checker.getSkeleton("\x01".join(asked)).split("\x01")
+        found = [(c, "I" if to == "l" and unicodedata.category(c) == "Lu" else to) for c, to in zip(asked, forms) if len(to) == 1 and to.isascii() and to.isalpha()] if len(forms) == len(asked) else []
+        _tables_of[app] = tuple((c, to) for c, to in found if unicodedata.category(c) == "Lo" or c.isupper() == to.isupper())
+    return _tables_of[app]
+
+
+@lru_cache(2)
+def tables(more: tuple[tuple[str, str], ...] = ()) -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
+    """(from, to) of single characters for translate, characters to drop, and longer replacements; more: further look-alikes."""
     a, b, gone, longer = [], [], [], []
+    extra = dict(more)
     for n in range(0x80, sys.maxunicode + 1):
         c = chr(n)
-        if 0xD800 <= n < 0xE000 or (to := _one(c)) is None:
+        if 0xD800 <= n < 0xE000:
+            continue
+        to = _one(c)
+        if to is None:
+            to = extra.get(c)
+        if to is None:
             continue
         if to == "":
             gone.append(c)
@@ -75,31 +104,32 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-@lru_cache(1)
-def look_sql(column: str = "t") -> str:
+@lru_cache(2)
+def look_sql(column: str = "t", more: tuple[tuple[str, str], ...] = ()) -> str:
     """The SQL expression of the form of a column. translate() drops what has no counterpart."""
-    a, b, gone, longer = tables()
-    pairs = [(x, y) for x, y in longer if "ﬀ" <= x <= "ﬆ" or x in "ĲĳǄǅǆǇǈǉǊǋǌǱǲǳ…‥‼⁇⁈⁉︙"]
+    a, b, gone, longer = tables(more)
     # full-width ASCII, the bulk of it, by a short table; the long one only where others are left
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if chr(c) not in HYPHENS) + "\u3000\u00a0"
     narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if chr(c) not in HYPHENS) + "  "
     first = f"translate({column}, {_quoted(wide)}, {_quoted(narrow)})"
     plain = "[ -~\u3001\u3002\u4e00-\u9fff\u00e0-\u00f6\u00f8-\u00fc\u00c0-\u00d6\u201c\u201d\u300c\u300d\u3010\u3011\u00b2\u00b3\u2460-\u2473]*"
     expr = f"translate({first}, {_quoted(a + gone)}, {_quoted(b)})"
-    for x, y in pairs:
-        expr = f"replace({expr}, {_quoted(x)}, {_quoted(y)})"
+    # joined letters, of every script, character by character where a text has any
+    spelt = f"MAP {{{', '.join(f'{_quoted(x)}: {_quoted(y)}' for x, y in longer)}}}"
+    joined = f"array_to_string(list_transform(string_split({expr}, ''), lambda c: coalesce({spelt}[c], c)), '')"
+    expr = f"case when regexp_matches({expr}, '[{''.join(x for x, _ in longer)}]') then {joined} else {expr} end"
     # one more turn after NFC, for what a composition or a canonical singleton brings up
     expr = f"nfc_normalize(regexp_replace(nfc_normalize({expr}), '[\\r\\n\\t\\v\\f]', ' ', 'g'))"
     full = f"translate({expr}, {_quoted(a + gone)}, {_quoted(b)})"
     return f"case when regexp_full_match({first}, '{plain}') then {first} else {full} end"
 
 
-def _run(batches: Iterator[pa.RecordBatch], more: int) -> Iterator[pa.RecordBatch]:
+def _run(batches: Iterator[pa.RecordBatch], more: int, letters: tuple[tuple[str, str], ...]) -> Iterator[pa.RecordBatch]:
     import duckdb
 
     con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
     names = [f"c{i}" for i in range(more)]
-    sql = f"select {', '.join([*names, 't', f'{look_sql()} as form'])} from batch_rows"
+    sql = f"select {', '.join([*names, 't', f"{look_sql('t', letters)} as form"])} from batch_rows"
     for batch in batches:
         if batch.num_rows:
             con.register("batch_rows", pa.Table.from_batches([batch]))
@@ -119,7 +149,8 @@ def same_look(df: DataFrame, text: str, form: str = "form") -> DataFrame:
     src = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
     fields = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields] + ["form string"])
     n = len(keep)
-    out = widen(src).mapInArrow(lambda it: _run(it, n), fields)
+    letters = confusables(df.sparkSession)
+    out = widen(src).mapInArrow(lambda it: _run(it, n, letters), fields)
     by = {c: f"c{i}" for i, c in enumerate(keep)} | {text: "t", form: "form"}
     order = [c for c in df.columns if c != form] + [form]
     return out.select(*[F.col(by[c]).alias(c) for c in order])

@@ -110,6 +110,13 @@ def test_looks(spark):
     assert looks.same_look(df.limit(0), "text").count() == 0
 
 
+def test_look_alikes_of_further_scripts(spark):
+    df = spark.createDataFrame([(1, "ᎪꓮA ﬓ ŉ ﬄ ﷺ"), (2, "Il1O0 ƨ"), (3, "σ 工 口 ー 一")], "id long, text string")
+    got = {r["id"]: r["form"] for r in looks.same_look(df, "text").collect()}
+    assert got[1].startswith("AAA մն ʼn".replace("ʼ", "’")) and got[1].split()[3:4] == ["ffl"] and "ﷺ" not in got[1]
+    assert got[2].startswith("Il1O0") and got[3][2:] == "工 口 ー 一"
+
+
 def test_look_alike_pairs_equal_brute_force(spark, folder):
     df = spark.read.parquet(f"{folder}/papers.parquet").select(F.lit("p").alias("g"), "row_idx", F.col("title").alias("text"))
     form = {r["row_idx"]: (r["text"], r["form"]) for r in looks.same_look(df, "text").collect()}
