@@ -125,32 +125,38 @@ def tolerance(length: int, han: bool) -> int:
     return max(1, length // 2 if han else length // 3)
 
 
-def segments(k: str) -> str:
-    """SQL: of a brand b its k + 1 parts, each with k and the brand's length: the keys a brand is found by."""
-    n = f"least({k} + 1, length(b))"
-    return f"transform(sequence(0, {n} - 1), i -> concat_ws('|', {k}, length(b), substr(b, i * length(b) div {n} + 1, (i + 1) * length(b) div {n} - i * length(b) div {n})))"
+def found_by(brands: DataFrame) -> DataFrame:
+    """brands (b, k, ...) with (l, part): a row for each of the k + 1 parts b, of length l, is cut into."""
+    d = brands.withColumn("__i", F.explode(F.expr("sequence(0, least(k + 1, length(b)) - 1)"))).withColumn("l", F.length("b"))
+    return _placed(d).withColumn("part", F.expr("substr(b, __p + 1, __q - __p)")).drop("__i", "__p", "__q")
 
 
-def substrings(k: str) -> str:
-    """SQL: what a brand b looks up to meet the brands within k edits that are no longer: their parts, shifted by up to k.
+def looked_up(brands: DataFrame) -> DataFrame:
+    """brands (b, k, ...) with (l, part): a row for each substring that may be a part of a brand of length l, no longer and within k edits: parts shifted by up to k.
 
     A swap of neighbours is one edit but may touch two parts; its letters are found one place aside, or, where parts
-    are longer, k must count it as two.
+    are longer, k must count it as two. Rows may repeat.
     """
-    n, p, q = f"least({k} + 1, l)", f"i * l div least({k} + 1, l)", f"(i + 1) * l div least({k} + 1, l)"
-    cut_out = f"transform(sequence(greatest(-{k}, -({p})), least({k}, length(b) - ({q}))), t -> concat_ws('|', {k}, l, substr(b, {p} + t + 1, {q} - {p})))"
-    return f"array_distinct(flatten(transform(sequence(greatest(1, length(b) - {k}), length(b)), l -> flatten(transform(sequence(0, {n} - 1), i -> {cut_out})))))"
+    d = brands.withColumn("l", F.explode(F.expr("sequence(greatest(1, length(b) - k), length(b))")))
+    d = _placed(d.withColumn("__i", F.explode(F.expr("sequence(0, least(k + 1, l) - 1)"))))
+    d = d.withColumn("__t", F.explode(F.expr("sequence(greatest(-k, -__p), least(k, length(b) - __q))")))
+    return d.withColumn("part", F.expr("substr(b, __p + __t + 1, __q - __p)")).drop("__i", "__p", "__q", "__t")
+
+
+def _placed(d: DataFrame) -> DataFrame:
+    """With the place of the i-th of k + 1 parts of a brand of length l."""
+    return d.withColumns({"__p": F.expr("cast(__i * l div least(k + 1, l) as int)"), "__q": F.expr("cast((__i + 1) * l div least(k + 1, l) as int)")})
 
 
 _PART = "substr(b, {x} * l div least(4, l) + {shift} + 1, ({x} + 1) * l div least(4, l) - {x} * l div least(4, l))"
-#: As `segments` and `substrings` for one edit at most, a swap among them: of four parts two stay whole, and both must meet.
+#: Parts and substrings, as found_by and looked_up have them, for one edit at most, a swap among them: of four parts two stay whole, and both must meet.
 TWO_SEGMENTS = f"case when length(b) < 2 then array() else flatten(transform(array(length(b)), l -> flatten(transform(sequence(0, least(4, l) - 2), i -> transform(sequence(i + 1, least(4, l) - 1), j -> concat_ws('|', l, i, j, {_PART.format(x='i', shift=0)}, {_PART.format(x='j', shift=0)})))))) end"
 TWO_SUBSTRINGS = (
     "case when length(b) < 2 then array() else array_distinct(flatten(transform(sequence(greatest(2, length(b) - 1), length(b)), l -> flatten(transform(sequence(0, least(4, l) - 2), i -> flatten(transform(sequence(i + 1, least(4, l) - 1), "
     f"j -> transform(array(struct(0 as s, 0 as t), struct(0 as s, length(b) - l as t), struct(length(b) - l as s, length(b) - l as t)), x -> concat_ws('|', l, i, j, {_PART.format(x='i', shift='x.s')}, {_PART.format(x='j', shift='x.t')}))))))))) end"
 )
 #: Edits allowed between two brands, the longer of length(b) + d.
-TOLERANCE = "greatest(1, if(han, length(b) + {d}, cast((length(b) + {d}) * 2 div 3 as int)) div 2)"
+TOLERANCE = "cast(greatest(1, if(han, (length(b) + {d}) div 2, (length(b) + {d}) div 3)) as int)"
 
 
 def short_forms(b: str, han: bool) -> set[str]:
@@ -203,28 +209,30 @@ def keys(full: DataFrame) -> tuple[DataFrame, DataFrame]:
     mark: equal brands by the capital, or by the rest of the name. By date and address (p) also names of generic
     words only against names with a brand.
     """
-    b = full.withColumn("b", F.col("brand")).withColumn("k", F.expr(TOLERANCE.format(d=0)))
-    hot = F.exists(F.coalesce("marks", F.array()), lambda m: m["kind"].isin("e", "a") & (m["n"] > HOT))
+    b = full.where("marks is not null").select("id", "han", "bare", F.col("brand").alias("b"), "marks")
+    b = b.withColumn("hot", F.exists("marks", lambda m: m["kind"].isin("e", "a") & (m["n"] > HOT))).withColumn("tol", F.expr(TOLERANCE.format(d=0)))
+    marked = b.withColumn("m", F.explode("marks")).select("id", "han", "bare", "b", "hot", "tol", "m.kind", "m.mark", (F.col("m.kind").isin("e", "a") & (F.col("m.n") > HOT)).alias("very"))
+    single, least_k = F.col("kind").isin("e", "a"), F.expr("if(hot, 2, 3)")  # two edits are found by one mark already, unless very many have it
     # k of a pair goes by the longer brand: a brand is cut for every k that a longer one may have
-    ks = "array_distinct(transform(sequence(0, length(b) + 1), d -> " + TOLERANCE.format(d="d") + "))"
-    long_own = f"flatten(transform(filter({ks}, k -> k > if(hot, 1, 2)), k -> {segments('k')}))"
-    b = b.withColumn("hot", hot).withColumns({
-        "own2": F.expr(segments("2")), "seek2": F.expr(substrings("2")), "ownk": F.expr(long_own), "seekk": F.expr(f"if(k > if(hot, 1, 2), {substrings('k')}, array())"),
-        "short": F.expr("case when length(b) < 2 then array() else array_distinct(transform(flatten(transform(filter(sequence(1, length(b) - 1), n -> n >= greatest(if(han, 2, 4), length(b) - k)), n -> array(struct(n, true as head), struct(n, false as head)))), x -> if(x.head, left(b, x.n), if(han, right(b, x.n), concat(left(b, 1), right(b, x.n - 1)))))) end"),
-    })
-    marked = b.withColumn("m", F.explode("marks"))
-    single = F.col("m.kind").isin("e", "a")
-    very = single & (F.col("m.n") > HOT)
-
-    def side(name: str, one: str, two: str, many: str, short: F.Column, whole: F.Column) -> DataFrame:
-        parts = F.when(very, F.expr(two)).when(single, F.col(one)).otherwise(F.col(many))
-        tag = lambda letter, xs: F.transform(xs, lambda x: F.concat(F.lit(letter), x))
-        more = F.when(single, tag("s", short)).otherwise(F.when(whole & (F.col("m.kind") == "p"), F.array(F.lit("w"))).otherwise(F.array()))
-        by_mark = marked.select(F.col("id").alias(name), "han", "m.mark", F.explode(F.concat(tag("x", parts), more)).alias("part"))
-        return by_mark.select(name, F.xxhash64("han", "mark", "part").alias("key"))
-
-    own = side("x", "own2", TWO_SEGMENTS, "ownk", F.array("b"), ~F.col("bare"))
-    seek = side("y", "seek2", TWO_SUBSTRINGS, "seekk", F.col("short"), F.col("bare"))
+    ks = F.expr("array_distinct(transform(sequence(0, length(b) + 1), d -> " + TOLERANCE.format(d="d") + "))")
+    plain = marked.where(single & ~F.col("very")).withColumn("k", F.lit(2))
+    cut_for = plain.unionByName(marked.where(~single).withColumn("k", F.explode(ks)).where(F.col("k") >= least_k))
+    asked_for = plain.unionByName(marked.where(~single).withColumn("k", F.col("tol")).where(F.col("k") >= least_k))
+    short = F.expr(
+        "case when length(b) < 2 then array() else array_distinct(transform(flatten(transform(filter(sequence(1, length(b) - 1), n -> n >= greatest(if(han, 2, 4), length(b) - tol)), "
+        "n -> array(struct(n, true as head), struct(n, false as head)))), x -> if(x.head, left(b, x.n), if(han, right(b, x.n), concat(left(b, 1), right(b, x.n - 1)))))) end"
+    )
+
+    def side(name: str, parts: DataFrame, two: str, short: F.Column, whole: F.Column) -> DataFrame:
+        key = lambda *cs: F.xxhash64("han", "mark", *cs).alias("key")
+        own = F.col("id").alias(name)
+        out = parts.select(own, key(F.lit("x"), "k", "l", "part"))
+        out = out.unionByName(marked.where("very").select("id", "han", "mark", F.explode(F.expr(two)).alias("part")).select(own, key(F.lit("t"), "part")))
+        out = out.unionByName(marked.where(single).select("id", "han", "mark", F.explode(short).alias("part")).select(own, key(F.lit("s"), "part")))
+        return out.unionByName(marked.where((F.col("kind") == "p") & whole).select(own, key(F.lit("w"))))
+
+    own = side("x", found_by(cut_for), TWO_SEGMENTS, F.array("b"), ~F.col("bare"))
+    seek = side("y", looked_up(asked_for), TWO_SUBSTRINGS, short, F.col("bare"))
     equal = F.array_compact(F.array(F.when(F.col("cap") != "", F.xxhash64(F.lit("c"), "han", "brand", "cap")), F.when(~F.col("bare"), F.xxhash64(F.lit("r"), "han", "brand", "rest"))))
     thin = F.col("bare") | (F.col("est") == "") | (F.col("addr") == "")
     return own.unionByName(full.select(F.col("id").alias("x"), F.explode(equal).alias("key"))), seek.unionByName(full.where(thin).select(F.col("id").alias("y"), F.explode(equal).alias("key")))

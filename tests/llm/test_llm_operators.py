@@ -306,12 +306,15 @@ def test_pigeonhole_finds_every_edit(spark):
             b = r.choice([b[:j] + b[j + 1 :], b[:j] + "己" + b[j + 1 :], b[:j] + "己" + b[j:], b[: max(j - 1, 0)] + b[max(j - 1, 0) : j + 1][::-1] + b[j + 1 :]]) or b
         pairs.append((i, a, b))
     df = spark.createDataFrame(pairs, "i int, a string, b2 string")
-    meet = lambda own, seek: F.arrays_overlap(own, seek)
-    x, y = df.select("i", F.col("a").alias("b"), F.lit(True).alias("han")), df.select("i", F.col("b2").alias("b"), F.lit(True).alias("han"))
-    ways = {"one": (names.segments("2"), names.substrings("2")), "two": (names.TWO_SEGMENTS, names.TWO_SUBSTRINGS), "three": (names.segments("3"), names.substrings("3"))}
-    sides = [t.select("i", *[F.expr(e).alias(f"{n}{j}{s}") for n, es in ways.items() for j, e in enumerate(es)]) for s, t in (("a", x), ("b", y))]
-    got = sides[0].join(sides[1], "i").select("i", *[(meet(f"{n}0a", f"{n}1b") | meet(f"{n}0b", f"{n}1a")).alias(n) for n in ways]).collect()
-    by = {g["i"]: g for g in got}
+    sides = {s: df.select("i", F.col(c).alias("b")) for s, c in (("a", "a"), ("b", "b2"))}
+    parts = lambda t, f, k: {(r["i"], r["l"], r["part"]) for r in f(t.withColumn("k", F.lit(k))).select("i", "l", "part").collect()}
+    two = lambda t, e: {(r["i"], r["x"]) for r in t.select("i", F.explode(F.expr(e)).alias("x")).collect()}
+    by: dict = {i: {"one": False, "two": False, "three": False} for i, _, _ in pairs}
+    for way, k in (("one", 2), ("three", 3), ("two", 0)):
+        own, seek = (({s: parts(t, names.found_by, k) for s, t in sides.items()}, {s: parts(t, names.looked_up, k) for s, t in sides.items()}) if k
+                     else ({s: two(t, names.TWO_SEGMENTS) for s, t in sides.items()}, {s: two(t, names.TWO_SUBSTRINGS) for s, t in sides.items()}))
+        for key in (own["a"] & seek["b"]) | (own["b"] & seek["a"]):
+            by[key[0]][way] = True
     for i, a, b in pairs:
         d = names.edits(a, b, 9)
         lev = _levenshtein(a, b)
