@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as tx
 from loomwright.operators import rows as ro
+from loomwright.session import cut
 
 # The columns that stay after cleaning, and codes of company size.
 ENTERPRISE_COLUMNS = ["org_name", "business", "category", "category_big", "category_middle", "scale", "address", "reg_capital", "company_org_type", "establish_time"]
@@ -68,7 +69,7 @@ def clean_achievements(df: DataFrame, order: str = "row_idx", keep: list[str] |
         d = d.withColumn("title", tx.standard_title(F.col("title")))
         if delete_titles:
             d = d.where(~F.col("title").isin(*delete_titles))
-        d = ro.keep_first(d, ["title"], order)
+        d = ro.keep_first(cut(d), ["title"], order)  # written once, else every cleaner runs for the keys and for the rows
     return ro.keep_filled(d, ["analyse_contect"])
 
 
