@@ -157,6 +157,7 @@ def is_empty(output: str | None) -> bool:
     return inner in NOTHING or words in NOTHING or not inner
 
 
+@lru_cache(16)
 def sentences(text: str) -> list[str]:
     return [x for p in _SENTENCE_END.split(text) if (x := p.strip())]
 
@@ -222,7 +223,8 @@ def is_copied(instruction: str, inp: str, output: str) -> bool:
 
 
 _SCRIPTS = {"han": "一-鿿㐀-䶿", "kana": "぀-ヿ", "th": "฀-๿", "ko": "가-힯", "ru": "Ѐ-ӿ", "ar": "؀-ۿ", "el": "Ͱ-Ͽ", "hi": "ऀ-ॿ"}
-_RUNS = re.compile("|".join([*(f"(?P<{k}>[{v}]+)" for k, v in _SCRIPTS.items()), r"(?P<la>(?:(?![^\x00-ɏ])[^\W\d_])+)"]))
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_RUNS = re.compile("|".join([f"(?P<la>[{_LETTER}][{_LETTER} ]*)", *(f"(?P<{k}>[{v}]+)" for k, v in _SCRIPTS.items())]))
 _UMLAUT = re.compile("[äöüß]")
 
 
@@ -234,8 +236,9 @@ def _script_of(sentence: str) -> tuple[str, float]:
     for m in _RUNS.finditer(sentence):
         k = m.lastgroup
         if k == "la":
-            words.append(m[0].casefold())
-        size[k] = size.get(k, 0.0) + len(m[0])
+            words += m[0].casefold().split()
+        else:
+            size[k] = size.get(k, 0.0) + len(m[0])
     kana = size.pop("kana", 0.0)
     size["cj"] = size.pop("han", 0.0) + kana
     size["la"] = sum(map(len, words)) / 2.5
