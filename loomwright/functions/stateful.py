@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.functions import text as tx
+
 def _ngrams(words: list[str], n: int) -> Counter:
     return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
 
@@ -78,3 +80,8 @@ nfkc = _udf(_nfkc, T.StringType())
 html_unescape = _udf(_unescaped, T.StringType())
 bleu4_column = _udf(bleu4, T.DoubleType())
 rouge_l_column = _udf(rouge_l, T.DoubleType())
+
+
+def normalize_text(c: Column) -> Column:
+    """Text for matching, compatibility forms brought to one form first; see text.normalize_words for the rest."""
+    return tx.normalize_words(nfkc(c))

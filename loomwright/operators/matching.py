@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.window import Window
 
+from loomwright.functions import stateful as st
 from loomwright.functions import text as tx
 from loomwright.functions import vectors as vx
 from loomwright.session import cut, widen
@@ -243,10 +244,10 @@ def fill_tags(rows: DataFrame, key: str, field: str, tags: str, encode: Callable
     vocabulary = rows.select(F.explode(F.split(F.col(tags), "[;；]+")).alias("t")).select(tx.non_blank(F.col("t")).alias("tag")).where("tag is not null").distinct()
     empty = rows.where(tx.is_blank(F.col(tags)) & ~tx.is_blank(F.col(field)))
     parts = F.filter(F.transform(F.split(F.col(field), r"[;；,，/、\\|]+"), tx.blank_trim), lambda x: x != "")
-    asked = empty.select(key, F.posexplode(F.concat(parts, F.array(field))).alias("pos", "x")).select(key, "pos", tx.normalize_words(F.col("x")).alias("text")).where("text <> ''")
+    asked = empty.select(key, F.posexplode(F.concat(parts, F.array(field))).alias("pos", "x")).select(key, "pos", st.normalize_text(F.col("x")).alias("text")).where("text <> ''")
     asked = cut(asked)  # else the encoder would clean a text again for every n-gram
     texts = asked.select("text").distinct().select(F.concat(F.lit("q:"), "text").alias("q"), encode(F.col("text")).alias("v"))
-    named = cut(vocabulary.select("tag", tx.normalize_words(F.col("tag")).alias("text")))
+    named = cut(vocabulary.select("tag", st.normalize_text(F.col("tag")).alias("text")))
     items = named.select(F.concat(F.lit("t:"), "tag").alias("t"), encode(F.col("text")).alias("v"))
     near = cosine_candidates(cut(texts), cut(items), "q", "t", "v", k, tiers[2])
     best = F.max("score").over(Window.partitionBy("q"))

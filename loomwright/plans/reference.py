@@ -55,6 +55,7 @@ def cell(name: str, source: str, key: str, column: str, cleaner: Callable, sql:
 # -- cleaners of one column ------------------------------------------------------------------------------------------
 ENT, EXP, ACH = ("enterprises_full", "row_idx"), ("experts_full", "row_idx"), ("achievements_full", "row_idx")
 cell("text_words", "documents", "doc_id", "text", lambda c: F.md5(tx.normalize_words(c)), lambda c: f"md5({q.words(c)})")
+cell("text_normalized", "papers", "row_idx", "title", st.normalize_text, None)
 cell("text_strip_tags", *ACH, "main_function", tx.strip_tags, q.tags_out)
 cell("text_plain_html", *ACH, "main_advantage", tx.plain_html, q.html)
 cell("text_space_entities", *ACH, "main_advantage", tx.strip_space_entities, lambda c: q.rep(c, tx.SPACE_ENTITIES))
@@ -103,7 +104,8 @@ def text_joint_answer(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sft").select("sft_id", F.md5(a).alias("chosen"), F.md5(b).alias("rejected"))
 
 
-@query()
+@query(r"""with j as (select row_idx, regexp_extract(regexp_replace(research_field, '```(?:json)?', '', 'g'), '(?s)\[.*\]') as x from experts_full)
+select row_idx, unnest(from_json(x, '["VARCHAR"]')) as item from j where x <> '' and json_valid(x)""")
 def text_json_list(spark: SparkSession, d: str) -> DataFrame:
     """Entries of the cells that hold a JSON list."""
     return table(spark, d, "experts_full").select("row_idx", F.explode(tx.json_list(F.col("research_field"))).alias("item")).where("item is not null")

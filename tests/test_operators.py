@@ -347,3 +347,15 @@ def test_bpe_token_counts_equal_the_library(spark):
     texts = ["", None, "Hello, wörld 12", "企业 简介。\n\n", "ภาษาไทย"]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(ss.bpe_tokens(F.col("x"), ref.VOCABULARY, ref.BPE_PATTERN)).collect()]
     assert got == [len(t.encode(x, add_special_tokens=False).ids) if x else 0 for x in texts]
+
+
+def test_first_seen_in_a_stream(spark, tmp_path):
+    from loomwright.streaming.cleaning import first_seen
+
+    rows = [("2024-01-01 00:00:00", "a"), ("2024-01-01 00:10:00", "a"), ("2024-01-01 00:20:00", "b"), (None, "c")]
+    df = spark.createDataFrame(rows, "ts string, k string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = first_seen(src.where("ts is not null"), "ts", ["k"]).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["k"] for r in spark.table("seen").collect()) == ["a", "b"]

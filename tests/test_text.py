@@ -88,3 +88,15 @@ def test_described_rules_never_fail(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
     got = df.select("x", *[f(F.col("x")).alias(n) for n, f in DESCRIBERS.items()]).collect()
     assert len(got) == len(texts) and all(r[n] is not None for r in got for n in DESCRIBERS)
+
+
+def test_normalized_text_and_entities(spark):
+    import html
+    import unicodedata
+
+    texts = ["ＡＩ，机器/学习;云（x）+-", "Ⅳ号①㎡ﬁ", None, "", "&amp;lt; &eacute;&#x4e2d;&nbsp; ", "&#38;", " \u3000", "é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = df.select("i", stateful.normalize_text(F.col("x")).alias("n"), stateful.nfkc(F.col("x")).alias("k"), stateful.html_unescape(F.col("x")).alias("u")).orderBy("i").collect()
+    assert got[0]["n"] == "AI 机器 学习 云 x +-" and got[1]["n"] == "IV号1m2fi" and got[2]["n"] is None and got[3]["n"] == ""
+    assert [r["k"] for r in got] == [x and unicodedata.normalize("NFKC", x) if x else x for x in texts]
+    assert [r["u"] for r in got] == [None if x is None else html.unescape(x.strip()).strip() or None for x in texts]
