@@ -81,10 +81,10 @@ cell("text_full_width", *EXP, "application", tx.full_width_marks, lambda c: q.tr
 cell("text_safe_name", "papers", "row_idx", "arxiv_id", tx.safe_name, lambda c: q.rep(c, "[^0-9A-Za-z]+", "_"))
 cell("text_one_line", "papers", "row_idx", "abstract", lambda c: F.md5(F.translate(c, "\n", " ")), lambda c: f"md5(replace({c}, chr(10), ' '))")
 cell("text_slash_list", *EXP, "application", lambda c: F.replace(c, F.lit("/"), F.lit(";")), lambda c: f"replace({c}, '/', ';')")
-cell("text_list_cell", *ACH, "application", tx.list_cell, None)
-cell("text_renumbered", *ACH, "analyse_contect", tx.renumbered, None)
-cell("text_scenario", *ACH, "aplication_field_scenario", tx.scenario_text, None)
-cell("text_need_content", *ACH, "analyse_contect", tx.need_content, None)
+cell("text_list_cell", *ACH, "application", tx.list_cell, q.list_cell)
+cell("text_renumbered", *ACH, "analyse_contect", tx.renumbered, q.renumbered)
+cell("text_scenario", *ACH, "aplication_field_scenario", tx.scenario_text, q.scenario)
+cell("text_need_content", *ACH, "analyse_contect", tx.need_content, q.need_content)
 
 
 @query(f"select row_idx, {q.append('duty', 'professional_title', ';')} as duty, {q.append('btype_name', 'college')} as btype_name from experts_full")
@@ -703,19 +703,30 @@ def clean_experts(spark: SparkSession, d: str) -> DataFrame:
     return ent.clean_experts(table(spark, d, "experts_full"))
 
 
-@query()
+def _achievement_sql(columns: list[str]) -> str:
+    fixes = {"analyse_contect": q.renumbered, "application": q.list_cell, "aplication_field_scenario": q.scenario, "main_function": q.html, "main_advantage": q.html, "scene_lable": q.label, "chain_lable": q.label}
+    a = f"select row_idx, {', '.join(f'{q.fill(c)} as {c}' for c in columns)} from achievements_full"
+    a = f"select row_idx, {', '.join(f'{fixes[c](c)} as {c}' if c in fixes else c for c in columns)} from ({a})"
+    a = f"select * replace ({q.title('title')} as title) from ({a}) where {q.trim('analyse_contect')} <> '无' and title <> analyse_contect"
+    return f"select * from (select * from ({a}) qualify row_number() over (partition by title order by row_idx) = 1) where {q.trim('analyse_contect')} not in ('', '-')"
+
+
+_ACHIEVEMENT = ["title", "analyse_contect", "application", "aplication_field_scenario", "main_function", "main_advantage", "scene_lable", "chain_lable"]
+
+
+@query(_achievement_sql(["title", "analyse_contect"]))
 def clean_achievements(spark: SparkSession, d: str) -> DataFrame:
     return ent.clean_achievements(table(spark, d, "achievements_full"))
 
 
-@query()
+@query(_achievement_sql(_ACHIEVEMENT))
 def clean_achievements_full(spark: SparkSession, d: str) -> DataFrame:
     """With the columns the default leaves out."""
-    keep = ["title", "analyse_contect", "application", "aplication_field_scenario", "main_function", "main_advantage", "scene_lable", "chain_lable"]
-    return ent.clean_achievements(table(spark, d, "achievements_full"), keep=keep)
+    return ent.clean_achievements(table(spark, d, "achievements_full"), keep=_ACHIEVEMENT)
 
 
-@query()
+@query(f"""with a as (select row_idx, {q.without(q.fill('title'), tx.TITLE_LITERALS)} as title, {q.need_content('analyse_contect')} as analyse_contect, replace({q.fill('application')}, '/', ';') as application from achievements_full)
+select * from (select * from a qualify row_number() over (partition by title order by row_idx) = 1) where {q.trim('title')} <> '1' and not {q.is_blank('title')} and not {q.is_blank('analyse_contect')}""")
 def clean_needs(spark: SparkSession, d: str) -> DataFrame:
     """The demand pipeline over the achievement table, whose columns are the same but for the publisher."""
     return ent.clean_needs(table(spark, d, "achievements_full").select("row_idx", "title", "analyse_contect", "application"))
