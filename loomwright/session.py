@@ -66,6 +66,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Remove the tables `cut` has written for this application: for long sessions, once the results that read them are written."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Bytes (of the rows in memory) a side may have to be broadcast; beyond it the join is left to Catalyst.
 BROADCAST_BYTES = 64 << 20
 

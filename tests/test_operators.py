@@ -359,3 +359,18 @@ def test_first_seen_in_a_stream(spark, tmp_path):
     q = first_seen(src.where("ts is not null"), "ts", ["k"]).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["k"] for r in spark.table("seen").collect()) == ["a", "b"]
+
+
+def test_cut_tables_and_broadcasts_by_size(spark):
+    from loomwright.session import cut, drop_cuts, shared_folder, small
+
+    df = spark.createDataFrame([(1, "a", [1.0], None), (2, None, None, ("x", 1))], "i int, s string, v array<double>, t struct<a string, b int>")
+    written = cut(df)
+    assert {r["i"] for r in written.collect()} == {1, 2} and written.schema == df.schema and cut(df.limit(0)).count() == 0
+    plan = lambda d: d._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint" in plan(small(written)) and "ResolvedHint" not in plan(small(written, 10)) and small(cut(df.limit(0))).count() == 0
+    drop_cuts(spark)
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    assert not Path(urlparse(shared_folder(spark)).path, spark.sparkContext.applicationId).exists()
