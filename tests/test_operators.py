@@ -368,7 +368,7 @@ def test_cut_tables_and_broadcasts_by_size(spark):
     written = cut(df)
     assert {r["i"] for r in written.collect()} == {1, 2} and written.schema == df.schema and cut(df.limit(0)).count() == 0
     plan = lambda d: d._jdf.queryExecution().logical().toString()
-    assert "ResolvedHint" in plan(small(written)) and "ResolvedHint" not in plan(small(written, 10)) and small(cut(df.limit(0))).count() == 0
+    assert "Hint broadcast" in plan(small(written)) and "Hint broadcast" not in plan(small(written, 10)) and small(cut(df.limit(0))).count() == 0
     drop_cuts(spark)
     from pathlib import Path
     from urllib.parse import urlparse
