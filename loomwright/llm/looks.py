@@ -29,6 +29,8 @@ LOOK_ALIKES = {
 HYPHENS = "‐‑‒–−﹘﹣－⁃˗"
 RADICALS = {"⺟": "母", "⺠": "民", "⻁": "虎", "⻄": "西", "⻅": "见", "⻆": "角", "⻉": "贝", "⻋": "车", "⻓": "长", "⻔": "门", "⻘": "青", "⻙": "韦", "⻚": "页", "⻛": "风", "⻜": "飞", "⻝": "食", "⻢": "马", "⻣": "骨", "⻤": "鬼", "⻥": "鱼", "⻦": "鸟", "⻨": "麦", "⻩": "黄", "⻬": "齐", "⻮": "齿", "⻰": "龙", "⻳": "龟", "⺎": "兀", "⻑": "長", "⺌": "小", "⺮": "竹", "⺶": "羊", "⺷": "羊", "⻌": "辶", "⺼": "月"}
 OTHER = {"‛": "'", "ʼ": "’", "․": ".", "∶": ":", "︰": ":", "꞉": ":", "⁄": "/", "∕": "/", "ǀ": "|", "∣": "|", "‚": ",", "⸴": ",", "･": "・", "·": "·", "•": "•", "〇": "〇"}
+#: The table and field of each kind of text the queries bring to one form.
+FIELDS = {"enterprises_full": "business", "experts_full": "research_field", "achievements_full": "title", "papers": "title"}
 #: Decompositions that only change the look's encoding; raised, lowered, encircled, squared and fractional forms look different.
 _SAME_LOOK = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>"}
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
+
+from loomwright.llm import looks
+
 #: A category without white space and punctuation at its ends (RE2 classes).
 _CLEAN = r"regexp_replace(regexp_replace(category, '^[\s\pP\pS\pZ\pC]+', ''), '[\s\pP\pS\pZ\pC]+$', '')"
 _QUOTA = f"""
@@ -46,8 +50,17 @@ ranked as (select row_idx, c, b, m, dense_rank() over (partition by c, b, m orde
 select row_idx, c as category from ranked join (select c, b, m, take from take) using (c, b, m) where r <= take"""
 
 
+def _forms() -> dict[str, str]:
+    """The SQL of the forms; the look-alikes of further scripts come from the ICU library of a running session."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return {}
+    form = looks.look_sql("t", looks.confusables(spark))
+    return {"p7_forms": " union all ".join(f"select '{t}' as source_table, '{f}' as field_name, row_idx, {form} as form from (select row_idx, {f} as t from {t} where {f} is not null)" for t, f in looks.FIELDS.items())}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
+    return _forms() | {
         "p6_found": _QUOTA + "select category from goal where available < wanted",
         "p6_report": _REPORT + " select * from report",
         "p6_sample": _SAMPLE,

@@ -83,11 +83,8 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return quota.quota_report(table(spark, d, "enterprises_full"), table(spark, d, "category_targets"), 0.2)
 
 
-_LOOKS = {"enterprises_full": "business", "experts_full": "research_field", "achievements_full": "title", "papers": "title"}
-
-
 def _looks(spark: SparkSession, d: str) -> DataFrame:
-    parts = [table(spark, d, t).select(F.lit(t).alias("source_table"), F.lit(f).alias("field_name"), "row_idx", F.col(f).alias("text")) for t, f in _LOOKS.items()]
+    parts = [table(spark, d, t).select(F.lit(t).alias("source_table"), F.lit(f).alias("field_name"), "row_idx", F.col(f).alias("text")) for t, f in looks.FIELDS.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
