@@ -20,9 +20,11 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,21 +48,47 @@ def one_form(text: str | None) -> str:
     return "".join(_KEEP.findall(unicodedata.normalize("NFKC", text or "").casefold()))
 
 
-def chunks(text: str) -> list[tuple[int, int]]:
-    """(digest, length) of the content-defined chunks of a text."""
-    if not text:
-        return []
-    n = len(text)
-    cuts = [n]
+#: Odd base of the digests, and its inverse modulo 2**64: a chunk's digest is a polynomial of its letters, taken from sums over the whole text.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    out = []
+    for x in (_BASE, _INVERSE):
+        steps = np.full(n, x, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+def cut_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(digests, lengths) of the content-defined chunks of a text that is not empty, in order."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(c)
+    size = 1 << max(10, (n + 1).bit_length())
+    up, down = _powers(size)
+    ends = np.array([n])
     if n > WINDOW:
-        c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
         h = np.zeros(n - WINDOW + 1, np.uint64)
         for j in range(WINDOW):
             h = h * np.uint64(0x100000001B3) + c[j : n - WINDOW + 1 + j]
         h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-        cuts = [int(i) + WINDOW for i in np.flatnonzero(h % np.uint64(MEAN) == 0) if i + WINDOW < n] + [n]
-    starts = [0, *cuts[:-1]]
-    return [(xxhash.xxh64_intdigest(text[a:z]) - (1 << 63), z - a) for a, z in zip(starts, cuts)]
+        found = np.flatnonzero(h % np.uint64(MEAN) == 0) + WINDOW
+        ends = np.append(found[found < n], n)
+    starts = np.append(0, ends[:-1])
+    sums = np.append(np.uint64(0), np.add.accumulate((c + np.uint64(1)) * down[:n]))
+    digest = (sums[ends] - sums[starts]) * up[starts]
+    lengths = ends - starts
+    digest = (digest ^ (digest >> np.uint64(29)) ^ lengths.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (digest ^ (digest >> np.uint64(32))).view(np.int64), lengths
+
+
+def chunks(text: str) -> list[tuple[int, int]]:
+    """(digest, length) of the content-defined chunks of a text."""
+    return list(zip(*(x.tolist() for x in cut_places(text)))) if text else []
 
 
 def dice(a: str, b: str) -> float:
@@ -97,17 +125,21 @@ def _linked(rows: DataFrame, key: str, prompt: list[str], output: str, split: st
     records = records.withColumns({"id": F.xxhash64("rec"), "size": F.length("p") + F.length("o")})
     both_sides = cut(records)
 
-    @F.pandas_udf("array<struct<chunk: bigint, n: int>>")
-    def cut_up(p: pd.Series, o: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(p, o):
-            c: Counter = Counter()
-            for d, n in chunks(a + b):
-                c[d] += n
-            out.append([{"chunk": d, "n": n} for d, n in c.items()])
-        return pd.Series(out)
-
-    parts = lambda flag: both_sides.where(flag).select("id", "size", F.inline(cut_up("p", "o")))
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            digests, lengths, many = [], [], []
+            for p, o in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                d, n = cut_places(p + o)
+                d, at = np.unique(d, return_inverse=True)  # a chunk that a record has twice counts with both lengths
+                digests.append(d)
+                lengths.append(np.bincount(at, n, len(d)).astype(np.int64))
+                many.append(len(d))
+            if many:
+                columns = [np.repeat(ids, many), np.repeat(sizes, many), np.concatenate(digests), np.concatenate(lengths)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["id", "size", "chunk", "n"])
+
+    parts = lambda flag: both_sides.where(flag).select("id", F.col("size").cast("long"), "p", "o").mapInArrow(cut_up, "id long, size long, chunk long, n long")
     others, trains = cut(parts("in_other")), cut(parts("in_train").select("id", "chunk", "n"))
     # how many training records have each chunk of the others; what none has can't be shared, but stands for length not shared
     wanted = others.select("chunk").distinct()
