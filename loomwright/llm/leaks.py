@@ -140,7 +140,7 @@ def _linked(rows: DataFrame, key: str, prompt: list[str], output: str, split: st
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["id", "size", "chunk", "n"])
 
     parts = lambda flag: both_sides.where(flag).select("id", F.col("size").cast("long"), "p", "o").mapInArrow(cut_up, "id long, size long, chunk long, n long")
-    others, trains = cut(parts("in_other")), cut(parts("in_train").select("id", "chunk", "n"))
+    others, trains = cut(parts("in_other")), cut(parts("in_train"))
     # how many training records have each chunk of the others; what none has can't be shared, but stands for length not shared
     wanted = others.select("chunk").distinct()
     common = cut(trains.join(wanted, "chunk", "left_semi"))
@@ -148,11 +148,11 @@ def _linked(rows: DataFrame, key: str, prompt: list[str], output: str, split: st
     ranked = others.join(df, "chunk", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     before = F.sum("n").over(Window.partitionBy("id").orderBy("df", "chunk").rowsBetween(Window.unboundedPreceding, -1))
     heads = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") <= (1 - tail) * F.col("size")) & (F.col("df") > 0))
-    sizes = both_sides.where("in_train").select(F.col("id").alias("train"), F.col("size").alias("size_b"))
-    met = heads.select(F.col("id").alias("other"), F.col("size").alias("size_a"), "chunk", F.col("n").alias("n_a")).join(common.select(F.col("id").alias("train"), "chunk", F.col("n").alias("n_b")), "chunk").where("other <> train")
-    met = met.groupBy("other", "train").agg(F.sum(F.least("n_a", "n_b")).alias("shared"), F.first("size_a").alias("size_a")).where(F.col("shared") >= (overlap - tail) * F.col("size_a"))
+    shared = common.select(F.col("id").alias("train"), F.col("size").alias("size_b"), "chunk", F.col("n").alias("n_b"))
+    met = heads.select(F.col("id").alias("other"), F.col("size").alias("size_a"), "chunk", F.col("n").alias("n_a")).join(shared, "chunk")
     longer, shorter = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
-    met = met.join(sizes, "train").where((shorter >= overlap * longer) & (F.col("shared") >= (overlap - tail) * longer)).select("other", "train")
+    met = met.where((F.col("other") != F.col("train")) & (shorter >= overlap * longer)).select("other", "train", longer.alias("longer"), F.least("n_a", "n_b").alias("n"))
+    met = met.groupBy("other", "train").agg(F.sum("n").alias("shared"), F.max("longer").alias("longer")).where(F.col("shared") >= (overlap - tail) * F.col("longer")).select("other", "train")
     texts = both_sides.select("id", "rec", "p", "o", "size")
     both = met.join(texts.selectExpr("id as other", "rec as rec_a", "p as pa", "o as oa", "size as size_a"), "other").join(texts.selectExpr("id as train", "rec as rec_b", "p as pb", "o as ob", "size as size_b"), "train")
 
