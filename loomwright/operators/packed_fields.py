@@ -7,8 +7,8 @@ A value's code length is -log2 of its share of all values of the corpus, or, if
 rare, what its characters cost; a delimiter inside a value is a dear character.
 
 Distinct cells are parsed once, and once more by the dialect chosen; in between only digests of values move. Counts of
-values and code lengths are sums over shuffled keys. The delimiters of a cell are tried alone, in pairs, all together and
-all but one: every set of up to four kinds, and of more kinds a number that grows with their square, not as a power of two.
+values and code lengths are sums over shuffled keys. The delimiters of a cell are tried alone, in pairs, in threes, all together
+and all but one: every set of up to five kinds, and of more kinds a number that grows with their cube, not as a power of two.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def readings(cell: str) -> list[tuple[str, float, list[str]]]:
     seen = {(s,)} | {tuple(x[2]) for x in out}
     quoted = any(q in inner for q in QUOTES)
     k = len(present)
-    ways = [names for size in sorted({1, 2, k - 1, k} & set(range(1, k + 1))) for names in combinations(present, size)]
+    ways = [names for size in sorted({1, 2, 3, k - 1, k} & set(range(1, k + 1))) for names in combinations(present, size)]
     for names in sorted(ways, key=lambda w: not BLANKS.keys().isdisjoint(w)):
         for with_quotes in (True, False) if quoted else (False,):
             values = _split(inner, _delimiter(names), with_quotes)

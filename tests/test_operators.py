@@ -96,14 +96,14 @@ def test_readings_of_one_cell():
     assert readings("教授")[0][2] == ["教授"] and len(readings("教授")) == 1
 
 
-def test_readings_grow_with_the_square_of_the_kinds_of_delimiters():
+def test_readings_grow_with_the_cube_of_the_kinds_of_delimiters():
     from itertools import combinations
 
-    cell = "甲；乙，丙、丁/戊"
+    cell = "甲；乙，丙、丁/戊|己"
     sets = {tuple(x[0].split("+")) for x in readings(cell)[1:]}
-    kinds = ("semicolon", "comma", "enumeration_comma", "slash")
-    assert sets == {c for n in range(1, 5) for c in combinations(kinds, n)}
-    assert len(readings("甲；乙，丙、丁/戊\\己|庚\t辛\n壬<br>癸  子")) < 80
+    kinds = ("semicolon", "comma", "enumeration_comma", "slash", "bar")
+    assert sets == {c for n in range(1, 6) for c in combinations(kinds, n)}
+    assert len(readings("甲；乙，丙、丁/戊\\己|庚\t辛\n壬<br>癸  子")) < 200
 
 
 def test_packed_values(spark):
