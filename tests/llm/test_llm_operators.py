@@ -1,6 +1,7 @@
 """The language-model operators on small tables: brute force, exact round trips, nulls, ties, empty tables."""
 
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -280,6 +281,67 @@ def test_copies_equal_brute_force(spark, folder):
     assert all(cls[a] == cls[b] <= min(a, b) for a, b in want)
 
 
+def test_copies_among_many_alike_write_no_pairs(spark):
+    """Records of few phrases all meet each other: what is shuffled stays a small part of the texts."""
+    r = random.Random(8)
+    phrases = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(12)) for _ in range(40)]
+    text = lambda: "".join(r.sample(phrases, 12))
+    rows = [(i, text(), text(), "train" if i % 4 else "val") for i in range(2000)]
+    rows += [(5000, rows[1][1], rows[1][2], "test"), (5001, rows[2][1], rows[2][2][:70] + rows[2][2][71:], "val")]
+    df = spark.createDataFrame(rows, "sft_id long, instruction string, output string, split_name string")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> dict[str, int]:
+        out, files = {}, disk.getAllFiles().iterator()
+        while files.hasNext():
+            f = files.next()
+            out[f.getName()] = f.length() if f.getName().startswith("shuffle") else 0
+        return out
+
+    before = shuffled()
+    got = {(x[0], x[1]) for x in leaks.cross_split_copies(df, "sft_id", ["instruction"], "output", "split_name").select("sft_id_a", "sft_id_b").collect()}
+    assert got >= {(1, 5000), (2, 5001)}
+    assert sum(n for f, n in shuffled().items() if f not in before) < 0.15 * sum(len((a + b).encode()) for _, a, b, _ in rows)
+
+
+def test_overlaps_of_blocks_equal_brute_force(tmp_path, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    r = random.Random(9)
+    words = ["".join(r.choice("阿波次德额夫哥何衣机克勒") for _ in range(r.randrange(1, 9))) for _ in range(60)]
+    texts = ["".join(r.choice(words) for _ in range(r.randrange(1, 16))) for _ in range(160)]
+    texts = list(dict.fromkeys(texts + [t[:-3] + t[-2:] for t in texts if len(t) > 5]))
+    sets = [Counter() for _ in texts]
+    for t, c in zip(texts, sets):
+        for d, n in leaks.chunks(t):
+            c[d] += n
+    owner, digest, n = leaks.chunk_sets(texts)
+    assert all(dict(zip(digest[owner == i], n[owner == i])) == c for i, c in enumerate(sets))
+    sides = range(0, len(texts), 3), [i for i in range(len(texts)) if i % 3]
+    counters = np.zeros(1 << leaks.COUNTER_BITS, np.int32)
+    for i in sides[1]:
+        counters[leaks._buckets(np.array(list(sets[i]), np.int64))] += 1
+    for at, part in enumerate((sides[0][:30], sides[0][30:])):
+        own = [texts[i] for i in part]
+        owner, digest, n = leaks.chunk_sets(own)
+        times = counters[leaks._buckets(digest)]
+        order, head = leaks.in_head(owner, digest, n, np.array([len(t) for t in own]), times, leaks.TAIL)
+        order, head = order[times[order] > 0], head[times[order] > 0]
+        by = [[k for k in order if owner[k] == i] for i in range(len(own))]
+        heads = [int(head[owner[order] == i].sum()) for i in range(len(own))]
+        pq.write_table(pa.table({"id": list(part), "size": [len(t) for t in own], "head": pa.array(heads, pa.int32()), "chunk": [digest[k].tolist() for k in by], "n": pa.array([n[k].tolist() for k in by], pa.list_(pa.int32()))}), tmp_path / f"{at}.parquet")
+    files = tuple((tmp_path / f"{at}.parquet").as_uri() for at in (0, 1))
+    want = {(i, j) for i in sides[0] for j in sides[1] if sum((sets[i] & sets[j]).values()) / max(len(texts[i]), len(texts[j])) >= leaks.OVERLAP}
+    assert len(want) > 50
+    for block, met in ((7, 20), (40_000, 2_000_000)):
+        monkeypatch.setattr(leaks, "BLOCK", block)
+        monkeypatch.setattr(leaks, "MET", met)
+        found = leaks._overlapping(np.array(sides[1]), [texts[j] for j in sides[1]], files, counters, leaks.OVERLAP, leaks.TAIL)
+        assert {(int(a), int(b)) for x, y in found for a, b in zip(x, y)} == want
+
+
 def test_short_and_periodic_outputs():
     prompt = "请用一个短语说明该公司的主营方向并给出理由"
     assert leaks.is_copy(prompt, "高端温控阀门研发", prompt, "高端温控阀门研发商")
