@@ -418,7 +418,8 @@ def build_both_present(spark: SparkSession, d: str) -> DataFrame:
     """Experts of types with both gathered tags and people of a college."""
     e = table(spark, d, "experts_full").where("btype_name is not null")
     people = e.where("college is not null").groupBy("btype_name").agg(F.count("*").cast("string").alias("people"))
-    both = asm.attach(asm.attach(e, asm.group_set_concat(e, "btype_name", "application"), "btype_name", "tags"), people, "btype_name", "people")
+    rows = asm.by_key(e.select("row_idx", "btype_name"), "btype_name", "row_idx")
+    both = asm.attach(asm.attach(rows, people, "btype_name", "people"), asm.group_set_concat(e, "btype_name", "application"), "btype_name", "tags")
     return asm.both_present(both, "tags", "people").select("row_idx", "tags", "people")
 
 

@@ -1,5 +1,8 @@
 """Operators on small hand-made tables: nulls, ties, repeated rows, empty tables, clashing names."""
 
+import random
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from loomwright.operators import rows as ro
 from loomwright.operators import sampling as sm
 from loomwright.operators import venues as vn
 from loomwright.operators.packed_fields import cells_of, packed_values, readings
+from loomwright.plans import reference
 from loomwright.sources import io
 from loomwright.streaming.cleaning import clean_stream, windowed_counts
 
@@ -374,3 +378,19 @@ def test_cut_tables_and_broadcasts_by_size(spark):
     from urllib.parse import urlparse
 
     assert not Path(urlparse(shared_folder(spark)).path, spark.sparkContext.applicationId).exists()
+
+
+@pytest.mark.parametrize("name", ["build_both_present"])
+def test_long_texts_of_a_key_are_written_once(spark, tmp_path, name):
+    """Six types with 300 kB of tags each, and 360 rows: 108 MB of texts, of which a file needs each but once."""
+    r = random.Random(4)
+    tag = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    rows = [(i, f"type{i % 6}", ";".join(tag() for _ in range(120)), "college") for i in range(360)] + [(1000, None, "x", None), (1001, "none", " ", "college")]
+    spark.createDataFrame(rows, "row_idx long, btype_name string, application string, college string").write.parquet(f"{tmp_path}/in/experts_full.parquet")
+    reference.QUERIES[name](spark, f"{tmp_path}/in").write.parquet(f"{tmp_path}/out")
+    got = {x.row_idx: x.tags for x in spark.read.parquet(f"{tmp_path}/out").collect()}
+    for k in range(6):
+        want = "；".join(sorted({x for i, t, a, _ in rows if t == f"type{k}" for x in a.split(";")}))
+        assert all(got[i] == want for i in range(k, 360, 6))
+    assert {i for i in got if i >= 360} == ({1000, 1001} if name == "build_attached" else set())
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 8e6
