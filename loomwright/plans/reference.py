@@ -358,7 +358,8 @@ def build_group_sets(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with s as ({_SETS}) select row_idx, coalesce(tags, '') as tags from experts_full left join s using (btype_name)")
 def build_attached(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "experts_full")
-    return asm.attach(e, asm.group_set_concat(e.where("btype_name is not null"), "btype_name", "application"), "btype_name", "tags").select("row_idx", "tags")
+    rows = asm.by_key(e.select("row_idx", "btype_name"), "btype_name", "row_idx")
+    return asm.attach(rows, asm.group_set_concat(e.where("btype_name is not null"), "btype_name", "application"), "btype_name", "tags").select("row_idx", "tags")
 
 
 @query(f"with t as (select distinct lower(left(arxiv_id, 4)) as k, concat_ws('：', {q.non_blank('title')}, {q.non_blank('journal_level')}) as item from papers where arxiv_id is not null), m as (select k, item, row_number() over (partition by k order by item) as i, case when contains(item, '：') then strpos(item, '：') else strpos(item, ':') end as mark from t where item <> ''), n as (select k, i, concat_ws('————', nullif({q.trim("case when mark > 0 then left(item, mark - 1) else item end")}, ''), nullif({q.trim("case when mark > 0 then substr(item, mark + 1) else '' end")}, '')) as body from m) select k, md5(string_agg(case when body = '' then '' else '成果' || i || '：' || body end, '' order by i)) as achievements from n group by k")

@@ -380,7 +380,7 @@ def test_cut_tables_and_broadcasts_by_size(spark):
     assert not Path(urlparse(shared_folder(spark)).path, spark.sparkContext.applicationId).exists()
 
 
-@pytest.mark.parametrize("name", ["build_both_present"])
+@pytest.mark.parametrize("name", ["build_attached", "build_both_present"])
 def test_long_texts_of_a_key_are_written_once(spark, tmp_path, name):
     """Six types with 300 kB of tags each, and 360 rows: 108 MB of texts, of which a file needs each but once."""
     r = random.Random(4)
