@@ -212,7 +212,7 @@ def keys(full: DataFrame) -> tuple[DataFrame, DataFrame]:
     b = full.where("marks is not null").select("id", "han", "bare", F.col("brand").alias("b"), "marks")
     b = b.withColumn("hot", F.exists("marks", lambda m: m["kind"].isin("e", "a") & (m["n"] > HOT))).withColumn("tol", F.expr(TOLERANCE.format(d=0)))
     marked = b.withColumn("m", F.explode("marks")).select("id", "han", "bare", "b", "hot", "tol", "m.kind", "m.mark", (F.col("m.kind").isin("e", "a") & (F.col("m.n") > HOT)).alias("very"))
-    single, least_k = F.col("kind").isin("e", "a"), F.expr("if(hot, 2, 3)")  # two edits are found by one mark already, unless very many have it
+    single, least_k = F.col("kind").isin("e", "a"), F.expr("if(hot, 1, 3)")  # up to two edits are found by one mark already, unless very many have it: then short brands are not
     # k of a pair goes by the longer brand: a brand is cut for every k that a longer one may have
     ks = F.expr("array_distinct(transform(sequence(0, length(b) + 1), d -> " + TOLERANCE.format(d="d") + "))")
     plain = marked.where(single & ~F.col("very")).withColumn("k", F.lit(2))
@@ -228,12 +228,18 @@ def keys(full: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = F.col("id").alias(name)
         out = parts.select(own, key(F.lit("x"), "k", "l", "part"))
         out = out.unionByName(marked.where("very").select("id", "han", "mark", F.explode(F.expr(two)).alias("part")).select(own, key(F.lit("t"), "part")))
+        swapped = marked.where("very and length(b) = 3").withColumn("part", F.array_join(F.array_sort(F.split("b", "")), ""))  # a swap leaves one of three letters in place
+        out = out.unionByName(swapped.select(own, key(F.lit("u"), "part")))
         out = out.unionByName(marked.where(single).select("id", "han", "mark", F.explode(short).alias("part")).select(own, key(F.lit("s"), "part")))
         return out.unionByName(marked.where((F.col("kind") == "p") & whole).select(own, key(F.lit("w"))))
 
     own = side("x", found_by(cut_for), TWO_SEGMENTS, F.array("b"), ~F.col("bare"))
     seek = side("y", looked_up(asked_for), TWO_SUBSTRINGS, short, F.col("bare"))
     equal = F.array_compact(F.array(F.when(F.col("cap") != "", F.xxhash64(F.lit("c"), "han", "brand", "cap")), F.when(~F.col("bare"), F.xxhash64(F.lit("r"), "han", "brand", "rest"))))
+    # a short form with a slip is further than k: by date, address and capital together
+    three = F.col("id"), F.xxhash64(F.lit("q"), "han", "est", "addr", "cap").alias("key")
+    known = full.where("est <> '' and addr <> '' and cap <> ''")
+    own, seek = (d.unionByName(known.select(three[0].alias(c), three[1])) for d, c in ((own, "x"), (seek, "y")))
     thin = F.col("bare") | (F.col("est") == "") | (F.col("addr") == "")
     return own.unionByName(full.select(F.col("id").alias("x"), F.explode(equal).alias("key"))), seek.unionByName(full.where(thin).select(F.col("id").alias("y"), F.explode(equal).alias("key")))
 

@@ -430,6 +430,21 @@ def _linked(spark, rows):
     return {r[0]: r[1] for r in names.link_names(df, *cols).collect()}
 
 
+def test_dates_and_addresses_of_very_many_lose_no_link(spark, monkeypatch):
+    """What one date or address finds of few rows is found where very many have it: short brands with an edit, swaps, short forms with a slip."""
+    pairs = [("普", "普耀"), ("旭曦", "旭珂"), ("甲乙丙", "乙甲丙"), ("甲乙丙", "甲丙乙"), ("永曦腾", "永曦"), ("abcdefghi", "abcdxfghi")]
+    rows = []
+    for i, (a, b) in enumerate(pairs):
+        facts = (f"20{i:02d}-03-04", f"长桥路{i + 1}号", "100万" if i != 2 else None, None)
+        rows += [(10 * i, a + "有限公司", *facts), (10 * i + 1, b + "有限公司", *(facts if i != 2 else (facts[0], None, None, None)))]
+    df = spark.createDataFrame(rows, "k long, n string, e string, a string, c string, t string")
+    link = lambda: {r[0]: r[1] for r in names.link_names(df, "k", "n", "e", "a", "c", "t").collect()}
+    few = link()
+    assert all(few[10 * i + 1] == 10 * i for i in range(len(pairs)))
+    monkeypatch.setattr(names, "HOT", 0)
+    assert link() == few
+
+
 def test_a_hot_organisation_keeps_its_brand(spark):
     home, day, cap = "湖北省武汉市东湾区云帆路12号", "2001-02-03", "100万元"
     spelt = ["武汉晨曦鼎力电子科技有限公司", "晨曦鼎力（武汉）电子科技有限公司", "武汉晨曦鼎立电子科技公司", "武汉晨曦丁力电子科技公司", "武汉市晨曦鼎力电子科技集团"]
