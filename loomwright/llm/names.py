@@ -61,8 +61,8 @@ def generic_grams(plain: str, han: bool) -> set[str]:
 
 
 def clipped(generic: frozenset[str]) -> frozenset[str]:
-    """Two-character short forms of generic words of four: first with second or third character."""
-    return frozenset(x for g in generic if len(g) == 4 and _HAN.match(g) for x in (g[:2], g[0] + g[2]))
+    """Two-character short forms of generic words of four: first with second, third or fourth character."""
+    return frozenset(x for g in generic if len(g) == 4 and _HAN.match(g) for x in (g[:2], g[0] + g[2], g[0] + g[3]))
 
 
 def brand_of(plain: str, han: bool, generic: frozenset[str], short: frozenset[str]) -> tuple[str, str]:
@@ -265,14 +265,14 @@ def link_names(rows: DataFrame, key: str, name: str, founded: str, address: str,
     profiles = cut(profiles)
 
     # generic words: an n-gram of at least a fixed share of the organisations; their number is bounded by n-grams a name / share.
-    # An organisation counts once however often it is typed: by its address, else by date and capital; names without
-    # any of them count as one, or, where no row has any, each as its own.
+    # An organisation counts once however often it is typed: by the first two it has of address, date and capital, as one
+    # alone is that of many organisations in a large table; names without any of them count as one, or, where no row has any, each as its own.
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame([(g, h, o) for p, h, o in zip(f["plain"], f["han"], f["org"]) for g in generic_grams(p, h)], columns=["gram", "han", "org"])
 
     marked = profiles.where("addr <> '' or est <> '' or cap <> ''").limit(1).count()
-    mark = F.when(F.col("addr") != "", F.concat(F.lit("a"), "addr")).otherwise(F.concat_ws("|", F.lit("e"), "est", "cap"))
+    mark = F.slice(F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c} "), c)) for c in ("addr", "est", "cap")])), 1, 2)
     orgs = profiles.select("plain", "han", F.xxhash64(mark if marked else F.col("plain")).alias("org")).distinct()
     total = orgs.select("han", "org").distinct().groupBy("han").agg(F.count("*").alias("total"))
     df = orgs.mapInPandas(grams, "gram string, han boolean, org long").distinct().groupBy("gram", "han").count()

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from datetime import date, timedelta
 
 import pytest
 from hypothesis import given, settings
@@ -456,6 +457,15 @@ def test_a_hot_organisation_keeps_its_brand(spark):
     assert {got[i] for i in range(len(hot))} == {0} and len(set(got.values())) == 1 + len(rest)
 
 
+def test_many_organisations_of_an_address_keep_their_brands(spark):
+    """Eighty firms at each of ten addresses: a word in the name of one of each address's firms is a brand, as few firms have it."""
+    r, day = random.Random(1), lambda i: str(date(1990, 1, 1) + timedelta(i))
+    other = lambda n: "".join(chr(r.randrange(0x5000, 0x9000)) for _ in range(n))
+    rows = [(i, ("晨曦" + other(2) if i < 9 else other(4)) + "有限公司", day(i), f"长桥路{i % 10 + 1}号", None, None) for i in range(800)]
+    got = _linked(spark, [*rows, (800, "晨曦山河有限公司", day(800), "长桥路10号", None, None), (801, "晨曦山禾有限公司", day(800), None, None, None)])
+    assert got == {i: min(i, 800) for i in range(802)}
+
+
 def test_names_of_generic_words_meet(spark):
     own = "春夏秋冬山川河湖松竹梅兰红黄蓝白金银铜铁风雨雷电"
     rest = [(f"{own[i]}{own[(i * 7 + 3) % 24]}{own[(i * 5 + 1) % 24]}电子科技有限公司", f"1990-01-{i + 1:02}", f"白沙区拾光路{i + 1}号", f"{i + 2}万元") for i in range(24)]
