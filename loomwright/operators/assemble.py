@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwright.functions import text as tx
-from loomwright.session import cut, small
+from loomwright.session import cut, small, written_once
 
 
 def group_set_concat(df: DataFrame, key: str, column: str, sep: str = ";", out_sep: str = "；") -> DataFrame:
@@ -47,7 +47,7 @@ def group_numbered(df: DataFrame, key: str, title: str, text: str) -> DataFrame:
 def by_key(df: DataFrame, key: str, row: str) -> DataFrame:
     """df with the rows of a key in neighbouring partitions, a hot key in several: before long texts of the keys are attached.
 
-    A task then holds the texts of few keys, and a columnar file writes each of them once, as long as they fit its dictionary.
+    A task then holds the texts of few keys, and a columnar file writes each of them once, for which `attach` makes room.
     """
     spark = df.sparkSession
     return df.repartitionByRange(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key, row)
@@ -55,7 +55,8 @@ def by_key(df: DataFrame, key: str, row: str) -> DataFrame:
 
 def attach(base: DataFrame, extra: DataFrame, key: str, column: str) -> DataFrame:
     """base with a column of extra, '' where the key is missing. The rows of base stay where they are if extra is small, as measured."""
-    return base.join(small(cut(extra.select(key, column))), key, "left").withColumn(column, F.coalesce(column, F.lit("")))
+    texts = written_once(cut(extra.select(key, column)), column)
+    return base.join(small(texts), key, "left").withColumn(column, F.coalesce(column, F.lit("")))
 
 
 def company_profile(df: DataFrame) -> Column:

@@ -82,8 +82,32 @@ def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
 
     The size is measured, never assumed: the lengths of all strings and arrays are summed in one scan of the written table.
     """
+    return F.broadcast(df) if measured(df)[0] <= max_bytes else df
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """About the bytes that the rows of df take in memory, and the largest of them."""
     width = reduce(lambda a, b: a + b, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(16))
-    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes else df
+    total, most = df.agg(F.sum(width), F.max(width)).first()
+    return total or 0, most or 0
+
+
+def written_once(df: DataFrame, column: str) -> DataFrame:
+    """df (a table that `cut` has written) as it is; a Parquet file of this session then holds each of its texts once, however many rows have it.
+
+    A writer leaves its dictionary for plain texts in every row once the dictionary is full, at 1 MB unless the session says
+    more: so it says what these texts take, or, of more than BROADCAST_BYTES, two of the longest. Files are written after a
+    query has returned, so the session keeps it. A dictionary takes memory only for what it holds. Smallest and largest values
+    of the column are not kept: comparing long texts takes most of the time, and Parquet drops those above 4 kB.
+    """
+    spark = df.sparkSession
+    total, most = measured(df)
+    room = min(max(min(total, BROADCAST_BYTES), 2 * most), (1 << 31) - 1)
+    if room > int(spark.conf.get("parquet.dictionary.page.size", None) or 1 << 20):
+        spark.conf.set("parquet.dictionary.page.size", str(room))
+    if most > 4096:
+        spark.conf.set(f"parquet.column.statistics.enabled#{column}", "false")
+    return df
 
 
 def _bytes(c: Column, kind: T.DataType) -> Column:

@@ -394,3 +394,18 @@ def test_long_texts_of_a_key_are_written_once(spark, tmp_path, name):
         assert all(got[i] == want for i in range(k, 360, 6))
     assert {i for i in got if i >= 360} == ({1000, 1001} if name == "build_attached" else set())
     assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 8e6
+
+
+@pytest.mark.parametrize("name", ["build_attached"])
+def test_texts_above_a_megabyte_are_written_once(spark, tmp_path, name):
+    """A type with 1.2 MB of tags and 100 rows: 123 MB of texts, of which a file needs one; Parquet's dictionary has 1 MB unless told."""
+    r = random.Random(5)
+    tag = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    rows = [(i, "type", ";".join(tag() for _ in range(300)), "college") for i in range(100)]
+    spark.createDataFrame(rows, "row_idx long, btype_name string, application string, college string").write.parquet(f"{tmp_path}/in/experts_full.parquet")
+    reference.QUERIES[name](spark, f"{tmp_path}/in").write.parquet(f"{tmp_path}/out")
+    want = "；".join(sorted({x for _, _, a, _ in rows for x in a.split(";")}))
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.select("row_idx").distinct().count() == 100
+    assert [x.tags for x in out.select("tags").distinct().collect()] == [want]
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 3e7
